@@ -83,7 +83,7 @@ def next_departure(as_of: Column, weekday: str, time: str) -> Column:
     """Next strictly later given weekday at HH:MM."""
     day = F.next_day(F.to_date(as_of), weekday[:3].upper())
     return F.to_timestamp(
-        F.concat(day.cast("string"), F.lit(f" {time}:00")), F.lit("yyyy-MM-dd HH:mm:ss")
+        F.concat(day.cast("string"), F.lit(f" {time}:00")), "yyyy-MM-dd HH:mm:ss"
     )
 
 

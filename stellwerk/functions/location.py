@@ -160,3 +160,9 @@ def display_name_city(display_name: Column) -> Column:
 def display_name_postal_code(display_name: Column) -> Column:
     parts = F.transform(F.split(display_name, ","), strip)
     return F.get(F.filter(parts, lambda p: p.rlike(r"^\d{5}$")), F.lit(0))
+
+
+def location_status(public: Column, car: Column) -> Column:
+    """Resolved when either way takes a non-zero number of minutes."""
+    known = (F.coalesce(public, F.lit(0)) != 0) | (F.coalesce(car, F.lit(0)) != 0)
+    return F.when(known, "resolved").otherwise("failed")

@@ -13,7 +13,7 @@ from oracle import compare, connect
 
 sf_dir = f"/root/testdata/{sys.argv[1]}"
 spark = (
-    SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "8").getOrCreate()
 )
 spark.sparkContext.setLogLevel("ERROR")

@@ -1,25 +1,18 @@
-"""Explicit schemas of the stored tables and of the shapes passed between operators."""
-
-from pyspark.sql import types as T
-
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
+"""Explicit schemas (DDL) of the stored tables and of the shapes passed between operators."""
 
 # One landed response of a portal or lookup service.
-LANDED = _struct(
+LANDED = (
     "source_name string, request_key string, fetched_at timestamp, payload string"
 )
 
-POSTING = _struct(
+POSTING = (
     "seq bigint, source_name string, source_type string, title string, company_name string,"
     " url string, location_raw string, work_model string, published_at timestamp,"
     " deadline timestamp, salary_raw string, raw_text string, source_job_id string,"
     " sector string"
 )
 
-COMPANIES = _struct(
+COMPANIES = (
     "id bigint, name string, name_normalized string, name_aliases array<string>,"
     " address_street string, address_city string, address_zip string, lat double, lng double,"
     " address_status string, address_source string, agent_findings array<string>,"
@@ -27,12 +20,12 @@ COMPANIES = _struct(
     " created_at timestamp, updated_at timestamp"
 )
 
-TRANSIT_CACHE = _struct(
+TRANSIT_CACHE = (
     "company_id bigint, origin_hash string, transit_minutes int, api_used string,"
     " cached_at timestamp, expires_at timestamp"
 )
 
-JOBS = _struct(
+JOBS = (
     "id bigint, canonical_id string, title string, company_id bigint, location_raw string,"
     " location_status string, work_model string, hybrid_days_hint int, salary_raw string,"
     " salary_min int, salary_max int, deadline timestamp, first_seen_at timestamp,"
@@ -41,7 +34,7 @@ JOBS = _struct(
     " created_at timestamp, updated_at timestamp, sector string"
 )
 
-JOB_SOURCES = _struct(
+JOB_SOURCES = (
     "id bigint, job_id bigint, url string, source_name string, source_type string,"
     " is_canonical boolean, first_seen_at timestamp, last_seen_at timestamp,"
     " last_checked_at timestamp, is_available boolean, content_hash string, source_job_id string"
@@ -49,22 +42,22 @@ JOB_SOURCES = _struct(
 
 RUN_STATS = "fetched:bigint,new:bigint,duplicate:bigint,skipped:bigint,errors:bigint,expired:bigint"
 
-SCRAPE_RUNS = _struct(
+SCRAPE_RUNS = (
     "id bigint, started_at timestamp, finished_at timestamp, status string,"
     f" sources_run array<string>, stats struct<{RUN_STATS}>, error_log array<string>"
 )
 
-PARSED_LOCATION = _struct(
+PARSED_LOCATION = (
     "raw string, city string, postal_code string, region string, pattern_type string,"
     " is_remote boolean"
 )
 
-LOCATION_SCORE = _struct(
+LOCATION_SCORE = (
     "score double, effective_minutes int, transit_minutes_public int, transit_minutes_car int,"
     " work_model string, work_model_weight double, hybrid_days int, is_remote boolean"
 )
 
-COMPANY_ADDRESS = _struct(
+COMPANY_ADDRESS = (
     "street string, city string, zip_code string, lat double, lng double, source string,"
     " status string"
 )

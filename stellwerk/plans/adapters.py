@@ -209,6 +209,7 @@ def with_views(query: str) -> str:
         return query
     ctes = ",\n".join(f"{name} AS ({text})" for name, text in needed.items())
     body = query.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"

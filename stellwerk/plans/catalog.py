@@ -1,4 +1,4 @@
 """Loads every module that registers queries."""
 
-from stellwerk.plans import quality_queries, text_queries  # noqa: F401
+from stellwerk.plans import identity_queries, quality_queries, text_queries  # noqa: F401
 from stellwerk.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -1,8 +1,9 @@
 """Explicit schemas (DDL) of the stored tables and of the shapes passed between operators."""
 
-# One landed response of a portal or lookup service.
+# One landed response.  ``search_key`` is what was asked for (a feed, a place, an
+# id or a URL), ``page`` the order of the responses within one search.
 LANDED = (
-    "source_name string, request_key string, fetched_at timestamp, payload string"
+    "source_name string, search_key string, page bigint, fetched_at timestamp, payload string"
 )
 
 POSTING = (

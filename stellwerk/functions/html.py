@@ -30,6 +30,7 @@ class _Page(HTMLParser):
         self.elements: list[dict] = []
         self._open: list[dict] = []
         self._buffer: list[str] = []
+        self._depth: dict[str, int] = {}
         self.feed(markup)
         self.close()
         self._flush()
@@ -39,13 +40,16 @@ class _Page(HTMLParser):
     def _flush(self) -> None:
         text = "".join(self._buffer)
         self._buffer.clear()
-        names = {element["tag"] for element in self._open}
-        if not text or names & _HIDDEN:
+        if not text or self._count(_HIDDEN):
             return
-        if not text.strip() and not names & _VERBATIM:
+        if not text.strip() and not self._count(_VERBATIM):
             text = "\n" if "\n" in text else " "
         self.pieces.append(text)
 
+    def _count(self, tags) -> int:
+        """Open elements of the given kinds."""
+        return sum(self._depth.get(tag, 0) for tag in tags)
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         start = len(self.pieces)
@@ -53,6 +57,7 @@ class _Page(HTMLParser):
         self.elements.append(element)
         if tag not in _VOID:
             self._open.append(element)
+            self._depth[tag] = self._depth.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -61,11 +66,12 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if all(element["tag"] != tag for element in self._open):
+        if not self._depth.get(tag):
             return
         while True:
             element = self._open.pop()
             element["end"] = len(self.pieces)
+            self._depth[element["tag"]] -= 1
             if element["tag"] == tag:
                 return
 

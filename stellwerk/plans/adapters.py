@@ -126,6 +126,9 @@ VIEWS = {
         SELECT l.l_orderkey AS order_id,
                l.l_linenumber AS line,
                l.l_partkey AS part_id,
+               CAST(l.l_partkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) || '-'
+                   || CAST(CAST(floor(l.l_extendedprice) AS BIGINT) AS STRING) || '-'
+                   || CAST(l.l_orderkey AS STRING) || CAST(l.l_linenumber AS STRING) AS uid,
                p.p_name AS title,
                s.s_name AS company_name,
                lpad(CAST(l.l_suppkey AS STRING), 5, '0') || ' ' || n.n_name AS location_raw,

@@ -1,4 +1,9 @@
 """Loads every module that registers queries."""
 
-from stellwerk.plans import identity_queries, quality_queries, text_queries  # noqa: F401
+from stellwerk.plans import (  # noqa: F401
+    identity_queries,
+    quality_queries,
+    source_queries,
+    text_queries,
+)
 from stellwerk.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -14,6 +14,7 @@ from stellwerk.operators import maintenance as M
 from stellwerk.operators import runs as R
 from stellwerk.operators.similar_titles import similar_within
 from stellwerk.plans.registry import register
+from stellwerk.session import spread
 from stellwerk.plans.text_queries import AS_OF, sql_canonical_id, sql_normalize
 
 DAY = "2024-01-16 00:00:00"
@@ -40,7 +41,7 @@ _STATE = f"""
 
 
 def _split(v):
-    rows = v.v_postings.withColumns(
+    rows = spread(v.v_postings).withColumns(
         {
             "canonical_id": canonical_id(
                 F.col("title"), F.col("company_name"), F.col("location_raw")
@@ -195,7 +196,7 @@ def stage_similar_title(v):
     """,
 )
 def similar_titles(v):
-    keys = I.posting_keys(v.v_postings)
+    keys = I.posting_keys(spread(v.v_postings))
     titles = keys.groupBy("company_key", "title").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
@@ -213,7 +214,7 @@ def resolve_postings(v):
 @register("ingest_run_stats")
 def ingest_run_stats(v):
     """All postings against empty tables, counted per source."""
-    keys = I.posting_keys(v.v_postings)
+    keys = I.posting_keys(spread(v.v_postings))
     jobs, links, companies, _ = _state(v)
     nothing = I.known_from_tables(jobs.limit(0), links.limit(0), companies.limit(0))
     labelled = I.label_postings(keys, nothing)

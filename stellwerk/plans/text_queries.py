@@ -10,6 +10,7 @@ from stellwerk.functions import location as L
 from stellwerk.functions import text as X
 from stellwerk.operators import filters as W
 from stellwerk.plans.registry import register
+from stellwerk.session import spread
 
 _WS = r"[\s\x0b\p{Z}\x1c-\x1f\x{85}]"
 
@@ -35,7 +36,7 @@ def sql_canonical_id(title: str, company: str, location: str) -> str:
     f" length({sql_normalize('text')}) AS n FROM documents",
 )
 def normalize_text(v):
-    clean = v.documents.select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
+    clean = spread(v.documents).select("doc_id", X.normalize_text(F.col("text")).alias("clean"))
     return clean.select(
         "doc_id", F.sha2("clean", 256).alias("text_hash"), F.length("clean").cast("bigint").alias("n")
     )
@@ -51,7 +52,7 @@ def normalize_text(v):
 )
 def canonical_id(v):
     ident = X.canonical_id(F.col("title"), F.col("company_name"), F.col("location_raw"))
-    return v.v_offers.select("order_id", "line", "part_id", ident.alias("canonical_id"))
+    return spread(v.v_offers).select("order_id", "line", "part_id", ident.alias("canonical_id"))
 
 
 @register(
@@ -63,7 +64,7 @@ def canonical_id(v):
     """,
 )
 def duplicate_texts(v):
-    hashed = v.documents.select(
+    hashed = spread(v.documents).select(
         "doc_id", F.sha2(X.normalize_text(F.col("text")), 256).alias("text_hash")
     )
     return (
@@ -277,7 +278,7 @@ _DAYS = r"""
 )
 def detect_work_model(v):
     text = F.col("raw_text")
-    return v.v_texts.select(
+    return spread(v.v_texts).select(
         "id", L.detect_work_model(text).alias("work_model"), L.hybrid_days(text).alias("days")
     )
 

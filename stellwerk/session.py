@@ -36,6 +36,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Give a small input to all cores before CPU-heavy work.
+
+    A table of one or two file splits would be parsed in as many tasks.  Inputs
+    that already have enough splits - any large table - are left alone, so no
+    payload is shuffled at scale.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a frame reliably, so later stages restart from files and not from its plan."""
     checkpoint_dir(frame.sparkSession)

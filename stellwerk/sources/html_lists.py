@@ -11,13 +11,7 @@ from stellwerk.functions import text as X
 from stellwerk.functions.html import html_listings, html_table_rows, main_text
 from stellwerk.operators.filters import numeric_id, url_shape
 from stellwerk.operators.lookups import with_details
-from stellwerk.sources.landed import ORDER, as_postings, first_url
-
-
-def _exploded(landed: DataFrame, rows: Column) -> DataFrame:
-    return landed.select(
-        "search_key", "page", F.posexplode(rows).alias("position", "item")
-    ).select("search_key", "page", F.col("position").cast("bigint"), "item.*")
+from stellwerk.sources.landed import ORDER, as_postings, exploded, first_url
 
 
 def detail_texts(details: DataFrame, selectors: list[str], strict: bool = False) -> DataFrame:
@@ -30,7 +24,7 @@ def detail_texts(details: DataFrame, selectors: list[str], strict: bool = False)
 
 def parse_listings(landed: DataFrame, details: DataFrame | None = None) -> DataFrame:
     """Listing containers; the searched place stands in for a missing one."""
-    items = _exploded(landed, html_listings("payload"))
+    items = exploded(landed, html_listings("payload"))
     linked = items.withColumn("url", X.absolute_url(F.col("href"), K.LISTING_BASE_URL))
     postings = as_postings(
         url_shape(linked, "url").select(
@@ -53,7 +47,7 @@ def parse_table_pages(
     landed: DataFrame, as_of: Column, max_days: int | None, details: DataFrame | None = None
 ) -> DataFrame:
     """Result-table rows with a numeric id."""
-    rows = numeric_id(_exploded(landed, html_table_rows("payload")), "row_id")
+    rows = numeric_id(exploded(landed, html_table_rows("payload")), "row_id")
     published = D.german_date(F.col("published"))
     postings = as_postings(
         rows.select(

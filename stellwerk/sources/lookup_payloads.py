@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk import constants as K
@@ -47,13 +47,14 @@ def geocode_hit(payload: Column) -> Column:
     return F.when(lat.isNotNull() & lng.isNotNull() & hit["display_name"].isNotNull(), point)
 
 
-def imprint_address(payload: Column) -> Column:
-    """Postal code and place of an imprint page, and the street in the lines just above."""
-    return address_in_lines(html_lines(payload))
+def with_imprint_address(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``address``: postal code and place of an imprint page, and the street just above."""
+    lined = pages.withColumn("lines", html_lines(payload))
+    return lined.withColumn("address", address_in_lines(F.col("lines"))).drop("lines")
 
 
 def address_in_lines(lines: Column) -> Column:
-    """Address in text that has one piece per line."""
+    """First postal code with place, and the first street in that line or the three above."""
     zip_code = extract(lines, K.IMPRINT_PLACE, 1)
     city = strip(extract(lines, K.IMPRINT_PLACE, 2))
     rows = F.split(lines, "\n", -1)

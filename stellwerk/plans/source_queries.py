@@ -524,7 +524,7 @@ def imprint_address(v):
     address = F.when(F.col("s_acctbal") > 0, _cat(street, "<p>", F.lpad(number, 5, "0"), " ", city, "</p>")).otherwise(
         F.lit("<p>Keine Anschrift</p>")
     )
-    html = _cat("<html><body><h1>Impressum</h1><p>", F.col("s_name"), "</p>", address, "</body></html>")
+    html = _cat("<html><body><h1>Impressum</h1><p>", F.col("s_name"), " - Betreiber</p>", address, "</body></html>")
     found = lookup_payloads.with_imprint_address(v.supplier.select("s_suppkey", html.alias("payload")))
     address = F.col("address")
     return found.where(address.isNotNull()).select("s_suppkey", "address.street", "address.zip_code", "address.city")

@@ -1,6 +1,7 @@
 """Loads every module that registers queries."""
 
 from stellwerk.plans import (  # noqa: F401
+    analytics_queries,
     identity_queries,
     quality_queries,
     scoring_queries,

@@ -513,7 +513,7 @@ def geocode_hit(v):
     """
     SELECT s_suppkey, CASE WHEN s_acctbal > 1000 THEN 'Hauptstraße ' || s_suppkey END AS street,
            lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS zip_code,
-           CASE WHEN s_acctbal > 5000 THEN 'Frankfurt am Main' ELSE 'Berlin' END AS city
+           CASE WHEN s_acctbal > 5000 THEN 'Frankfurt am' ELSE 'Berlin' END AS city
     FROM supplier WHERE s_acctbal > 0
     """,
 )

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stellwerk.plans.adapters import VIEWS
+from stellwerk.plans.adapters import VIEWS, Inputs
 from stellwerk.plans.registry import register
 from stellwerk.session import checkpoint_dir, spread
 from stellwerk.streaming import incremental as S
@@ -28,8 +28,11 @@ def _stream(v):
 @register("incremental_ingest")
 def incremental_ingest(v):
     def prepare(batch):
-        rows = v.spark.sql(
-            VIEWS["v_postings"], events=spread(batch), part=v.part, supplier=v.supplier, nation=v.nation
+        # A micro-batch lives in a session of its own; its partners must come from there.
+        own = Inputs(batch.sparkSession, v.sf_dir)
+        rows = own.spark.sql(
+            VIEWS["v_postings"],
+            events=spread(batch), part=own.part, supplier=own.supplier, nation=own.nation,
         )
         empty = ["work_model", "salary_raw", "sector"]
         return rows.withColumns(

@@ -249,7 +249,8 @@ def label_postings(
     Adds ``label`` (how it was decided) and ``job_key`` (canonical id of the job
     it belongs to; NULL for similar titles, which are dropped without a trace).
     """
-    facts = cut_lineage(_match_all(keys, known, threshold))
+    # The keys feed every lookup: normalise and hash once, then read narrow rows.
+    facts = cut_lineage(_match_all(cut_lineage(keys), known, threshold))
     bounds = _slice_bounds(facts, slice_titles)
     if not bounds:
         return _settle(facts, threshold)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stellwerk import constants as K
 from stellwerk.functions.similarity import sequence_ratio
+from stellwerk.session import cut_lineage
 
 # Rough letter shares per thousand in German and English text.  Only the token
 # order, i.e. speed, depends on them.
@@ -133,7 +134,8 @@ def with_depth(*sides: DataFrame) -> list[DataFrame]:
         F.when(n > DEPTH_3_FROM, 3).when(n > DEPTH_2_FROM, 2).otherwise(1).alias("depth")
     )
     depths = counted.groupBy("company_key").agg(depth, n.alias("n")).where("n > 1").drop("n")
-    return [side.join(depths, "company_key") for side in sides]
+    # Each side feeds several joins; it is computed once.
+    return [cut_lineage(side.join(depths, "company_key")) for side in sides]
 
 
 def _check(threshold: float) -> None:
@@ -175,9 +177,11 @@ def similar_to_stored(
     Every stored title counts as earlier.
     """
     _check(threshold)
-    here = stored.join(titles.select("company_key").distinct(), "company_key", "left_semi")
+    here = cut_lineage(
+        stored.join(titles.select("company_key").distinct(), "company_key", "left_semi")
+    )
     equal = titles.join(here, ["company_key", "title"], "left_semi").select("company_key", "title")
-    open_titles = titles.join(equal, ["company_key", "title"], "left_anti")
+    open_titles = titles.join(here, ["company_key", "title"], "left_anti")
     no_seq = here.withColumns(
         {"first_seq": F.lit(None).cast("bigint"), "last_seq": F.lit(None).cast("bigint")}
     )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stellwerk.operators import analytics as A
 from stellwerk.plans.registry import register
-from stellwerk.session import spread
 
 AS_OF = "2001-07-01 06:30:00"
 
@@ -268,7 +267,7 @@ def token_costs(v):
 )
 def location_fingerprint(v):
     place = F.coalesce("location_raw", F.lit(""))
-    return spread(v.v_postings).select(
+    return v.v_postings.select(
         "seq", A.location_fingerprint(F.col("title"), F.col("company_name"), place).alias("print")
     )
 

@@ -15,7 +15,6 @@ from stellwerk.functions import html as H
 from stellwerk.plans.registry import register
 from stellwerk.sources import encoded_pages, feeds, html_lists, json_lists, lookup_payloads
 from stellwerk.sources.landed import with_sequence
-from stellwerk.session import spread
 from stellwerk.sources.registry import union_sources
 
 AS_OF = "2000-01-01 00:00:00"
@@ -29,7 +28,7 @@ def _as_of() -> Column:
 
 
 def _offers(v):
-    return spread(v.v_offers).withColumn("shipped_at", F.col("shipped_at").cast("timestamp"))
+    return v.v_offers.withColumn("shipped_at", F.col("shipped_at").cast("timestamp"))
 
 
 def _landed(v, payload: Column, search: Column | None = None):

@@ -10,8 +10,8 @@ after three or four.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +22,13 @@ from stellwerk.operators.similar_titles import similar_to_stored, similar_within
 from stellwerk.session import cut_lineage
 
 NEW, BY_SOURCE_ID, BY_HASH, BY_TITLE = "new", "source_id", "canonical_id", "similar_title"
-# A batch in which one company has more distinct titles than this is labelled
-# in slices of growing size, so that title comparisons stay between few
-# accepted titles and many rows, never between all copies of one title.
+# A batch in which a company has more open titles than this, and so many alike
+# that each would resemble more than EDGES_PER_TITLE others, is halved by seq:
+# once the first half is settled, its accepted titles - few, for copies of one
+# title - take the others out of the comparison.
 SLICE_TITLES = 4096
+EDGES_PER_TITLE = 64
+SAMPLE_TITLES = 512
 
 
 def source_key(source_name: Column, source_job_id: Column, otherwise: Column) -> Column:
@@ -203,20 +206,35 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
         current = updated.drop("previous", "job_key")
 
 
-def _slice_bounds(keys: DataFrame, slice_titles: int) -> list[int]:
-    """Upper bounds of seq slices, doubling in size; any bounds give the same labels."""
-    largest = (
-        _title_ranges(keys).groupBy("company_key").agg(F.count("*").alias("n")).agg(F.max("n"))
-    ).first()[0]
-    if largest is None or largest <= slice_titles:
-        return []
-    slices = math.ceil(math.log2(largest / slice_titles)) + 1
-    shares = [2.0**-i for i in range(slices - 1, 0, -1)]
-    return keys.agg(F.percentile_approx("seq", shares)).first()[0]
+def _too_dense(rows: DataFrame, slice_titles: int) -> bool:
+    """Whether comparing a slice's open titles would yield too many similar pairs.
+
+    Only the company with most open titles is looked at: a fixed-size sample of
+    its titles gives the share of similar pairs.  The answer steers the slicing,
+    never the labels.
+    """
+    open_titles = _title_ranges(rows.where(~F.col("stored_title")))
+    sizes = open_titles.groupBy("company_key").agg(F.count("*").alias("n"))
+    largest = sizes.orderBy(F.desc("n")).first()
+    if largest is None or largest["n"] <= slice_titles:
+        return False
+    n = largest["n"]
+    sample = (
+        open_titles.where(F.col("company_key") == largest["company_key"])
+        .orderBy(F.xxhash64("title"))
+        .limit(SAMPLE_TITLES)
+    )
+    size = min(n, SAMPLE_TITLES)
+    share = similar_within(sample).count() / (size * (size - 1) / 2)
+    return share * n / 2 > EDGES_PER_TITLE
 
 
 def _known_from_labels(labelled: DataFrame) -> Known:
-    """What earlier slices of the batch add to the stored state."""
+    """What settled slices add to the state.
+
+    Their ``stored_url`` already covers the slices before them, so a link counts
+    for its first slice only.
+    """
     accepted = labelled.where(F.col("label") == NEW)
     return Known(
         source_ids=_registered(labelled).select("source_key", F.col("id_job").alias("job_key")),
@@ -250,24 +268,25 @@ def label_postings(
     it belongs to; NULL for similar titles, which are dropped without a trace).
     """
     # The keys feed every lookup: normalise and hash once, then read narrow rows.
-    facts = cut_lineage(_match_all(cut_lineage(keys), known, threshold))
-    bounds = _slice_bounds(facts, slice_titles)
-    if not bounds:
-        return _settle(facts, threshold)
-    done: DataFrame | None = None
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        rows = facts
-        if low is not None:
-            rows = rows.where(F.col("seq") > low)
-        if high is not None:
-            rows = rows.where(F.col("seq") <= high)
-        if done is not None:
-            rows = cut_lineage(_add_earlier(rows, _known_from_labels(done), threshold))
-        settled = _settle(rows, threshold)
-        # The links of a slice are registered against the stored tables only.
-        settled = settled.drop("stored_url").join(facts.select("seq", "stored_url"), "seq")
-        done = settled if done is None else done.unionByName(settled)
-    return done
+    waiting = [(cut_lineage(_match_all(cut_lineage(keys), known, threshold)), 0)]
+    done: list[DataFrame] = []
+    while waiting:
+        rows, merged = waiting.pop()
+        if merged < len(done):
+            earlier = _known_from_labels(reduce(DataFrame.unionByName, done[merged:]))
+            rows = cut_lineage(_add_earlier(rows, earlier, threshold))
+        middle = (
+            rows.agg(F.percentile_approx("seq", 0.5), F.max("seq")).first()
+            if _too_dense(rows, slice_titles)
+            else None
+        )
+        if middle is None or middle[0] == middle[1]:
+            done.append(_settle(rows, threshold))
+        else:
+            seq = F.col("seq")
+            waiting.append((rows.where(seq > middle[0]), len(done)))
+            waiting.append((rows.where(seq <= middle[0]), len(done)))
+    return reduce(DataFrame.unionByName, done)
 
 
 def outcome(label: Column) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stellwerk import constants as K
 from stellwerk.functions.similarity import sequence_ratio
-from stellwerk.session import cut_lineage
+from stellwerk.session import cut_lineage, spread
 
 # Rough letter shares per thousand in German and English text.  Only the token
 # order, i.e. speed, depends on them.
@@ -134,8 +134,9 @@ def with_depth(*sides: DataFrame) -> list[DataFrame]:
         F.when(n > DEPTH_3_FROM, 3).when(n > DEPTH_2_FROM, 2).otherwise(1).alias("depth")
     )
     depths = counted.groupBy("company_key").agg(depth, n.alias("n")).where("n > 1").drop("n")
-    # Each side feeds several joins; it is computed once.
-    return [cut_lineage(side.join(depths, "company_key")) for side in sides]
+    # Each side feeds several joins: computed once, and spread, because a title
+    # is few bytes but many keys.
+    return [spread(cut_lineage(side.join(depths, "company_key"))) for side in sides]
 
 
 def _check(threshold: float) -> None:

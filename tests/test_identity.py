@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import sequential
 from stellwerk import schemas
 from stellwerk.functions.text import canonical_id, normalize_text
+from stellwerk.operators import identity as I
 from stellwerk.operators import maintenance as M
 from stellwerk.session import cut_lineage
 
@@ -35,7 +36,8 @@ def _empty(spark, schema):
 
 
 @pytest.mark.parametrize("seed,slice_titles", [(1, 4096), (2, 4096), (3, 3), (4, 2)])
-def test_runs_equal_sequential_model(spark, seed, slice_titles):
+def test_runs_equal_sequential_model(spark, monkeypatch, seed, slice_titles):
+    monkeypatch.setattr(I, "EDGES_PER_TITLE", -1)  # always slice above slice_titles
     rng = random.Random(seed)
     jobs, sources, companies = (_empty(spark, s) for s in (schemas.JOBS, schemas.JOB_SOURCES, schemas.COMPANIES))
     state = {"jobs": {}, "sources": {}, "companies": {}}

@@ -28,6 +28,8 @@ def test_normalize(spark):
         ("München", "münchen"),
         ("München", "münchen"),
         ("Ångström", "ångström"),
+        ("Mu\u0308nchen", "münchen"),
+        ("\u212bngstro\u0308m", "ångström"),
         ("- x", " x"),
         ("a  b　", "a b"),
         ("C# / C++ (m/w/d)_1²", "c c mwd_1²"),

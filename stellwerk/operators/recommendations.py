@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stellwerk import constants as K
 from stellwerk.functions.text import python_list
+from stellwerk.session import cut_lineage
 
 _COLUMNS = ["category", "severity", "message", "affected_count", "affected_pct"]
 
@@ -46,6 +47,8 @@ def recommendations(
     companies: DataFrame, coverage: DataFrame,
 ) -> DataFrame:
     """Rules applied to the section frames, ordered by severity and category."""
+    # One row per source, used four times below: the join behind it runs once.
+    coverage = cut_lineage(coverage)
     pct = F.col("location_coverage_pct")
     located = _with_incomplete_sources(location, coverage, "location_coverage_pct")
     overall_location = _rows(

@@ -12,7 +12,7 @@ from stellwerk.operators.recommendations import recommendations
 
 
 def quality_report(jobs: DataFrame, sources: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
-    """All sections as lazy frames; nothing runs until a section is written or shown."""
+    """All sections as frames; only the per-source coverage, which the rules share, runs at once."""
     location = Q.location_quality(jobs)
     coverage = Q.source_coverage(jobs, sources)
     models = Q.work_model_breakdown(jobs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellwerk.llm import packing, piece_codec, sharding, token_files
+from stellwerk.llm import language, packing, piece_codec, sharding, token_files, toxicity
 from stellwerk.llm.common import fresh_folder, table
 
 QUERIES: dict = {}
@@ -27,6 +27,13 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.with_lengths(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@register("op2_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.digest(documents, language.fit(documents))
+
+
 # CRC-32 of a text's bytes, spelled out: DuckDB has no such function.
 _CRC_SQL = """
 crc_table AS (
@@ -77,6 +84,15 @@ def virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op4_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels of documents not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    languages = language.fit(documents)
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"), languages)
+    return toxicity.digest(documents, model, languages)
+
+
 @register("op6_piece_codec")
 def piece_codec_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the text decoded from them."""

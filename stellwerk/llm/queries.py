@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stellwerk.llm import language, packing, piece_codec, sharding, token_files, toxicity
+from stellwerk.llm import bm25_search, curve_search, jaccard_join, language, packing, piece_codec, sharding, token_files, toxicity
 from stellwerk.llm.common import fresh_folder, table
 
 QUERIES: dict = {}
@@ -39,13 +40,13 @@ _CRC_SQL = """
 crc_table AS (
   SELECT list(c ORDER BY n) AS t FROM (
     SELECT n, list_reduce(list_prepend(n, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-      (c, z) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
     FROM (SELECT unnest(range(256)) AS n))
 ),
 crcs AS (
   SELECT text, xor(list_reduce(
-      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), h -> ('0x' || h)::BIGINT)),
-      (c, b) -> xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
+      list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS crc
   FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents), crc_table
 )"""
 
@@ -64,9 +65,9 @@ sizes AS (
   FROM slotted GROUP BY virtual_slot
 ),
 dealt(rn, loads, shard, virtual_slot) AS (
-  SELECT 0::BIGINT, list_transform(range(24), x -> 0::BIGINT), -1::BIGINT, NULL::BIGINT
+  SELECT 0::BIGINT, list_transform(range(24), lambda x: 0::BIGINT), -1::BIGINT, NULL::BIGINT
   UNION ALL
-  SELECT s.rn, list_transform(d.loads, (l, i) -> CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN l + s.bytes ELSE l END),
+  SELECT s.rn, list_transform(d.loads, lambda l, i: CASE WHEN i = list_position(d.loads, list_min(d.loads)) THEN l + s.bytes ELSE l END),
     list_position(d.loads, list_min(d.loads)) - 1, s.virtual_slot
   FROM dealt d JOIN sizes s ON s.rn = d.rn + 1
 )
@@ -93,6 +94,33 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(documents, model, languages)
 
 
+@register(
+    "op5_jaccard_join",
+    """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM docs
+),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+),
+reached(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)
+""",
+)
+def jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle count and near-duplicate component of every document."""
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @register("op6_piece_codec")
 def piece_codec_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every text's ids and of the text decoded from them."""
@@ -105,3 +133,37 @@ def token_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return token_files.directory(spark, path)
+
+
+@register("op9_curve_search")
+def curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth vector, by inner product."""
+    vectors = curve_search.usable(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return curve_search.search(vectors, vectors.where(F.col("id") % 20 == 0), 20)
+
+
+@register(
+    "op10_bm25_search",
+    f"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+),
+totals AS (SELECT count(*) AS n, sum(len(words)) / count(*) AS mean FROM docs),
+terms AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(words) AS len, unnest(words) AS term FROM docs) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * d.tf * ({bm25_search.K1} + 1)
+      / (d.tf + {bm25_search.K1} * (1 - {bm25_search.B} + {bm25_search.B} * d.len / mean))), {bm25_search.PLACES}) AS score
+  FROM terms q JOIN terms d ON q.term = d.term AND q.doc_id <> d.doc_id JOIN dfs ON dfs.term = q.term, totals
+  WHERE q.doc_id % 100 = 0
+  GROUP BY 1, 2
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+""",
+)
+def bm25_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents for the whole text of every hundredth document."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bm25_search.search(documents, documents.where(F.col("id") % 100 == 0), 10)

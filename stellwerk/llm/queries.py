@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bm25_search, curve_search, jaccard_join, language, packing, piece_codec, sharding, token_files, toxicity
+from stellwerk.llm import bm25_search, curve_search, jaccard_join, language, packing, piece_codec, sharding, suffix_index, token_files, toxicity
 from stellwerk.llm.common import fresh_folder, table
 
 QUERIES: dict = {}
@@ -135,6 +135,33 @@ def token_file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.directory(spark, path)
 
 
+@register(
+    "op8_suffix_dedup",
+    """
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+),
+windows AS (SELECT r, n, unnest(range(0, n - 199)) AS i, h FROM docs WHERE n >= 200),
+prints AS (SELECT r, i, md5(h[2 * i + 1:2 * i + 400]) AS p FROM windows),
+repeated AS (SELECT p FROM prints GROUP BY p HAVING count(*) > 1),
+hits AS (SELECT r, i FROM prints SEMI JOIN repeated USING (p)),
+runs AS (SELECT r, i, coalesce(i > max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 200, true) AS new FROM hits),
+numbered AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM runs),
+spans AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, run),
+gaps AS (
+  SELECT r, sum(b - a)::BIGINT AS removed, count(*) AS spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1),
+    lambda k: substr(h, 1 + 2 * coalesce(ends[k], 0), 2 * (coalesce(starts[k + 1], n) - coalesce(ends[k], 0)))), '') END)) AS kept_sha256
+FROM docs LEFT JOIN gaps USING (r)
+""",
+)
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without its repeated 200-byte strings."""
+    return suffix_index.repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @register("op9_curve_search")
 def curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty nearest vectors of every twentieth vector, by inner product."""

@@ -24,6 +24,7 @@ from stellwerk.llm.common import fresh_folder
 
 SLOTS = 8192
 OVERHEAD = 8  # bytes that a record costs besides its text
+ADDED = ("virtual_slot", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "map_version")
 
 
 def _slot(id_column: str, text_column: str) -> F.Column:
@@ -33,7 +34,7 @@ def _slot(id_column: str, text_column: str) -> F.Column:
 
 def with_slots(records: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Add ``virtual_slot`` and ``size`` (UTF-8 bytes of the text and the overhead)."""
-    return records.withColumns(
+    return records.drop(*ADDED).withColumns(
         {
             "virtual_slot": _slot(id_column, text_column),
             "size": F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long") + OVERHEAD,
@@ -85,28 +86,28 @@ def grown_map(slot_map: DataFrame, shards: int) -> DataFrame:
     Each old shard gives its smallest slots away as long as it keeps at least an
     equal share; the moved slots are dealt to the new shards, largest first.
     """
-    held = slot_map.groupBy().agg(F.max("shard").alias("top"), F.sum("bytes").alias("all"), F.max("version").alias("old"))
+    held = slot_map.agg(F.max("shard").alias("top"), F.sum("bytes").alias("all"), F.max("version").alias("old")).first()
+    if held.top is None or held.top >= shards - 1:
+        return slot_map.withColumn("version", F.col("version") + 1)
     order = Window.partitionBy("shard").orderBy("bytes", "virtual_slot")
     ranked = (
-        slot_map.crossJoin(F.broadcast(held))  # one row of totals
-        .withColumn("given", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        slot_map.withColumn("given", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("own", F.sum("bytes").over(Window.partitionBy("shard")))
-        .withColumn("moves", F.col("own") - F.col("given") >= F.col("all") / shards)
+        .withColumn("moves", F.col("own") - F.col("given") >= held["all"] / shards)
     )
-    stay = ranked.where(~F.col("moves")).select((F.col("old") + 1).alias("version"), "virtual_slot", "shard", "bytes", "rows")
+    version = F.lit(held.old + 1).alias("version")
+    stay = ranked.where(~F.col("moves")).select(version, "virtual_slot", "shard", "bytes", "rows")
     listed = ranked.where("moves").agg(
-        F.max("top").alias("top"), F.max("old").alias("old"),
-        F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes", "rows"))).alias("slots"),
+        F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes", "rows"))).alias("slots")
     )
-    loads = F.array_repeat(F.lit(0).cast("long"), (F.lit(shards - 1) - F.col("top")).cast("int"))
+    loads = F.array_repeat(F.lit(0).cast("long"), shards - 1 - held.top)
     moved = (
-        listed.where(F.col("top") < shards - 1)
-        .select("top", "old", "slots", _dealt(F.col("slots"), loads).alias("shards"))
-        .select("top", "old", F.explode(F.arrays_zip("slots", "shards")).alias("z"))
+        listed.select("slots", _dealt(F.col("slots"), loads).alias("shards"))
+        .select(F.explode(F.arrays_zip("slots", "shards")).alias("z"))
         .select(
-            (F.col("old") + 1).alias("version"),
+            version,
             F.col("z.slots.virtual_slot").alias("virtual_slot"),
-            (F.col("top") + 1 + F.col("z.shards")).cast("int").alias("shard"),
+            (held.top + 1 + F.col("z.shards")).cast("int").alias("shard"),
             F.col("z.slots.bytes").alias("bytes"),
             F.col("z.slots.rows").alias("rows"),
         )

@@ -12,6 +12,19 @@ UNKNOWN_COMPANY_LABEL = "Unknown"
 IN_APPLICATION_STATUSES = ["applying", "applied", "interview", "offer"]
 NOT_SCORED_STATUSES = ["expired", "ignored"]
 
+# --- fixed values: order in which sources are fetched -----------------------
+SOURCE_ORDER = [
+    "service_bund",
+    "arbeitsagentur",
+    "interamt",
+    "arbeitnow",
+    "stellenmarkt",
+    "adzuna",
+    "jooble",
+    "jobboerse",
+    "kimeta",
+]
+
 # --- fixed values: character classes (Java regex) ---------------------------
 # Whitespace as Python's str.isspace / re \s sees it.
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"

@@ -77,6 +77,11 @@ def parse_location(location: Column) -> Column:
     )
 
 
+def is_remote_place(location: Column) -> Column:
+    """Whether a location text stands for work from anywhere; the parser's rule alone."""
+    return contains_any(F.lower(F.coalesce(location, F.lit(""))), K.REMOTE_KEYWORDS)
+
+
 def matches_targets(location: Column, remote: Column, targets: list[str]) -> Column:
     """Remote postings, or a configured place anywhere in the location text."""
     lowered = F.lower(F.coalesce(location, F.lit("")))

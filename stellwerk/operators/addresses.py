@@ -45,8 +45,10 @@ def imprint_requests(wanted: DataFrame) -> DataFrame:
 
 def page_addresses(pages: DataFrame, points: DataFrame, source: str) -> DataFrame:
     """First address per company over its landed pages (company_id, rank, payload), geocoded."""
-    found = with_imprint_address(pages).where(F.col("address").isNotNull())
-    first = found.groupBy("company_id").agg(F.min_by("address", "rank").alias("a"))
+    # Pages without an address have no rank: a filter would parse every page a second time.
+    rank = F.when(F.col("address").isNotNull(), F.col("rank"))
+    first = with_imprint_address(pages).groupBy("company_id").agg(F.min_by("address", rank).alias("a"))
+    first = first.where(F.col("a").isNotNull())
     asked = first.withColumn(
         "query", address_query(F.col("a.street"), F.col("a.zip_code"), F.col("a.city"))
     )

@@ -136,9 +136,13 @@ def daily_tiles(jobs: DataFrame, as_of: Column) -> DataFrame:
 def job_list(
     jobs: DataFrame, status: str | None = None, min_score: float | None = None,
     work_model: str | None = None, deadline_before: Column | None = None,
-    text: str | None = None, order_by: str = "score",
+    text: str | None = None, order_by: str = "score", source: str | None = None,
+    sources: DataFrame | None = None,
 ) -> DataFrame:
-    """Filtered, sorted list; filters left out do not apply."""
+    """Filtered, sorted list; filters left out do not apply.
+
+    ``source`` keeps the jobs that one of the ``sources`` links names.
+    """
     found = jobs
     if status is not None:
         found = found.where(F.col("status") == status)
@@ -150,6 +154,9 @@ def job_list(
         found = found.where(F.col("deadline") < deadline_before)
     if text is not None:
         found = found.where(F.col("title").contains(text) | F.col("raw_text").contains(text))
+    if source is not None:
+        linked = sources.where(F.col("source_name") == source).select(F.col("job_id").alias("id"))
+        found = found.join(linked, "id", "left_semi")
     return found.orderBy(F.desc_nulls_last(order_by), "id")
 
 

@@ -206,27 +206,26 @@ def _settle(rows: DataFrame, threshold: float) -> DataFrame:
         current = updated.drop("previous", "job_key")
 
 
-def _too_dense(rows: DataFrame, slice_titles: int) -> bool:
+def _too_dense(rows: DataFrame, slice_titles: int, threshold: float) -> bool:
     """Whether comparing a slice's open titles would yield too many similar pairs.
 
-    Only the company with most open titles is looked at: a fixed-size sample of
-    its titles gives the share of similar pairs.  The answer steers the slicing,
-    never the labels.
+    Every company with many open titles is looked at: a sample of its titles
+    gives the share of similar pairs.  The answer steers the slicing, never the
+    labels.
     """
     open_titles = _title_ranges(rows.where(~F.col("stored_title")))
     sizes = open_titles.groupBy("company_key").agg(F.count("*").alias("n"))
-    largest = sizes.orderBy(F.desc("n")).first()
-    if largest is None or largest["n"] <= slice_titles:
+    large = cut_lineage(sizes.where(F.col("n") > slice_titles))
+    if large.isEmpty():
         return False
-    n = largest["n"]
-    sample = (
-        open_titles.where(F.col("company_key") == largest["company_key"])
-        .orderBy(F.xxhash64("title"))
-        .limit(SAMPLE_TITLES)
-    )
-    size = min(n, SAMPLE_TITLES)
-    share = similar_within(sample).count() / (size * (size - 1) / 2)
-    return share * n / 2 > EDGES_PER_TITLE
+    # About SAMPLE_TITLES titles of each, drawn by hash: no sort of a company's titles.
+    drawn = F.pmod(F.xxhash64("title"), F.lit(1 << 30)) < F.lit(SAMPLE_TITLES << 30) / F.col("n")
+    sample = cut_lineage(open_titles.join(large, "company_key").where(drawn))
+    pairs = similar_within(sample.drop("n"), threshold).groupBy("company_key").agg(F.count("*").alias("pairs"))
+    sampled = sample.groupBy("company_key", "n").agg(F.count("*").alias("size"))
+    share = F.col("pairs") / (F.col("size") * (F.col("size") - 1) / 2)
+    dense = sampled.join(pairs, "company_key").where(share * F.col("n") / 2 > EDGES_PER_TITLE)
+    return not dense.isEmpty()
 
 
 def _known_from_labels(labelled: DataFrame) -> Known:
@@ -277,7 +276,7 @@ def label_postings(
             rows = cut_lineage(_add_earlier(rows, earlier, threshold))
         middle = (
             rows.agg(F.percentile_approx("seq", 0.5), F.max("seq")).first()
-            if _too_dense(rows, slice_titles)
+            if _too_dense(rows, slice_titles, threshold)
             else None
         )
         if middle is None or middle[0] == middle[1]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk import constants as K
-from stellwerk.functions.text import is_blank
+from stellwerk.functions.text import blank_to_null, is_blank
+from stellwerk.operators.identity import source_key
 from stellwerk.operators.maintenance import valid_cache
 
 
@@ -20,8 +21,12 @@ def known_source_ids(sources: DataFrame, source_name: str) -> DataFrame:
 
 def without_known_ids(postings: DataFrame, sources: DataFrame) -> DataFrame:
     """Postings whose source id is not stored yet (incremental option)."""
-    known = sources.where(~is_blank(F.col("source_job_id"))).select("source_name", "source_job_id")
-    return postings.join(known, ["source_name", "source_job_id"], "left_anti")
+    def key(otherwise: Column) -> Column:
+        return source_key(F.col("source_name"), F.col("source_job_id"), otherwise).alias("source_key")
+
+    known = sources.where(~is_blank(F.col("source_job_id"))).select(key(F.col("url")))
+    # Postings without an id get keys of their own, by their URL.
+    return postings.withColumn("source_key", key(F.col("url"))).join(known, "source_key", "left_anti").drop("source_key")
 
 
 def with_known_url(postings: DataFrame, sources: DataFrame) -> DataFrame:
@@ -59,9 +64,8 @@ def with_cached_minutes(
 
 def with_details(postings: DataFrame, details: DataFrame, key: str, only: Column | None = None) -> DataFrame:
     """Fill ``raw_text`` from landed detail texts (key, detail_text); blank texts do not count."""
-    texts = details.where(~is_blank(F.col("detail_text"))).groupBy(key).agg(
-        F.max("detail_text").alias("detail_text")
-    )
+    # Blank texts are left out by the aggregate: a filter would parse every page a second time.
+    texts = details.groupBy(key).agg(F.max(blank_to_null(F.col("detail_text"))).alias("detail_text"))
     joined = postings.join(texts, key, "left")
     found = F.coalesce("detail_text", "raw_text")
     value = found if only is None else F.when(only, found).otherwise(F.col("raw_text"))

@@ -45,7 +45,18 @@ def _next_id(table: DataFrame) -> int:
     return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
-def upsert_companies(postings: DataFrame, companies: DataFrame) -> DataFrame:
+def _stamped(rows: DataFrame, changed: Column, as_of: Column | None) -> DataFrame:
+    """Move ``updated_at`` on the rows that change; without a time nothing moves."""
+    if as_of is None:
+        return rows
+    before = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None)
+    moved = F.when(F.coalesce(changed, F.lit(False)), as_of).otherwise(before)
+    return rows.withColumn("updated_at", moved.cast("timestamp"))
+
+
+def upsert_companies(
+    postings: DataFrame, companies: DataFrame, as_of: Column | None = None
+) -> DataFrame:
     """Add employers not known yet; the first spelling of a name wins."""
     named = postings.select(
         "seq", F.col("company_name").alias("name"),
@@ -58,6 +69,7 @@ def upsert_companies(postings: DataFrame, companies: DataFrame) -> DataFrame:
     added = assign_ids(missing, "seq", _next_id(companies)).select(
         "id", "name", "name_normalized",
         F.lit("unknown").alias("address_status"), F.lit("unknown").alias("remote_policy"),
+        *([] if as_of is None else [as_of.alias("created_at"), as_of.alias("updated_at")]),
     )
     return companies.unionByName(added, allowMissingColumns=True)
 
@@ -99,6 +111,7 @@ def next_jobs(
         F.lit("unknown").alias("location_status"), "work_model", "salary_raw", "deadline",
         seen_at.alias("first_seen_at"), seen_at.alias("last_seen_at"),
         F.lit("new").alias("status"), F.lit(True).alias("is_active"), "raw_text", "sector",
+        seen_at.alias("created_at"), seen_at.alias("updated_at"),
     )
     everything = jobs.unionByName(added, allowMissingColumns=True)
     hits = placed.where(F.col("label").isin(I.BY_SOURCE_ID, I.BY_HASH))
@@ -111,6 +124,7 @@ def next_jobs(
     return (
         everything.join(changes, "canonical_id", "left")
         .withColumn("last_seen_at", F.coalesce("seen_again", "last_seen_at"))
+        .withColumn("updated_at", F.coalesce("seen_again", "updated_at"))
         .withColumn(
             "raw_text", F.coalesce(blank_to_null(F.col("raw_text")), "found_text", "raw_text")
         )
@@ -153,7 +167,7 @@ def resolve(
     slice_titles: int = I.SLICE_TITLES,
 ) -> Resolution:
     """One ingest run: companies, cascade, and the next jobs and sources."""
-    all_companies = cut_lineage(upsert_companies(postings, companies))
+    all_companies = cut_lineage(upsert_companies(postings, companies, as_of))
     keys = I.posting_keys(postings)
     known = I.known_from_tables(jobs, sources, companies)
     labels = I.label_postings(keys, known, threshold, slice_titles).select(
@@ -176,11 +190,12 @@ def resolve(
 def expire(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Close jobs past their deadline; ``expired_now`` marks those closed by this call."""
     gone = F.coalesce(is_expired(as_of), F.lit(False))
-    return (
+    closed = (
         jobs.withColumn("expired_now", gone)
         .withColumn("status", F.when(F.col("expired_now"), "expired").otherwise(F.col("status")))
         .withColumn("is_active", F.col("is_active") & ~F.col("expired_now"))
     )
+    return _stamped(closed, F.col("expired_now"), as_of)
 
 
 # --- caches, addresses, status, texts ---------------------------------------
@@ -202,7 +217,9 @@ def valid_cache(cache: DataFrame, as_of: Column) -> DataFrame:
     return cache.where(F.col("expires_at") > as_of)
 
 
-def update_addresses(companies: DataFrame, resolved: DataFrame) -> DataFrame:
+def update_addresses(
+    companies: DataFrame, resolved: DataFrame, as_of: Column | None = None
+) -> DataFrame:
     """Apply resolved addresses (id, address struct or NULL for failed) to the companies."""
     joined = companies.join(resolved.select("id", "address", F.lit(True).alias("tried")), "id", "left")
     found = F.col("address").isNotNull()
@@ -218,28 +235,36 @@ def update_addresses(companies: DataFrame, resolved: DataFrame) -> DataFrame:
     updated["address_status"] = (
         F.when(found, "found").when(F.col("tried"), "failed").otherwise(F.col("address_status"))
     )
-    return joined.withColumns(updated).select(*companies.columns)
+    stamped = _stamped(joined.withColumns(updated), F.col("tried"), as_of)
+    return stamped.select(*_columns(companies, as_of))
+
+
+def _columns(rows: DataFrame, as_of: Column | None) -> list[str]:
+    """A table's columns, with ``updated_at`` if it is kept."""
+    added = [] if as_of is None or "updated_at" in rows.columns else ["updated_at"]
+    return [*rows.columns, *added]
 
 
-def update_location_status(jobs: DataFrame, scored: DataFrame) -> DataFrame:
+def update_location_status(
+    jobs: DataFrame, scored: DataFrame, as_of: Column | None = None
+) -> DataFrame:
     """Take over the status of scored jobs (id, status)."""
     fresh = scored.select("id", F.col("status").alias("fresh_status"))
-    return (
-        jobs.join(fresh, "id", "left")
-        .withColumn("location_status", F.coalesce("fresh_status", "location_status"))
-        .select(*jobs.columns)
+    joined = jobs.join(fresh, "id", "left").withColumn(
+        "location_status", F.coalesce("fresh_status", "location_status")
     )
+    stamped = _stamped(joined, F.col("fresh_status").isNotNull(), as_of)
+    return stamped.select(*_columns(jobs, as_of))
 
 
-def fill_texts(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+def fill_texts(jobs: DataFrame, texts: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Fill blank texts from landed details (id, text); existing texts stay."""
     wanted = texts.where(~is_blank(F.col("text"))).groupBy("id").agg(
         F.min("text").alias("found_text")
     )
-    return (
-        jobs.join(wanted, "id", "left")
-        .withColumn(
-            "raw_text", F.coalesce(blank_to_null(F.col("raw_text")), "found_text", "raw_text")
-        )
-        .select(*jobs.columns)
+    joined = jobs.join(wanted, "id", "left")
+    filled = is_blank(F.col("raw_text")) & F.col("found_text").isNotNull()
+    stamped = _stamped(joined, filled, as_of).withColumn(
+        "raw_text", F.coalesce(blank_to_null(F.col("raw_text")), "found_text", "raw_text")
     )
+    return stamped.select(*_columns(jobs, as_of))

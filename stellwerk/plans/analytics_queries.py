@@ -201,6 +201,20 @@ def job_list(v):
     return A.job_list(scored, "new", 200000, "hybrid", _as_of(), "HIGH").select("id", "title")
 
 
+@register(
+    "job_list_of_source",
+    f"""
+    SELECT j.id, j.title FROM v_jobs j
+    WHERE j.status = 'new' AND j.deadline < TIMESTAMP '{AS_OF}'
+      AND EXISTS (SELECT 1 FROM v_sources s WHERE s.job_id = j.id AND s.source_name = 'AF')
+    """,
+)
+def job_list_of_source(v):
+    scored = v.v_jobs.withColumn("score", F.lit(0))
+    found = A.job_list(scored, "new", deadline_before=_as_of(), source="AF", sources=v.v_sources)
+    return found.select("id", "title")
+
+
 @register(
     "clarification_queue",
     """

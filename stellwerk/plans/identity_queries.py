@@ -19,6 +19,15 @@ from stellwerk.plans.text_queries import AS_OF, sql_canonical_id, sql_normalize
 DAY = "2024-01-16 00:00:00"
 _TS = "yyyy-MM-dd HH:mm:ss"
 
+def _run_at():
+    """When the registered upkeep runs; shown as text, as all times here."""
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def _shown(name: str, alias: str):
+    return F.date_format(name, _TS).alias(alias)
+
+
 _STATE = f"""
     WITH p AS (SELECT *, {sql_canonical_id('title', 'company_name', 'location_raw')} AS canonical_id,
                       {sql_normalize('company_name')} AS company_key,
@@ -107,17 +116,19 @@ def _seen():
 
 @register(
     "company_upsert",
-    _STATE + """
+    _STATE + f"""
     , fresh AS (SELECT company_key, min(seq) AS seq FROM batch
                 WHERE company_key NOT IN (SELECT name_normalized FROM companies) GROUP BY 1)
-    SELECT id, name_normalized FROM companies
+    SELECT id, name_normalized, CAST(NULL AS VARCHAR) AS created, CAST(NULL AS VARCHAR) AS updated FROM companies
     UNION ALL
-    SELECT (SELECT max(id) FROM companies) + row_number() OVER (ORDER BY seq), company_key FROM fresh
+    SELECT (SELECT max(id) FROM companies) + row_number() OVER (ORDER BY seq), company_key, '{AS_OF}', '{AS_OF}' FROM fresh
     """,
 )
 def company_upsert(v):
     _, _, companies, batch = _state(v)
-    return M.upsert_companies(batch, companies).select("id", "name_normalized")
+    return M.upsert_companies(batch, companies, _run_at()).select(
+        "id", "name_normalized", _shown("created_at", "created"), _shown("updated_at", "updated")
+    )
 
 
 @register(
@@ -227,13 +238,15 @@ def ingest_run_stats(v):
     "next_jobs",
     _STATE + """
     , hits AS (SELECT * FROM placed WHERE label <> 'new'),
-    base AS (SELECT canonical_id, title, raw_text, seen FROM jobs
-             UNION ALL SELECT canonical_id, title, raw_text, published_at FROM placed WHERE label = 'new'),
+    base AS (SELECT canonical_id, title, raw_text, seen, CAST(NULL AS TIMESTAMP) AS made FROM jobs
+             UNION ALL SELECT canonical_id, title, raw_text, published_at, published_at FROM placed WHERE label = 'new'),
     touch AS (SELECT canonical_id, max(published_at) AS seen FROM hits GROUP BY 1),
     txt AS (SELECT canonical_id, raw_text FROM hits WHERE raw_text <> ''
             QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY seq) = 1)
     SELECT b.canonical_id, b.title, coalesce(nullif(b.raw_text, ''), t.raw_text, b.raw_text) AS raw_text,
-           strftime(coalesce(h.seen, b.seen), '%Y-%m-%d %H:%M:%S') AS last_seen
+           strftime(coalesce(h.seen, b.seen), '%Y-%m-%d %H:%M:%S') AS last_seen,
+           strftime(b.made, '%Y-%m-%d %H:%M:%S') AS created,
+           strftime(coalesce(h.seen, b.made), '%Y-%m-%d %H:%M:%S') AS updated
     FROM base b LEFT JOIN touch h USING (canonical_id) LEFT JOIN txt t USING (canonical_id)
     """,
 )
@@ -242,7 +255,8 @@ def next_jobs(v):
     placed = _placed(jobs, batch)
     after = M.next_jobs(placed, jobs, companies, _seen())
     return after.select(
-        "canonical_id", "title", "raw_text", F.date_format("last_seen_at", _TS).alias("last_seen")
+        "canonical_id", "title", "raw_text", _shown("last_seen_at", "last_seen"),
+        _shown("created_at", "created"), _shown("updated_at", "updated"),
     )
 
 
@@ -283,15 +297,16 @@ def next_sources(v):
     f"""
     SELECT id,
            CASE WHEN gone THEN 'expired' ELSE status END AS status,
-           is_active AND NOT gone AS is_active, gone AS expired_now
+           is_active AND NOT gone AS is_active, gone AS expired_now,
+           CASE WHEN gone THEN '{AS_OF}' END AS updated
     FROM (SELECT *, coalesce(deadline < TIMESTAMP '{AS_OF}' AND is_active
                     AND status NOT IN ('applying', 'applied', 'interview', 'offer'), false) AS gone
           FROM v_jobs)
     """,
 )
 def expire_jobs(v):
-    after = M.expire(v.v_jobs, F.lit(AS_OF).cast("timestamp"))
-    return after.select("id", "status", "is_active", "expired_now")
+    after = M.expire(v.v_jobs, _run_at())
+    return after.select("id", "status", "is_active", "expired_now", _shown("updated_at", "updated"))
 
 
 @register(
@@ -358,11 +373,12 @@ def cached_minutes(v):
 
 @register(
     "address_update",
-    """
+    f"""
     SELECT c.id, CASE WHEN s.s_suppkey IS NULL THEN c.address_status
                       WHEN s.s_acctbal > 0 THEN 'found' ELSE 'failed' END AS address_status,
            CASE WHEN s.s_acctbal > 0 THEN s.s_name ELSE c.address_city END AS address_city,
-           CASE WHEN s.s_acctbal > 0 THEN s.s_acctbal ELSE c.lat END AS lat
+           CASE WHEN s.s_acctbal > 0 THEN s.s_acctbal ELSE c.lat END AS lat,
+           CASE WHEN s.s_suppkey IS NOT NULL THEN '{AS_OF}' END AS updated
     FROM v_companies c LEFT JOIN supplier s ON s.s_suppkey = c.id
     """,
 )
@@ -376,15 +392,16 @@ def address_update(v):
         ),
     )
     resolved = v.supplier.select(F.col("s_suppkey").alias("id"), address.alias("address"))
-    after = M.update_addresses(v.v_companies, resolved)
-    return after.select("id", "address_status", "address_city", "lat")
+    after = M.update_addresses(v.v_companies, resolved, _run_at())
+    return after.select("id", "address_status", "address_city", "lat", _shown("updated_at", "updated"))
 
 
 @register(
     "location_status_update",
-    """
+    f"""
     SELECT j.id, CASE WHEN c.lo IS NULL THEN j.location_status
-                      WHEN c.lo > 0 THEN 'resolved' ELSE 'failed' END AS location_status
+                      WHEN c.lo > 0 THEN 'resolved' ELSE 'failed' END AS location_status,
+           CASE WHEN c.lo IS NOT NULL THEN '{AS_OF}' END AS updated
     FROM v_jobs j LEFT JOIN (SELECT order_id, max(coalesce(car, 0)) AS lo FROM v_commute GROUP BY 1) c
     ON c.order_id = j.id
     """,
@@ -394,20 +411,21 @@ def location_status_update(v):
         F.max(F.coalesce("car", F.lit(0))).alias("most")
     )
     status = F.when(F.col("most") > 0, "resolved").otherwise("failed")
-    after = M.update_location_status(v.v_jobs, scored.select("id", status.alias("status")))
-    return after.select("id", "location_status")
+    after = M.update_location_status(v.v_jobs, scored.select("id", status.alias("status")), _run_at())
+    return after.select("id", "location_status", _shown("updated_at", "updated"))
 
 
 @register(
     "fill_texts",
-    """
-    SELECT j.id, coalesce(nullif(j.raw_text, ''), p.html, j.raw_text) AS raw_text
+    f"""
+    SELECT j.id, coalesce(nullif(j.raw_text, ''), p.html, j.raw_text) AS raw_text,
+           CASE WHEN coalesce(j.raw_text, '') = '' AND p.html <> '' THEN '{AS_OF}' END AS updated
     FROM v_jobs j LEFT JOIN pages p ON p.page_id = j.id
     """,
 )
 def fill_texts(v):
     texts = v.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"))
-    return M.fill_texts(v.v_jobs, texts).select("id", "raw_text")
+    return M.fill_texts(v.v_jobs, texts, _run_at()).select("id", "raw_text", _shown("updated_at", "updated"))
 
 
 @register(

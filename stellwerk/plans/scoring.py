@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,19 +24,22 @@ class Scored:
     missing_lookups: DataFrame
 
 
-def split_remote(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Jobs with work model and days settled: remote ones, and those that need minutes.
+def settle(jobs: DataFrame) -> DataFrame:
+    """Jobs with work model, days and ``is_remote``; texts are dropped before anything is joined.
 
-    Texts are dropped here, before anything is joined.
+    Remote jobs need no minutes: they, and jobs without a company, get a company key of their
+    own that no company has, instead of one shared NULL.
     """
     model = L.effective_work_model(F.col("work_model"), F.col("raw_text"))
     days = L.effective_hybrid_days(F.col("work_model"), F.col("raw_text"))
     settled = jobs.select(
-        "id", "company_id", "location_raw", model.alias("model"), days.alias("days"),
-        L.parse_location(F.col("location_raw"))["is_remote"].alias("place_is_remote"),
+        "id", "company_id", model.alias("model"), days.alias("days"),
+        L.is_remote_place(F.col("location_raw")).alias("place_is_remote"),
     )
     remote = F.col("place_is_remote") | F.coalesce(F.col("model") == "remote", F.lit(False))
-    return settled.where(remote), settled.where(~remote)
+    return settled.withColumn("is_remote", remote).withColumn(
+        "company_id", F.coalesce(F.when(~F.col("is_remote"), F.col("company_id")), -F.col("id") - 1)
+    ).drop("place_is_remote")
 
 
 def score_jobs(
@@ -47,23 +51,22 @@ def score_jobs(
     ``addresses``: id, address.  ``transit``: company_id, primary_minutes,
     fallback_minutes.  ``routes``: company_id, car_minutes.
     """
-    remote, local = split_remote(jobs)
-    home_hash = F.lit(home)
+    settled = settle(jobs)
     points = addresses.select(
         F.col("id").alias("company_id"), F.col("address.lat").alias("lat"),
         F.col("address.lng").alias("lng"),
     )
     # A coordinate of exactly 0 counts as missing.
     has_point = (F.coalesce("lat", F.lit(0.0)) != 0) & (F.coalesce("lng", F.lit(0.0)) != 0)
-    origin = jobs.sparkSession.range(1).select(origin_hash(home_hash)).first()[0]
+    origin = hashlib.sha256(home.encode()).hexdigest()
     placed = (
-        with_cached_minutes(local.join(points, "company_id", "left"), cache, origin, as_of)
+        with_cached_minutes(settled.join(points, "company_id", "left"), cache, origin, as_of)
         .join(transit, "company_id", "left")
         .join(routes, "company_id", "left")
     )
     landed = F.coalesce("primary_minutes", "fallback_minutes")
     timed = placed.select(
-        "id", "company_id", "model", "days", "lat", "lng", has_point.alias("has_point"),
+        "id", "company_id", "model", "days", "is_remote", "lat", "lng", has_point.alias("has_point"),
         F.when(has_point, F.coalesce("cached_minutes", landed)).alias("public"),
         F.when(has_point, F.col("car_minutes")).alias("car"),
         (has_point & F.col("cached_minutes").isNull() & landed.isNotNull()).alias("is_fresh"),
@@ -72,18 +75,14 @@ def score_jobs(
         ),
     )
     public, car = F.col("public"), F.col("car")
-    local_scores = timed.select(
+    remote = F.col("is_remote")
+    model = F.when(remote, "remote").otherwise(F.col("model"))
+    days = F.when(~remote, F.col("days"))
+    scores = timed.select(
         "id",
-        L.location_score(public, car, F.col("model"), F.col("days"), max_commute).alias("s"),
-        L.location_status(public, car).alias("status"),
-    )
-    none = F.lit(None).cast("int")
-    remote_scores = remote.select(
-        "id",
-        L.location_score(none, none, F.lit("remote"), none, max_commute).alias("s"),
-        F.lit("resolved").alias("status"),
-    )
-    scores = local_scores.unionByName(remote_scores).select("id", "s.*", "status")
+        L.location_score(public, car, model, days, max_commute).alias("s"),
+        F.when(remote, "resolved").otherwise(L.location_status(public, car)).alias("status"),
+    ).select("id", "s.*", "status")
     fresh = timed.where("is_fresh").groupBy("company_id").agg(
         F.max("public").alias("transit_minutes"), F.max("api_used").alias("api_used")
     ).withColumn("origin_hash", F.lit(origin))

@@ -11,7 +11,7 @@ from stellwerk.operators.addresses import imprint_requests, resolve_addresses
 from stellwerk.operators.filters import scoring_candidates
 from stellwerk.operators.lookups import with_canonical_url
 from stellwerk.plans.registry import register
-from stellwerk.plans.scoring import batch_view, score_jobs, split_remote
+from stellwerk.plans.scoring import batch_view, score_jobs, settle
 from stellwerk.plans.text_queries import _DAYS, _MODEL
 from stellwerk.session import spread
 
@@ -34,11 +34,7 @@ _SETTLED = f"""
     _SETTLED + "SELECT id, model, days, place_remote OR coalesce(model = 'remote', false) AS is_remote FROM settled",
 )
 def settled_work_model(v):
-    remote, local = split_remote(v.v_jobs)
-    columns = ["id", "model", "days"]
-    return remote.select(*columns, F.lit(True).alias("is_remote")).unionByName(
-        local.select(*columns, F.lit(False).alias("is_remote"))
-    )
+    return settle(v.v_jobs).select("id", "model", "days", "is_remote")
 
 
 def _landed(v):

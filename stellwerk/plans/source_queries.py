@@ -539,7 +539,7 @@ def imprint_address(v):
       SELECT 'service_bund', 'portal', 'https://feed.example/' || uid || '.html' FROM v_offers WHERE {_AGED} <= 365)
     SELECT source_name, source_type, count(*) AS postings, count(DISTINCT url) AS urls,
            min(seq) AS first_seq, max(seq) AS last_seq
-    FROM (SELECT *, row_number() OVER (ORDER BY source_name) AS seq FROM merged) GROUP BY 1, 2
+    FROM (SELECT *, row_number() OVER (ORDER BY CASE source_name WHEN 'service_bund' THEN 1 WHEN 'jooble' THEN 7 END) AS seq FROM merged) GROUP BY 1, 2
     """,
 )
 def union_of_sources(v):

@@ -435,12 +435,12 @@ def filter_expired(v):
 @register(
     "scoring_candidates",
     """
-    SELECT id FROM v_jobs WHERE location_status = 'unknown' AND is_active
-      AND status NOT IN ('expired', 'ignored') ORDER BY id LIMIT 100
+    SELECT id, title FROM v_jobs WHERE location_status = 'unknown' AND is_active
+      AND status NOT IN ('expired', 'ignored')
     """,
 )
 def scoring_candidates(v):
-    return W.scoring_candidates(v.v_jobs, 100).select("id")
+    return W.scoring_candidates(v.v_jobs).select("id", "title")
 
 
 @register(
@@ -456,24 +456,23 @@ def scoring_candidates_all(v):
 
 @register(
     "address_candidates",
-    "SELECT id, name FROM v_companies WHERE address_status = 'unknown' ORDER BY id LIMIT 50",
+    "SELECT id, name FROM v_companies WHERE address_status = 'unknown'",
 )
 def address_candidates(v):
-    return W.address_candidates(v.v_companies, 50)
+    return W.address_candidates(v.v_companies)
 
 
 @register(
     "backfill_candidates",
     """
-    SELECT id, title, url FROM (
-      SELECT DISTINCT j.id, j.title, s.url, j.first_seen_at
-      FROM v_jobs j JOIN v_sources s ON s.job_id = j.id
-      WHERE s.source_name = 'AF' AND coalesce(j.raw_text, '') = '' AND j.is_active)
-    ORDER BY first_seen_at DESC, id, url LIMIT 200
+    SELECT DISTINCT j.id, j.title, s.url, strftime(j.first_seen_at, '%Y-%m-%d %H:%M:%S') AS first_seen
+    FROM v_jobs j JOIN v_sources s ON s.job_id = j.id
+    WHERE s.source_name = 'AF' AND coalesce(j.raw_text, '') = '' AND j.is_active
     """,
 )
 def backfill_candidates(v):
-    return W.backfill_candidates(v.v_jobs, v.v_sources, "AF", 200).select("id", "title", "url")
+    seen = F.date_format(F.col("first_seen_at"), "yyyy-MM-dd HH:mm:ss").alias("first_seen")
+    return W.backfill_candidates(v.v_jobs, v.v_sources, "AF").select("id", "title", "url", seen)
 
 
 @register(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +18,9 @@ DEFAULTS = {
 }
 
 
+FEW_SPLITS = 32
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Pin time zone, ANSI mode and adaptive execution on an existing session."""
     for key, value in DEFAULTS.items():
@@ -26,25 +29,34 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the cluster's, or a private one if none is set."""
+    """Shared folder for checkpoints: the cluster's, or one below the warehouse if none is set."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
             "spark.checkpoint.dir", None
         )
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stellwerk-checkpoint-"))
+        context.setCheckpointDir(configured or _below_warehouse(spark))
     return context.getCheckpointDir()
 
 
+def _below_warehouse(spark: SparkSession) -> str:
+    """Executors of a cluster don't see each other's disks: there, a local folder is refused."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    one_machine = re.match(r"local(\[|$)", spark.sparkContext.master)
+    if not one_machine and re.match("file:|/", folder):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder
+
+
 def spread(frame: DataFrame) -> DataFrame:
     """Give a small input to all cores before CPU-heavy work.
 
     A table of one or two file splits would be parsed in as many tasks.  Inputs
-    that already have enough splits - any large table - are left alone, so no
-    payload is shuffled at scale.
+    of more than ``FEW_SPLITS`` splits - a few gigabytes - are left alone on any
+    cluster, so no payload is shuffled at scale.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame if frame.rdd.getNumPartitions() >= cores else frame.repartition(cores)
+    enough = min(frame.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
+    return frame if frame.rdd.getNumPartitions() >= enough else frame.repartition(enough)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:

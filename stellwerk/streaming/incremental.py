@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from stellwerk import constants as K
 from stellwerk import schemas
@@ -35,28 +36,15 @@ def read_version(spark: SparkSession, state: str, table: str, version: int) -> D
 
 
 def _write_version(frame: DataFrame, state: str, table: str, version: int, schema: str) -> None:
-    names = [part.split(" ", 1)[0] for part in _fields(schema)]
-    kinds = [part.split(" ", 1)[1] for part in _fields(schema)]
     complete = frame.select(
         *[
-            (F.col(n) if n in frame.columns else F.lit(None)).cast(k).alias(n)
-            for n, k in zip(names, kinds)
+            (F.col(f.name) if f.name in frame.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in StructType.fromDDL(schema)
         ]
     )
     complete.write.mode("overwrite").parquet(f"{state}/{table}/version={version}")
 
 
-def _fields(schema: str) -> list[str]:
-    """Column definitions of a DDL string; commas inside <...> do not separate columns."""
-    parts, depth, start = [], 0, 0
-    for i, char in enumerate(schema):
-        depth += (char == "<") - (char == ">")
-        if char == "," and depth == 0:
-            parts.append(schema[start:i].strip())
-            start = i + 1
-    return [*parts, schema[start:].strip()]
-
-
 def ingest_batch(
     postings: DataFrame, state: str, version: int, as_of: Column,
     threshold: float = K.FUZZY_THRESHOLD,

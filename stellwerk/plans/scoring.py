@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from stellwerk import constants as K
 from stellwerk.functions import location as L
 from stellwerk.functions.dates import next_departure
-from stellwerk.functions.text import origin_hash
+from stellwerk.operators.filters import scoring_candidates
 from stellwerk.operators.lookups import with_cached_minutes
+from stellwerk.operators.maintenance import update_location_status
 
 
 @dataclass
@@ -100,6 +101,19 @@ def score_jobs(
     return Scored(scores, fresh, missing)
 
 
+def score_batch(
+    jobs: DataFrame, addresses: DataFrame, cache: DataFrame, transit: DataFrame, routes: DataFrame,
+    as_of: Column, limit: int | None = None,
+) -> tuple[Scored, DataFrame]:
+    """Score the jobs without a location status, and write their status.
+
+    Returns the scores and the next jobs: candidates that could be placed are resolved, the
+    others failed; all other jobs stay as they are.
+    """
+    scored = score_jobs(scoring_candidates(jobs, limit), addresses, cache, transit, routes, as_of)
+    return scored, update_location_status(jobs, scored.scores.select("id", "status"), as_of)
+
+
 def batch_view(scores: DataFrame) -> DataFrame:
     """Result columns of a scoring batch."""
     return scores.select(

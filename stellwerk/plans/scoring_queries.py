@@ -11,7 +11,7 @@ from stellwerk.operators.addresses import imprint_requests, resolve_addresses
 from stellwerk.operators.filters import scoring_candidates
 from stellwerk.operators.lookups import with_canonical_url
 from stellwerk.plans.registry import register
-from stellwerk.plans.scoring import batch_view, score_jobs, settle
+from stellwerk.plans.scoring import batch_view, score_batch, score_jobs, settle
 from stellwerk.plans.text_queries import _DAYS, _MODEL
 from stellwerk.session import spread
 
@@ -231,6 +231,29 @@ def missing_lookups(v):
     )
 
 
+@register(
+    "location_run",
+    f"""
+    {_SETTLED}, {_ADDRESS}, {_TIMED},
+    fresh AS (
+      SELECT id, CASE WHEN coalesce(pub, 0) = 0 AND coalesce(car, 0) = 0 THEN 'failed' ELSE 'resolved' END AS status FROM mins
+      UNION ALL SELECT id, 'resolved' FROM settled WHERE place_remote OR coalesce(model = 'remote', false)),
+    chosen AS (SELECT id FROM v_jobs WHERE location_status = 'unknown' AND is_active
+               AND status NOT IN ('expired', 'ignored'))
+    SELECT j.id, coalesce(f.status, j.location_status) AS location_status,
+           CASE WHEN f.id IS NOT NULL THEN '{AS_OF}' END AS updated
+    FROM v_jobs j LEFT JOIN (SELECT * FROM fresh SEMI JOIN chosen USING (id)) f ON f.id = j.id
+    """,
+)
+def location_run(v):
+    """Candidates, scores, status written."""
+    cache, transit, routes = _minutes(v)
+    _, jobs = score_batch(v.v_jobs, _resolved(v), cache, transit, routes, F.lit(AS_OF).cast("timestamp"))
+    return jobs.select(
+        "id", "location_status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated")
+    )
+
+
 @register(
     "scoring_batch",
     f"""

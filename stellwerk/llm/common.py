@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -146,3 +147,53 @@ def as_lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.L
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+class WordMemory:
+    """What a worker has computed per distinct word: runs of values in growing arrays."""
+
+    def __init__(self, kind, kept: int):
+        self._kind, self._kept = kind, kept
+        self.clear()
+
+    def clear(self) -> None:
+        self.codes: dict = {}
+        self._bounds = np.zeros(1024, np.int64)  # of code i: from i to i + 1
+        self._values = np.zeros(4096, self._kind)
+
+    def make_room(self) -> None:
+        """Start anew once more words are kept than allowed; call between passes only."""
+        if len(self.codes) > self._kept:
+            self.clear()
+
+    def unseen(self, words: list) -> list:
+        codes = self.codes
+        return list({w for w in words if w not in codes})
+
+    def add(self, words: list[str], runs: list) -> None:
+        """Keep one run of values per word."""
+        first, count = len(self.codes), len(words)
+        lengths = np.fromiter(map(len, runs), np.int64, count)
+        used = self._bounds[first]
+        need = int(used + lengths.sum())
+        if first + count + 1 > len(self._bounds):
+            self._bounds = np.concatenate([self._bounds, np.zeros(first + count + 1, np.int64)])
+        if need > len(self._values):
+            self._values = np.concatenate([self._values, np.zeros(need, self._kind)])
+        self._bounds[first + 1 : first + count + 1] = used + np.cumsum(lengths)
+        self._values[used:need] = np.fromiter(itertools.chain.from_iterable(runs), self._kind, need - used)
+        self.codes.update(zip(words, range(first, first + count)))
+
+    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values of all words one after the other, and how many each has."""
+        at = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+        starts = self._bounds[at]
+        lengths = self._bounds[at + 1] - starts
+        return self._values[ragged(starts, lengths)], lengths
+
+
+def sums_of_runs(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of each consecutive run of ``counts`` lengths."""
+    sums = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import filled, held_out, passes
+from stellwerk.llm.common import WordMemory, filled, held_out, passes
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
@@ -60,8 +60,7 @@ class LanguageModel:
         self.__init__(*state)
 
     def _forget(self) -> None:
-        self._codes: dict[str, int] = {}
-        self._rows: list[np.ndarray] = []
+        self._memory = WordMemory(np.float32, KEPT_WORDS)
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency per language, by the word or its longest known n-grams."""
@@ -84,20 +83,15 @@ class LanguageModel:
             counts[i] = len(found)
             lettered[i] = any(any(map(str.isalpha, w)) for w in found)
             listed.extend(found)
-        if len(self._codes) > KEPT_WORDS:
-            self._forget()
-        codes, rows = self._codes, self._rows
-        for word in dict.fromkeys(listed):
-            if word not in codes:
-                codes[word] = len(rows)
-                rows.append(self.word_scores(word))
+        memory = self._memory
+        memory.make_room()
+        new = memory.unseen(listed)
+        memory.add(new, [self.word_scores(w) for w in new])
         out = np.zeros((len(texts), len(self.languages)))
-        if listed:
-            at = np.fromiter(map(codes.__getitem__, listed), np.int64, len(listed))
-            taken = np.array(rows, np.float32)[at].astype(np.float64)
-            filled_rows = np.flatnonzero(counts)
-            starts = (np.cumsum(counts) - counts)[filled_rows]
-            out[filled_rows] = np.add.reduceat(taken, starts, axis=0)
+        if listed and self.languages:
+            taken = memory.lookup(listed)[0].reshape(-1, len(self.languages)).astype(np.float64)
+            held = np.flatnonzero(counts)
+            out[held] = np.add.reduceat(taken, (np.cumsum(counts) - counts)[held], axis=0)
         return out, lettered
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:

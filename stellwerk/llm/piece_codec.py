@@ -23,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stellwerk.llm.common import as_lists, filled, passes, ragged
+from stellwerk.llm.common import WordMemory, as_lists, filled, passes, sums_of_runs
 
 MARK = "▁"
 # Words kept per worker before the memory is cleared (about 150 bytes each).
 KEPT_WORDS = 400_000
+SHORT_WORD = 48
+NEVER = float("inf")
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -52,7 +54,8 @@ class PieceCodec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in control}
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("a piece crosses a word mark: words can't be encoded one by one")
-        self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
+        # Better scores come first in the agenda.
+        self.order = {p: -self.library.get_score(i) for p, i in self.ids.items()}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in np.flatnonzero(self.is_byte)}
         self.end = self.library.eos_id()
         self.check = check
@@ -61,32 +64,49 @@ class PieceCodec:
         self.byte_of = np.zeros(size, np.uint8)
         for value, i in self.byte_ids.items():
             self.byte_of[i] = value
-        self._forget()
-
-    def _forget(self) -> None:
-        self._codes: dict[str, int] = {}
-        self._starts, self._flat = [0], []
+        self._memory = WordMemory(np.int32, KEPT_WORDS)
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one marked word by the agenda."""
-        scores = self.scores
+        symbols = self._merged_short(word) if len(word) <= SHORT_WORD else self._merged_long(word)
+        ids, out = self.ids, []
+        for symbol in symbols:
+            known = ids.get(symbol)
+            if known is not None:
+                out.append(known)
+            else:
+                out.extend(self.byte_ids[b] for b in symbol.encode())
+        return out
+
+    def _merged_short(self, word: str) -> list[str]:
+        """The agenda as a list beside the symbols: one order per adjacent pair."""
+        order = self.order
+        symbols = list(word)
+        agenda = [order.get(a + b, NEVER) for a, b in zip(word, word[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # the leftmost of equals
+            merged = symbols[i] = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
+            if i:
+                agenda[i - 1] = order.get(symbols[i - 1] + merged, NEVER)
+            if i < len(agenda):
+                agenda[i] = order.get(merged + symbols[i + 1], NEVER)
+        return symbols
+
+    def _merged_long(self, word: str) -> list[str]:
+        """The agenda as a heap, for words where a list would be scanned too often."""
+        order = self.order
         symbols = list(word)
         n = len(symbols)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
-
-        def propose(i: int, j: int) -> None:
-            pair = symbols[i] + symbols[j]
-            score = scores.get(pair)
-            if score is not None:
-                agenda.append((-score, i, j, pair))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        agenda = [(order[word[i : i + 2]], i, i + 1, word[i : i + 2]) for i in range(n - 1) if word[i : i + 2] in order]
         heapq.heapify(agenda)
         while agenda:
             _, i, j, pair = heapq.heappop(agenda)
-            if not symbols[i] or not symbols[j] or right[i] != j or symbols[i] + symbols[j] != pair:
+            if not symbols[i] or right[i] != j or symbols[i] + symbols[j] != pair:
                 continue  # one of the two was merged meanwhile
             symbols[i], symbols[j] = pair, ""
             k = right[i] = right[j]
@@ -95,20 +115,12 @@ class PieceCodec:
             for a, b in ((left[i], i), (i, k)):
                 if a >= 0 and b < n:
                     joined = symbols[a] + symbols[b]
-                    score = scores.get(joined)
-                    if score is not None:
-                        heapq.heappush(agenda, (-score, a, b, joined))
-        ids = self.ids
-        out = []
-        for symbol in symbols:
-            if symbol:
-                known = ids.get(symbol)
-                out.extend((known,) if known is not None else (self.byte_ids[b] for b in symbol.encode()))
-        return out
+                    if joined in order:
+                        heapq.heappush(agenda, (order[joined], a, b, joined))
+        return [s for s in symbols if s]
 
     def _learn(self, words: list[str]) -> None:
         """Encode unseen words and compare them with the library."""
-        codes, flat, starts = self._codes, self._flat, self._starts
         found = [self.word_ids(w) for w in words]
         if self.check:
             # The library puts the first mark in front itself.
@@ -116,10 +128,7 @@ class PieceCodec:
             for word, mine, other in zip(words, found, theirs):
                 if mine != other and word != MARK:
                     raise AssertionError(f"ids of {word!r} differ from the library's: {mine} and {other}")
-        for word, ids in zip(words, found):
-            codes[word] = len(starts) - 1
-            flat.extend(ids)
-            starts.append(len(flat))
+        self._memory.add(words, found)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has, end ids included."""
@@ -133,21 +142,16 @@ class PieceCodec:
             else:
                 counts[i] = 1
             words.append("")  # stands for the end id
-        if len(self._codes) > KEPT_WORDS:
-            self._forget()
-        if "" not in self._codes:
-            self._codes[""] = len(self._starts) - 1
-            self._flat.append(self.end)
-            self._starts.append(len(self._flat))
-        new = [w for w in dict.fromkeys(words) if w not in self._codes]
+        memory = self._memory
+        memory.make_room()
+        new = memory.unseen(words)
+        if "" in new:
+            new.remove("")
+            memory.add([""], [[self.end]])
         if new:
             self._learn(new)
-        starts, flat = np.array(self._starts, np.int64), np.array(self._flat, np.int32)
-        codes = np.fromiter(map(self._codes.__getitem__, words), np.int64, len(words))
-        lengths = starts[codes + 1] - starts[codes]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        return flat[ragged(starts[codes], lengths)], sums[bounds[1:]] - sums[bounds[:-1]]
+        ids, lengths = memory.lookup(words)
+        return ids, sums_of_runs(lengths, counts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of one id sequence: bytes joined to characters, the first space left out."""

@@ -209,4 +209,7 @@ def test_registry_and_sequence(spark, as_of, tmp_path):
     parts = [parse_source(name, landed.read_landed(spark, str(tmp_path / "bronze"), name), F.lit(as_of), 30) for name in PARSERS]
     numbered = landed.with_sequence(union_sources(parts)).orderBy("seq").collect()
     assert [r["seq"] for r in numbered] == [1, 2, 3, 4]
-    assert [(r["source_name"], r["title"]) for r in numbered] == [("jooble", "A"), ("jooble", "B"), ("service_bund", "Sachbearbeitung"), ("service_bund", "Referent")]
+    in_order = [("service_bund", "Sachbearbeitung"), ("service_bund", "Referent"), ("jooble", "A"), ("jooble", "B")]
+    assert [(r["source_name"], r["title"]) for r in numbered] == in_order
+    asked = landed.with_sequence(union_sources(parts), ["jooble", "service_bund"]).orderBy("seq").collect()
+    assert [(r["source_name"], r["title"]) for r in asked] == in_order[2:] + in_order[:2]

@@ -81,12 +81,14 @@ def test_defined_cases_of_the_join(spark):
 
 def test_one_document_of_each_component_stays(spark):
     rows = near_copies(4, groups=3, copies=8) + [(1000 + i, t) for i, (_, t) in enumerate(EDGES)] + [(None, None), (1007, "a b c d e f")]
+    nameless = [(None, "words that stand alone"), (None, "Words that stand alone"), (None, "other words alone")]
+    rows += nameless
     frame = spark.createDataFrame([(d, t, str(d)) for d, t in rows], "doc_id long, text string, n_shingles string")
     kept = jaccard_join.keep_one(frame).collect()
     named = brute_components(rows)
-    expected = sorted({c for _, n, c in named if n} | {d for d, n, _ in named if not n and d is not None})
+    expected = sorted({c for _, n, c in named if n and c is not None} | {d for d, n, _ in named if not n and d is not None})
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == expected
-    assert sum(r.doc_id is None for r in kept) == sum(d is None and n == 0 for d, n, _ in named)
+    assert sorted((r.text or "").lower() for r in kept if r.doc_id is None) == ["", "other words alone", "words that stand alone"]
     assert set(kept[0].asDict()) == set(frame.columns)
 
 

@@ -3,7 +3,7 @@
 A byte is removed if a 200-byte string that covers it also starts anywhere else.
 
 Every window of 200 bytes names one of its positions by content alone, the one whose first
-24 bytes hash least.  A suffix array over these anchors only - about one per 89 bytes - still
+64 bytes hash least.  A suffix array over these anchors only - about one per 69 bytes - still
 meets every window, because equal windows name equal anchors.  An entry is the anchor's
 first bytes (its order), a fingerprint of all bytes that its windows span, how often that
 context occurred, and where first.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from stellwerk.llm.common import RangeHash, filled, fresh_folder, passes, ragged, stored, text_bytes
 
 LENGTH = 200
-GRAM = 24
+GRAM = 64  # long enough that unrelated texts hardly share one
 WIDTH = LENGTH - GRAM + 1
 BUCKET_BYTES = 100 << 20
 _PLACE_BITS = 28
@@ -449,8 +449,8 @@ def repeated_spans(documents: DataFrame, batches: int = 2, keep: list[str] | Non
     )
     names = [*keep, *(n for n, _ in _RESULT if want_text or n != "kept_text")]
     open_rows = looked.where(F.col("windows").isNotNull())
-    # Repeated rows are counted where contexts are; their windows are compared once.
-    found = _repeated_windows(open_rows.select("row_key", "windows").dropDuplicates(["row_key"]), index.bits)
+    # Repeated rows tell the same of themselves: one is enough to join with.
+    found = _repeated_windows(open_rows.select("row_key", "windows"), index.bits).dropDuplicates(["row_key"])
     settled = (
         open_rows.select(*keep, "row_key", "open_text", "known").join(found, "row_key", "left")
         .mapInArrow(_second_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}")

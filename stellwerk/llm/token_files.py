@@ -13,7 +13,6 @@ table writes files without rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,15 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import as_lists, filled, passes, ragged
+from stellwerk.llm.common import WordMemory, as_lists, filled, passes, sums_of_runs
 
 END = 1
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 2000  # rows per index entry and Bloom filter
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000  # about 200 bytes each
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
-# Runs between ASCII white space: the tokenizer drops white space and never joins over it.
-_RUNS = re.compile("[^ \t\n\r\x0b\x0c]+")
+# Marks that the tokenizer splits from a word before them.
+_CLOSING = ".,;:!?|"
+_BLOCK = 256  # words in one question to the library
 
 
 def default_tokenizer() -> str:
@@ -49,37 +49,66 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._codes, self._starts, self._flat = {}, [0], []
+        size = self.library.get_vocab_size()
+        self.closes = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)], bool)
+        self._memory = WordMemory(np.int32, KEPT_WORDS)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has, end ids included."""
         words, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts.to_pylist()):
-            found = _RUNS.findall(text)
+        for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
+            if b"<|" not in data:  # the vocabulary is lower case, its special tokens are not to arise anew
+                data = data.lower()
+            # Runs between ASCII white space: the tokenizer drops white space and never joins over it.
+            found = data.split()
             counts[i] = len(found) + 1
             words.extend(found)
-            words.append("")  # stands for the end id
-        if len(self._codes) > KEPT_WORDS:
-            self._forget()
-        codes, starts, flat = self._codes, self._starts, self._flat
-        if "" not in codes:
-            codes[""] = len(starts) - 1
-            flat.append(END)
-            starts.append(len(flat))
-        new = [w for w in dict.fromkeys(words) if w not in codes]
-        for word, done in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            codes[word] = len(starts) - 1
-            flat.extend(done.ids)
-            starts.append(len(flat))
-        begin, ids = np.array(starts, np.int64), np.array(flat, np.int32)
-        at = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        lengths = begin[at + 1] - begin[at]
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return ids[ragged(begin[at], lengths)], sums[bounds[1:]] - sums[bounds[:-1]]
+            words.append(b"")  # stands for the end id
+        memory = self._memory
+        memory.make_room()
+        self._learn(memory.unseen(words))
+        ids, lengths = memory.lookup(words)
+        return ids, sums_of_runs(lengths, counts)
+
+    def _learn(self, unseen: list[bytes]) -> None:
+        """Ask the library for unseen runs: runs of letters many at a time, others one by one.
+
+        Between a letter and closing marks the tokenizer always splits, so ``word,`` is
+        ``word`` and ``,``.
+        """
+        known: dict[str, list[int]] = {"": [END]}
+        letters, others, joined = [], [], []
+        runs = [run.decode() for run in unseen]
+        for run in runs:
+            if run:
+                core = run.rstrip(_CLOSING)
+                if not core.isalpha():
+                    others.append(run)
+                elif len(core) < len(run):
+                    joined.append((run, core, run[len(core) :]))
+                    letters.append(core)
+                    others.append(run[len(core) :])
+                else:
+                    letters.append(run)
+        letters, others = list(set(letters)), list(set(others))
+        blocks = [letters[i : i + _BLOCK] for i in range(0, len(letters), _BLOCK)]
+        for block, done in zip(blocks, self._ask([" ".join(b) for b in blocks])):
+            ids = np.array(done, np.int64)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(block) and (not len(ids) or ends[-1] == len(ids)):
+                known.update(zip(block, (done[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+            else:  # the library sees other word ends than this module
+                others.extend(block)
+        known.update(zip(others, self._ask(others)))
+        for run, core, rest in joined:
+            known[run] = known[core] + known[rest]
+        self._memory.add(unseen, [known[run] for run in runs])
+
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(texts), 2000):
+            out.extend(done.ids for done in self.library.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False))
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -170,18 +170,22 @@ class WordMemory:
         codes = self.codes
         return list({w for w in words if w not in codes})
 
-    def add(self, words: list[str], runs: list) -> None:
+    def add(self, words: list, runs: list) -> None:
         """Keep one run of values per word."""
+        lengths = np.fromiter(map(len, runs), np.int64, len(words))
+        self.add_values(words, lengths, np.fromiter(itertools.chain.from_iterable(runs), self._kind, int(lengths.sum())))
+
+    def add_values(self, words: list, lengths: np.ndarray, values: np.ndarray) -> None:
+        """The same, with all runs one after the other."""
         first, count = len(self.codes), len(words)
-        lengths = np.fromiter(map(len, runs), np.int64, count)
         used = self._bounds[first]
-        need = int(used + lengths.sum())
+        need = int(used) + len(values)
         if first + count + 1 > len(self._bounds):
             self._bounds = np.concatenate([self._bounds, np.zeros(first + count + 1, np.int64)])
         if need > len(self._values):
             self._values = np.concatenate([self._values, np.zeros(need, self._kind)])
         self._bounds[first + 1 : first + count + 1] = used + np.cumsum(lengths)
-        self._values[used:need] = np.fromiter(itertools.chain.from_iterable(runs), self._kind, need - used)
+        self._values[used:need] = values
         self.codes.update(zip(words, range(first, first + count)))
 
     def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -71,38 +71,35 @@ class WordTokenizer:
         return ids, sums_of_runs(lengths, counts)
 
     def _learn(self, unseen: list[bytes]) -> None:
-        """Ask the library for unseen runs: runs of letters many at a time, others one by one.
+        """Ask the library for unseen runs: words many at a time, other runs one by one.
 
-        Between a letter and closing marks the tokenizer always splits, so ``word,`` is
-        ``word`` and ``,``.
+        A run of letters is one piece of the tokenizer, and closing marks after it are a second
+        one; each piece ends with a closing id, so the answer for many words can be cut.
         """
-        known: dict[str, list[int]] = {"": [END]}
-        letters, others, joined = [], [], []
-        runs = [run.decode() for run in unseen]
-        for run in runs:
-            if run:
-                core = run.rstrip(_CLOSING)
-                if not core.isalpha():
-                    others.append(run)
-                elif len(core) < len(run):
-                    joined.append((run, core, run[len(core) :]))
-                    letters.append(core)
-                    others.append(run[len(core) :])
-                else:
-                    letters.append(run)
-        letters, others = list(set(letters)), list(set(others))
-        blocks = [letters[i : i + _BLOCK] for i in range(0, len(letters), _BLOCK)]
-        for block, done in zip(blocks, self._ask([" ".join(b) for b in blocks])):
-            ids = np.array(done, np.int64)
+        words, pieces, others = [], [], []
+        for run in unseen:
+            text = run.decode()
+            core = text.rstrip(_CLOSING)
+            if core.isalpha():
+                words.append(run)
+                pieces.append(1 + (len(core) < len(text)))
+            elif run:
+                others.append(run)
+            else:
+                self._memory.add([run], [[END]])
+        counts = np.cumsum(np.array(pieces, np.int64))
+        blocks = range(0, len(words), _BLOCK)
+        answers = self._ask([b" ".join(words[i : i + _BLOCK]).decode() for i in blocks])
+        for start, ids in zip(blocks, answers):
+            block = words[start : start + _BLOCK]
+            own = counts[start : start + _BLOCK] - (counts[start - 1] if start else 0)
+            ids = np.array(ids, np.int32)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(block) and (not len(ids) or ends[-1] == len(ids)):
-                known.update(zip(block, (done[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist()))))
+            if len(ends) == own[-1] and ends[-1] == len(ids):
+                self._memory.add_values(block, np.diff(ends[own - 1], prepend=0), ids)
             else:  # the library sees other word ends than this module
                 others.extend(block)
-        known.update(zip(others, self._ask(others)))
-        for run, core, rest in joined:
-            known[run] = known[core] + known[rest]
-        self._memory.add(unseen, [known[run] for run in runs])
+        self._memory.add(others, self._ask([run.decode() for run in others]))
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         out = []

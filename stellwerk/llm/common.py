@@ -16,10 +16,17 @@ from stellwerk.session import checkpoint_dir
 
 # Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 PASS_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of few megabytes, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; any split layout, any path Spark can read."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

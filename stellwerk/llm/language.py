@@ -16,6 +16,7 @@ rows and empty tables need nothing special; other columns are carried along.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -31,10 +32,10 @@ from stellwerk.llm.common import WordMemory, filled, held_out, passes
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
-NGRAMS = 20_000
+NGRAMS = 15_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,10 +47,26 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class ScoreTable:
+    """Log frequencies per language by word or n-gram, as one matrix: small in every worker."""
+
+    def __init__(self, rows: dict[str, int], values: np.ndarray):
+        self.rows, self.values = rows, values
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.rows
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.rows)
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.values[self.rows[key]]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams per language."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], ngrams: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: ScoreTable, ngrams: dict[int, ScoreTable]):
         self.languages, self.words, self.ngrams = languages, words, ngrams
         self._forget()
 
@@ -64,15 +81,14 @@ class LanguageModel:
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency per language, by the word or its longest known n-grams."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        if word in self.words:
+            return self.words[word]
         marked = f"^{word}$"
         for n in LENGTHS:
-            grams = self.ngrams[n]
-            hits = [grams[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in grams]
+            rows = self.ngrams[n].rows
+            hits = [rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in rows]
             if hits:
-                return np.mean(hits, axis=0, dtype=np.float64).astype(np.float32)
+                return self.ngrams[n].values[hits].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,36 +150,28 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
     kept = ranked.where(F.col("rank") <= WORDS).select("lang", "word", "n").collect()
     languages = sorted({r.lang for r in kept})
-    place = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    grams: dict[int, dict[str, np.ndarray]] = {n: {} for n in LENGTHS}
-    for r in kept:
-        words.setdefault(r.word, np.zeros(len(languages)))[place[r.lang]] += r.n
-        marked = f"^{r.word}$"
-        for n in LENGTHS:
-            table = grams[n]
-            for i in range(len(marked) - n + 1):
-                gram = marked[i : i + n]
-                if gram not in table:
-                    table[gram] = np.zeros(len(languages))
-                table[gram][place[r.lang]] += r.n
-    return LanguageModel(languages, _logs(words), {n: _logs(_commonest(g, len(languages))) for n, g in grams.items()})
-
-
-def _commonest(grams: dict[str, np.ndarray], languages: int) -> dict[str, np.ndarray]:
-    kept: set[str] = set()
-    for i in range(languages):
-        kept.update(sorted((g for g in grams if grams[g][i]), key=lambda g: (-grams[g][i], g))[:NGRAMS])
-    return {g: grams[g] for g in sorted(kept)}
-
-
-def _logs(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies per language."""
-    if not counts:
-        return {}
-    table = np.array(list(counts.values()))
+    words = [Counter({r.word: r.n for r in kept if r.lang == lang}) for lang in languages]
+    return LanguageModel(languages, _scored(words, WORDS), {n: _scored([_ngrams(w, n) for w in words], NGRAMS) for n in LENGTHS})
+
+
+def _ngrams(words: Counter, n: int) -> Counter:
+    """How often each n-gram occurs in the words, edges included."""
+    found: Counter = Counter()
+    for word, times in words.items():
+        marked = f"^{word}$"
+        for i in range(len(marked) - n + 1):
+            found[marked[i : i + n]] += times
+    return found
+
+
+def _scored(counts: list[Counter], most: int) -> ScoreTable:
+    """Smoothed log frequencies, by language, of each language's commonest entries."""
+    kept = sorted({key for own in counts for key in heapq.nsmallest(most, own, key=lambda k: (-own[k], k))})
+    if not kept:
+        return ScoreTable({}, np.zeros((0, len(counts)), np.float32))
+    table = np.array([[own[key] for own in counts] for key in kept], np.float64)
     totals = table.sum(axis=0) + SMOOTHING * len(table)
-    return dict(zip(counts, np.log((table + SMOOTHING) / totals).astype(np.float32)))
+    return ScoreTable({key: i for i, key in enumerate(kept)}, np.log((table + SMOOTHING) / totals).astype(np.float32))
 
 
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:

@@ -38,6 +38,7 @@ LENGTH = 200
 GRAM = 64  # long enough that unrelated texts hardly share one
 WIDTH = LENGTH - GRAM + 1
 BUCKET_BYTES = 100 << 20
+SLICE_BYTES = 512 << 10  # each byte takes about 100 while anchors are chosen
 _PLACE_BITS = 28
 _FULL, _COMPARE = 1, 2
 
@@ -108,7 +109,7 @@ def _suffixes(documents: DataFrame, bits: int, batch_number: int) -> DataFrame:
         number = 0
         for batch in batches:
             texts = filled(batch.column("text"))
-            for start, stop in passes(texts):
+            for start, stop in passes(texts, SLICE_BYTES):
                 raw, offsets = text_bytes(texts.slice(start, stop - start))
                 of, _, _, keys, prints = anchors(raw, offsets, RangeHash(raw))
                 if not len(of):

@@ -13,6 +13,7 @@ table writes files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ KEPT_WORDS = 1_000_000  # about 200 bytes each
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 # Marks that the tokenizer splits from a word before them.
 _CLOSING = ".,;:!?|"
+# An ASCII capital is only ever composed with a character right behind it, never with an ASCII one.
+_CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\x80-\xff]")
 _BLOCK = 256  # words in one question to the library
 
 
@@ -57,10 +60,14 @@ class WordTokenizer:
         """Ids of all texts one after the other, and how many each has, end ids included."""
         words, counts = [], np.zeros(len(texts), np.int64)
         for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
-            if b"<|" not in data:  # the vocabulary is lower case, its special tokens are not to arise anew
-                data = data.lower()
             # Runs between ASCII white space: the tokenizer drops white space and never joins over it.
-            found = data.split()
+            # It composes characters before it lower-cases, so a capital before a mark stays as it is.
+            if b"<|" in data:  # special tokens are not to arise anew
+                found = data.split()
+            elif data.isascii() or not _CAPITAL_BEFORE_MARK.search(data):
+                found = data.lower().split()
+            else:
+                found = [run.lower() if run.isascii() else run for run in data.split()]
             counts[i] = len(found) + 1
             words.extend(found)
             words.append(b"")  # stands for the end id

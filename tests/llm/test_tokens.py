@@ -71,6 +71,22 @@ def test_token_files_hold_the_library_ids_in_order(spark, documents):
     assert one.count() == 1 and "PushedFilters" in one._jdf.queryExecution().toString()
 
 
+def test_token_files_compose_before_they_lower_case(spark):
+    # Capitals without a composed form whose small letters have one.
+    pairs = ["T\u0308", "J\u030c", "H\u0331", "W\u030a", "Y\u030a", "T\u0344"]
+    texts = [*pairs, " ".join(pairs), "ÜBER " + pairs[1] + "ä, MÜNCHEN É E\u0301 \u212a\u030c", "Plain WORDS ÉTÉ", "K\u0323\u0331<|J\u030c"]
+    texts += [a + b for a in "HJTWYAK" for b in ("\u0308", "\u030c", "\u0331", "\u0323\u030a", "\u0344", "\u0130")]
+    path = fresh_folder(spark, "test-token-files")
+    token_files.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    start = 0
+    for row in token_files.directory(spark, path).orderBy("doc_id").collect():
+        ids = library.encode(texts[row.doc_id], add_special_tokens=False).ids + [1]
+        crc = zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), crc), texts[row.doc_id]
+        start += len(ids)
+
+
 def test_token_files_with_null_and_repeated_ids(spark, documents):
     path = fresh_folder(spark, "test-token-files")
     token_files.write(documents, path)

@@ -14,8 +14,11 @@ every entry is rewritten a logarithmic number of times.  A scan tells, of new an
 anchors: the whole context occurs elsewhere (all windows are repeated); or only its beginning
 does, in another context.  Of the latter, one per context compares its windows one by one.
 
-Arrays travel packed, dealt by the entries' order into buckets whose number follows the
-input.  A context that is frequent is one entry of its level and one row per task.
+Arrays travel packed, dealt by hash into buckets whose number follows the input.  Before they
+do, a task reduces its entries, half a million at a time (a unit): a context is one entry of
+its unit however often it occurs there, and so is an anchor, with one of its contexts and
+whether there are more.  What is decided goes back to units, not to occurrences.  Windows that
+are compared are reduced in the same way, per pass over texts.
 
 Defined cases: null counts as the empty text; texts of fewer than 200 bytes lose nothing;
 repeated rows are occurrences like any others; a null id needs nothing special; ties don't
@@ -29,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import RangeHash, filled, fresh_folder, passes, ragged, stored, text_bytes
+from stellwerk.llm.common import RangeHash, filled, fresh_folder, mixed, passes, ragged, stored, text_bytes
 
 LENGTH = 200
 GRAM = 64  # long enough that unrelated texts hardly share one
@@ -40,7 +44,8 @@ WIDTH = LENGTH - GRAM + 1
 BUCKET_BYTES = 100 << 20
 SLICE_BYTES = 512 << 10  # each byte takes about 100 while anchors are chosen
 _PLACE_BITS = 28
-_FULL, _COMPARE = 1, 2
+UNIT_ENTRIES = 1 << 19  # anchors that are reduced at once
+_FULL, _COMPARE, _LATER = 1, 2, 4
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -98,15 +103,45 @@ def _row_key() -> F.Column:
     return F.xxhash64("doc_id", "text")
 
 
+def _dealt(bits: int, by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """Bucket and packed columns of each bucket that has any.
+
+    The hash is mixed again: anchors are chosen as the least of many, so their own high bits are nearly always 0.
+    """
+    bucket = (mixed(by) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1)).tolist()
+    columns = [c[order] for c in columns]
+    for b, (i, j) in enumerate(zip(bounds, bounds[1:])):
+        if j > i:
+            yield b, *_pack(*(c[i:j] for c in columns))
+
+
+def _reduced(keys: np.ndarray, prints: np.ndarray):
+    """Distinct contexts and whether each is repeated (1 or 2); distinct anchors, the least context of each, and whether there are more."""
+    contexts, times = np.unique(prints, return_counts=True)
+    order = np.lexsort((prints, keys))
+    keys, prints = keys[order], prints[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    last = np.append(at[1:], len(keys)) - 1
+    return contexts, np.minimum(times, 2).astype(np.uint8), keys[at], prints[at], (prints[at] != prints[last]).astype(np.uint8)
+
+
 def _suffixes(documents: DataFrame, bits: int, batch_number: int) -> DataFrame:
-    """Rows of kind ``new`` (entries of a slice in one bucket, by text) and ``texts`` (its row keys).
+    """Rows of kind ``context`` and ``key`` (distinct entries of a unit in one bucket) and ``texts`` (its entries by text).
 
-    A slice is named by its batch, its partition and its place in it.
+    A unit is named by its batch, its partition and its place in it.
     """
-    buckets = 1 << bits
+
+    def unit_rows(unit: int, held: list[tuple]) -> list[tuple]:
+        keys, prints, row_keys, counts = (np.concatenate(c) for c in zip(*held))
+        contexts, times, own, least, more = _reduced(keys, prints)
+        rows = [("context", b, unit, None, p, t, None) for b, p, t in _dealt(bits, contexts, contexts, times)]
+        rows += [("key", b, unit, k, p, m, None) for b, k, p, m in _dealt(bits, own, own, least, more)]
+        return [*rows, ("texts", 0, unit, *_pack(keys, prints, row_keys, counts.astype(np.uint32)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
+        number, held, entries, part = 0, [], 0, 0
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts, SLICE_BYTES):
@@ -114,68 +149,75 @@ def _suffixes(documents: DataFrame, bits: int, batch_number: int) -> DataFrame:
                 of, _, _, keys, prints = anchors(raw, offsets, RangeHash(raw))
                 if not len(of):
                     continue
-                slice_ = (batch.column("part")[0].as_py() << 32) | number
-                number += 1
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-                keys, prints, of = keys[order], prints[order], of[order].astype(np.uint32)
-                rows = [("new", b, slice_, *_pack(keys[i:j], prints[i:j], of[i:j]), None) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
-                rows.append(("texts", slice_ % buckets, slice_, batch.column("row_key").slice(start, stop - start).to_numpy().tobytes(), None, None, None))
-                yield _batch(rows)
+                part = batch.column("part")[0].as_py()
+                counts = np.bincount(of, minlength=stop - start)
+                held.append((keys, prints, batch.column("row_key").slice(start, stop - start).to_numpy()[counts > 0], counts[counts > 0]))
+                entries += len(of)
+                if entries >= UNIT_ENTRIES:
+                    yield _batch(unit_rows((part << 32) | number, held))
+                    number, held, entries = number + 1, [], 0
+        if held:
+            yield _batch(unit_rows((part << 32) | number, held))
 
     return documents.select((F.spark_partition_id() + F.lit(batch_number << 24).cast("long")).alias("part"), _row_key().alias("row_key"), "text").mapInArrow(run, _ROWS)
 
 
 def _merge_scan(merge: list[int], keep: bool):
-    """Scan of one bucket: the new entries against those of all levels, and the merged level."""
+    """Scan of one bucket: the new entries against those of all levels, and the merged level.
+
+    Told are, per unit, contexts that are repeated (``full``, marked if the first one is
+    elsewhere) and anchors in more than one context (``many``).
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, levels = left.to_pylist(), right.to_pylist()
-        out = [tuple(r[n] for n in _NAMES) for r in rows if r["kind"] == "texts"]
-        new = sorted((r for r in rows if r["kind"] == "new"), key=lambda r: r["slice"])
-        bucket = (rows or levels)[0]["bucket"]
-        # Entries of levels (slice and text of their first occurrence in a), then the new ones.
-        keys = np.concatenate([_joined(levels, "keys", np.uint64), _joined(new, "keys", np.uint64)])
-        prints = np.concatenate([_joined(levels, "prints", np.uint64), _joined(new, "prints", np.uint64)])
-        old = _joined(levels, "a", [("slice", "<i8"), ("text", "<u4")])
-        slices = np.concatenate([old["slice"], np.repeat([r["slice"] for r in new], [len(r["keys"]) // 8 for r in new]).astype(np.int64)])
-        texts = np.concatenate([old["text"].astype(np.int64), _joined(new, "a", np.uint32).astype(np.int64)])
-        times = np.concatenate([_joined(levels, "b", np.uint8).astype(np.int64), np.ones(len(keys) - len(old), np.int64)])
-        is_new = np.arange(len(keys)) >= len(old)
-        if not len(keys):
-            return pa.Table.from_batches([_batch(out)])
-        order = np.lexsort((texts, slices, is_new, prints, keys))
-        keys, prints, slices, texts, times, is_new = (x[order] for x in (keys, prints, slices, texts, times, is_new))
-        head = np.append(True, (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1]))
+        new, levels = left.to_pylist(), right.to_pylist()
+        kind, bucket = (new or levels)[0]["kind"], (new or levels)[0]["bucket"]
+        of_context = kind == "context"
+        rows = levels + new
+        sizes = [len(r["prints"]) // 8 for r in rows]
+        # Entries of levels (unit of their first occurrence in b), then the new ones.
+        prints = _joined(rows, "prints", np.uint64)
+        keys = prints if of_context else _joined(rows, "keys", np.uint64)
+        marks = _joined(rows, "a", np.uint8).astype(np.int64)  # of contexts how often, of anchors whether there are more
+        units = np.concatenate([_joined(levels, "b", np.int64), np.repeat([r["slice"] for r in new], sizes[len(levels) :]).astype(np.int64)])
+        is_new = np.arange(len(keys)) >= sum(sizes[: len(levels)])
+        taken = is_new | np.isin(np.repeat([r["slice"] if i < len(levels) else -1 for i, r in enumerate(rows)], sizes), merge)
+        order = np.lexsort((units, is_new, keys))
+        keys, prints, marks, units, is_new, taken = (x[order] for x in (keys, prints, marks, units, is_new, taken))
+        head = np.append(True, keys[1:] != keys[:-1])
         at = np.flatnonzero(head)
         entry = np.cumsum(head) - 1
-        total = np.add.reduceat(times, at)
-        before = np.add.reduceat(np.where(is_new, 0, times), at)
-        top = np.append(True, keys[at][1:] != keys[at][:-1])
-        group = np.cumsum(top) - 1
-        contexts = np.bincount(group)[group]
-        contexts_before = np.bincount(group, weights=before > 0)[group]
-        # A new occurrence is told if its context is repeated, an old one when it first becomes so.
-        flags = np.where(is_new & (total > 1)[entry], _FULL, 0) | np.where(~is_new & ((before == 1) & (total > 1))[entry], _FULL, 0)
-        # Of a context among others, the first occurrence compares windows, told once.
-        told = (contexts > 1) & ((before == 0) | (contexts_before == 1))
-        flags[at[told]] |= _COMPARE
+        # The first taken occurrence of each entry, in order.
+        rank = np.where(taken, np.arange(len(keys)), len(keys))
+        place = np.minimum.reduceat(rank, at)
+        if of_context:
+            total = np.add.reduceat(marks, at)
+            before = np.add.reduceat(np.where(is_new, 0, marks), at)
+            # A new occurrence is told if its context is repeated, an old one when it first becomes so.
+            flags = np.where((total > 1)[entry] & (is_new | (before == 1)[entry]), _FULL, 0)
+            flags[(flags > 0) & is_new & ~head] |= _LATER
+            sums = np.minimum(np.add.reduceat(np.where(taken, marks, 0), at), 2)
+        else:
+            other = (prints != prints[at][entry]) | (marks > 0)
+            many = np.logical_or.reduceat(other, at)
+            before = np.logical_or.reduceat(other & ~is_new, at)
+            # New anchors are told of several contexts, the only old context when it first gets company.
+            flags = np.where(many[entry] & (is_new | (head & ~before[entry])), _COMPARE, 0)
+            kept = prints[np.minimum(place, len(keys) - 1)][entry]
+            sums = np.logical_or.reduceat(taken & ((prints != kept) | (marks > 0)), at)
+        out = []
         hit = np.flatnonzero(flags)
-        hit = hit[np.argsort(slices[hit], kind="stable")]
-        for part in np.split(hit, np.flatnonzero(np.diff(slices[hit])) + 1) if len(hit) else []:
-            out.append(("flags", bucket, int(slices[part[0]]), *_pack(texts[part].astype(np.uint32), prints[part], flags[part].astype(np.uint8)), None))
+        hit = hit[np.argsort(units[hit], kind="stable")]
+        for part in np.split(hit, np.flatnonzero(np.diff(units[hit])) + 1) if len(hit) else []:
+            if of_context:
+                out.append(("full", bucket, int(units[part[0]]), None, *_pack(prints[part], flags[part].astype(np.uint8)), None))
+            else:
+                out.append(("many", bucket, int(units[part[0]]), *_pack(keys[part]), None, None, None))
         if keep:
-            level = np.repeat([r["slice"] for r in levels], [len(r["keys"]) // 8 for r in levels])
-            takes = np.concatenate([np.isin(level, merge), np.ones(len(keys) - len(old), bool)])[order]
-            sums = np.add.reduceat(np.where(takes, times, 0), at)
-            kept = np.flatnonzero(sums)
-            # The first taken occurrence of each context, in order.
-            rank = np.where(takes, np.arange(len(keys)), len(keys))
-            place = np.minimum.reduceat(rank, at)[kept]
-            where = np.zeros(len(kept), [("slice", "<i8"), ("text", "<u4")])
-            where["slice"], where["text"] = slices[place], texts[place]
-            out.append(("level", bucket, -1, *_pack(keys[place], prints[place], where, np.minimum(sums[kept], 2).astype(np.uint8))))
+            found = place < len(keys)
+            place = place[found]
+            named = [None] if of_context else _pack(keys[place])
+            out.append((kind, bucket, -1, *named, *_pack(prints[place], sums[found].astype(np.uint8), units[place])))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -189,7 +231,7 @@ class SuffixIndex:
         self.path = path or fresh_folder(spark, "suffix-index")
         self.bits = max(6, int(np.ceil(np.log2(max(1, expected_bytes) / BUCKET_BYTES))) if expected_bytes else 0)
         self.levels: dict[int, str] = {}  # binary order of size: folder
-        self.scans: list[str] = []
+        self.scans: list[tuple[str, str]] = []  # folders of units and of what was told
 
     def add(self, documents: DataFrame, keep: bool = True) -> None:
         """Scan a batch of ``doc_id, text`` against all levels and make it part of the family.
@@ -201,22 +243,23 @@ class SuffixIndex:
         while size in self.levels:
             merge.append(size)
             size += 1
-        new = _suffixes(documents, self.bits, number)
+        units, folder = f"{self.path}/units-{number}", f"{self.path}/scan-{number}"
+        _suffixes(documents, self.bits, number).write.parquet(units)
+        entries = F.col("kind").isin("context", "key")
+        new = self.spark.read.schema(_ROWS).parquet(units).where(entries)
         held = None
-        for level, folder in self.levels.items():
-            rows = self.spark.read.schema(_ROWS).parquet(folder).where("kind = 'level'").withColumn("slice", F.lit(level).cast("long"))
+        for level, at in self.levels.items():
+            rows = self.spark.read.schema(_ROWS).parquet(at).where(entries).withColumn("slice", F.lit(level).cast("long"))
             held = rows if held is None else held.union(rows)
         if held is None:
             held = self.spark.createDataFrame([], _ROWS)
-        held = held.withColumnsRenamed({"bucket": "level_bucket"})
-        held = held.select("kind", "level_bucket", "slice", "keys", "prints", "a", "b")
+        held = held.select(F.col("kind").alias("level_kind"), F.col("bucket").alias("level_bucket"), "slice", "keys", "prints", "a", "b")
         run = _merge_scan(merge, keep)
-        scanned = new.groupBy("bucket").cogroup(held.groupBy("level_bucket")).applyInArrow(
+        scanned = new.groupBy("kind", "bucket").cogroup(held.groupBy("level_kind", "level_bucket")).applyInArrow(
             lambda left, right: run(left, right.rename_columns(_NAMES)), _ROWS
         )
-        folder = f"{self.path}/scan-{number}"
-        scanned.withColumn("batch", F.lit(number)).write.parquet(folder)
-        self.scans.append(folder)
+        scanned.write.parquet(folder)
+        self.scans.append((units, folder))
         if keep:
             for level in merge:
                 del self.levels[level]
@@ -224,31 +267,40 @@ class SuffixIndex:
 
     def flags(self) -> DataFrame:
         """row_key and packed fingerprints and flags of every text that has any."""
-        rows = None
-        for number, folder in enumerate(self.scans):
-            part = self.spark.read.schema(f"{_ROWS}, batch int").parquet(folder).where("kind in ('texts', 'flags')")
-            rows = part if rows is None else rows.union(part)
-        # Flags of older slices were told by later batches.
-        texts = rows.where("kind = 'texts'").select("slice", "batch", "keys")
-        flags = rows.where("kind = 'flags'").select("slice", "keys", "prints", "a")
+        texts = told = None
+        for number, (units, folder) in enumerate(self.scans):
+            part = self.spark.read.schema(_ROWS).parquet(units).where("kind = 'texts'").select("slice", F.lit(number).alias("batch"), "keys", "prints", "a", "b")
+            texts = part if texts is None else texts.union(part)
+            # Units of older batches are told by later ones, too.
+            part = self.spark.read.schema(_ROWS).parquet(folder).where("kind in ('full', 'many')").select("kind", F.col("slice").alias("of"), "keys", "prints", "a")
+            told = part if told is None else told.union(part)
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             named, found = left.to_pylist(), right.to_pylist()
             out = []
             if named and found:
-                row_keys = np.frombuffer(named[0]["keys"], np.int64)
-                text, prints, bits = (_joined(found, c, k) for c, k in (("keys", np.uint32), ("prints", np.uint64), ("a", np.uint8)))
-                order = np.argsort(text, kind="stable")
-                text, prints, bits = text[order], prints[order], bits[order]
-                for own in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
+                unit = named[0]
+                keys, prints = (_joined(named, c, np.uint64) for c in ("keys", "prints"))
+                row_keys, counts = _joined(named, "a", np.int64), _joined(named, "b", np.uint32)
+                full = [r for r in found if r["kind"] == "full"]
+                repeated, later = _joined(full, "prints", np.uint64), _joined(full, "a", np.uint8) & _LATER > 0
+                many = _joined([r for r in found if r["kind"] == "many"], "keys", np.uint64)
+                # Of a context among others, the first occurrence compares windows.
+                once = np.zeros(len(prints), bool)
+                once[np.unique(prints, return_index=True)[1]] = True
+                compare = once & np.isin(keys, many) & ~np.isin(prints, repeated[later])
+                bits = (np.isin(prints, repeated) * _FULL | compare * _COMPARE).astype(np.uint8)
+                text = np.repeat(np.arange(len(counts)), counts)
+                hit = np.flatnonzero(bits)
+                for own in np.split(hit, np.flatnonzero(np.diff(text[hit])) + 1) if len(hit) else []:
                     t = int(text[own[0]])
-                    out.append((int(row_keys[t]), named[0]["batch"], named[0]["slice"], t, prints[own].tobytes(), bits[own].tobytes()))
+                    out.append((int(row_keys[t]), unit["batch"], unit["slice"], t, prints[own].tobytes(), bits[own].tobytes()))
             columns = list(zip(*out)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             names = ["row_key", "batch", "slice", "number", "prints", "flags"]
             return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
-        told = texts.groupBy("slice").cogroup(flags.withColumnRenamed("slice", "of").groupBy("of")).applyInArrow(
+        told = texts.groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(
             run, "row_key long, batch int, slice long, number int, prints binary, flags binary"
         )
         # Repeated rows have the same flags, but the first one compares for all.
@@ -292,6 +344,7 @@ _RESULT_SCHEMA = "n_bytes long, n_removed long, n_spans long, kept_sha256 string
 
 def _first_look(kept: list[str], want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, partition = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
@@ -301,10 +354,9 @@ def _first_look(kept: list[str], want_text: bool):
                 results, pending, windows, known = [], [], [], []
                 for d, (p, f) in enumerate(zip(prints, flags)):
                     own = raw[offsets[d] : offsets[d + 1]]
-                    starts, compare = np.zeros(0, np.int64), None
+                    starts, compare, ranges = np.zeros(0, np.int64), None, None
                     if p is not None:
-                        hashes = RangeHash(own)
-                        _, begin, end, _, contexts = anchors(own, np.array([0, len(own)]), hashes)
+                        _, begin, end, _, contexts = anchors(own, np.array([0, len(own)]), RangeHash(own))
                         told, bits = np.frombuffer(p, np.uint64), np.frombuffer(f, np.uint8)
                         order = np.argsort(told, kind="stable")
                         told, bits = told[order], bits[order]
@@ -319,18 +371,19 @@ def _first_look(kept: list[str], want_text: bool):
                         once[np.unique(contexts, return_index=True)[1]] = True
                         once |= ~full
                         starts = _runs(begin[full], end[full])
-                        at = _runs(begin[look & once], end[look & once])
-                        if len(at):
-                            compare = hashes.of(at, at + LENGTH).tobytes()
+                        if (look & once).any():  # ranges of windows, not windows: these would be eight times the text
+                            compare, ranges = (np.stack([begin[x], end[x]], axis=1).astype("<i8").tobytes() for x in (look & once, full))
                     pending.append(compare is not None)
                     windows.append(compare)
-                    known.append(starts.astype("<i8").tobytes() if compare is not None else None)
+                    known.append(ranges)
                     results.append((None,) * len(_RESULT) if compare is not None else _digest(own, starts, want_text))
+                slices = pa.array([partition | number] * len(windows), pa.int64())
+                number += 1
                 text_kept = pa.array([t if p else None for t, p in zip(part.to_pylist(), pending)], pa.string())
                 columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*results), _RESULT)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(start, stop - start) for c in kept), *columns, text_kept, pa.array(windows, pa.binary()), pa.array(known, pa.binary())],
-                    [*kept, *(n for n, _ in _RESULT), "open_text", "windows", "known"],
+                    [*(batch.column(c).slice(start, stop - start) for c in kept), *columns, text_kept, slices, pa.array(windows, pa.binary()), pa.array(known, pa.binary())],
+                    [*kept, *(n for n, _ in _RESULT), "open_text", "slice", "windows", "known"],
                 )
 
     return run
@@ -341,88 +394,68 @@ def _runs(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return ragged(begin, end - begin + 1)
 
 
-_DEALT = "bucket int, slice long, keys binary, counts binary, rows binary"
+def _listed(ranges: bytes) -> np.ndarray:
+    """All numbers of packed ranges."""
+    return _runs(*np.frombuffer(ranges, "<i8").reshape(-1, 2).T)
 
 
-def _repeated_windows(open_rows: DataFrame, bits: int) -> DataFrame:
-    """row_key and packed fingerprints of its windows that occur more than once."""
-    buckets = 1 << bits
-    names, kinds = ["bucket", "slice", "keys", "counts", "rows"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+_DEALT = "bucket int, slice long, keys binary, times binary"
+
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+def _repeated_windows(open_rows: DataFrame, bits: int) -> DataFrame:
+    """Per slice, packed fingerprints of its windows that occur more than once anywhere."""
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            listed = batch.column("windows").to_pylist()
-            keys = np.frombuffer(b"".join(listed), np.uint64)
-            owner = np.repeat(np.arange(len(listed)), [len(x) // 8 for x in listed])
-            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            keys, owner = keys[order], owner[order]
-            slice_ = (batch.column("part")[0].as_py() << 32) | number
-            number += 1
-            rows = [(b, slice_, keys[i:j].tobytes(), np.bincount(owner[i:j], minlength=len(listed)).astype("<u4").tobytes(), None) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
-            rows.append((slice_ % buckets, slice_, None, None, batch.column("row_key").to_numpy().tobytes()))
-            yield packed(rows)
+            slices = batch.column("slice").to_numpy()
+            texts, ranges = (batch.column(c).to_pylist() for c in ("open_text", "windows"))
+            for slice_ in np.unique(slices).tolist():
+                found = []
+                for d in np.flatnonzero(slices == slice_).tolist():
+                    at = _listed(ranges[d])
+                    found.append(RangeHash(np.frombuffer(texts[d].encode(), np.uint8)).of(at, at + LENGTH))
+                keys, times = np.unique(np.concatenate(found), return_counts=True)
+                rows = [(b, slice_, k, t) for b, k, t in _dealt(bits, keys, keys, np.minimum(times, 2).astype(np.uint8))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["bucket", "slice", "keys", "times"])
 
     def often(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        out = [tuple(r[n] for n in names) for r in rows if r["rows"] is not None]
-        held = [r for r in rows if r["keys"] is not None]
-        if held:
-            every = _joined(held, "keys", np.uint64)
-            values, where, times = np.unique(every, return_inverse=True, return_counts=True)
-            repeated = times[where] > 1
-            at = 0
-            for r in held:
-                n = len(r["keys"]) // 8
-                keys, hit = every[at : at + n], repeated[at : at + n]
-                at += n
-                counts = np.frombuffer(r["counts"], "<u4")
-                owner = np.repeat(np.arange(len(counts)), counts)
-                if hit.any():
-                    out.append((r["bucket"], r["slice"], keys[hit].tobytes(), np.bincount(owner[hit], minlength=len(counts)).astype("<u4").tobytes(), None))
-        return pa.Table.from_batches([packed(out)])
-
-    def gather(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        row_keys = np.frombuffer(next(r["rows"] for r in rows if r["rows"] is not None), np.int64)
-        held = [r for r in rows if r["keys"] is not None]
-        ids, packed_keys = [], []
-        if held:
-            keys = _joined(held, "keys", np.uint64)
-            owner = np.concatenate([np.repeat(np.arange(len(row_keys)), np.frombuffer(r["counts"], "<u4")) for r in held])
-            order = np.argsort(owner, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
-                ids.append(int(row_keys[owner[own[0]]]))
-                packed_keys.append(keys[own].tobytes())
-        return pa.table({"row_key": pa.array(ids, pa.int64()), "repeated": pa.array(packed_keys, pa.binary())})
-
-    dealt = open_rows.select(F.spark_partition_id().cast("long").alias("part"), "row_key", "windows").mapInArrow(deal, _DEALT)
-    shared = dealt.groupBy("bucket").applyInArrow(often, _DEALT)
-    return shared.groupBy("slice").applyInArrow(gather, "row_key long, repeated binary")
+        keys, times = _joined(rows, "keys", np.uint64), _joined(rows, "times", np.uint8)
+        # Distinct within a row: a window is repeated if two rows have it, or one has it twice.
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        repeated = times > 1
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+        slices, found, at = [], [], 0
+        for r in rows:
+            n = len(r["times"])
+            if repeated[at : at + n].any():
+                slices.append(r["slice"])
+                found.append(keys[at : at + n][repeated[at : at + n]].tobytes())
+            at += n
+        return pa.table({"of": pa.array(slices, pa.int64()), "repeated": pa.array(found, pa.binary())})
+
+    dealt = open_rows.select("slice", "open_text", "windows").mapInArrow(deal, _DEALT)
+    return dealt.groupBy("bucket").applyInArrow(often, "of long, repeated binary")
 
 
 def _second_look(kept: list[str], want_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            results = []
-            for text, known, repeated in zip(*(batch.column(c).to_pylist() for c in ("open_text", "known", "repeated"))):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                starts = np.frombuffer(known, "<i8")
-                if repeated is not None:
-                    every = np.arange(len(raw) - LENGTH + 1)
-                    prints = RangeHash(raw).of(every, every + LENGTH)
-                    starts = np.union1d(starts, every[np.isin(prints, np.frombuffer(repeated, np.uint64))])
-                results.append(_digest(raw, starts, want_text))
-            columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*results) if results else [[]] * len(_RESULT), _RESULT)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *(n for n, _ in _RESULT)])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        repeated = np.sort(_joined(right.to_pylist(), "repeated", np.uint64))
+        results = []
+        for text, known in zip(*(left.column(c).to_pylist() for c in ("open_text", "known"))):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            starts = _listed(known)
+            if len(repeated):
+                every = np.arange(len(raw) - LENGTH + 1)
+                prints = RangeHash(raw).of(every, every + LENGTH)
+                at = np.minimum(np.searchsorted(repeated, prints), len(repeated) - 1)
+                starts = np.union1d(starts, every[repeated[at] == prints])
+            results.append(_digest(raw, starts, want_text))
+        columns = [pa.array(list(c), k) for c, (_, k) in zip(zip(*results) if results else [[]] * len(_RESULT), _RESULT)]
+        return pa.table([*(left.column(c) for c in kept), *columns], [*kept, *(n for n, _ in _RESULT)])
 
     return run
 
@@ -445,15 +478,14 @@ def repeated_spans(documents: DataFrame, batches: int = 2, keep: list[str] | Non
     columns = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     looked = stored(
         asked.withColumn("row_key", _row_key()).join(index.flags(), "row_key", "left")
-        .mapInArrow(_first_look([*keep, "row_key"], want_text), f"{columns}, row_key long, {_RESULT_SCHEMA}, open_text string, windows binary, known binary"),
+        .mapInArrow(_first_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}, open_text string, slice long, windows binary, known binary"),
         "repeats",
     )
     names = [*keep, *(n for n, _ in _RESULT if want_text or n != "kept_text")]
     open_rows = looked.where(F.col("windows").isNotNull())
-    # Repeated rows tell the same of themselves: one is enough to join with.
-    found = _repeated_windows(open_rows.select("row_key", "windows"), index.bits).dropDuplicates(["row_key"])
+    found = _repeated_windows(open_rows, index.bits)
     settled = (
-        open_rows.select(*keep, "row_key", "open_text", "known").join(found, "row_key", "left")
-        .mapInArrow(_second_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}")
+        open_rows.select(*keep, "slice", "open_text", "known").groupBy("slice").cogroup(found.groupBy("of"))
+        .applyInArrow(_second_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}")
     )
     return looked.where(F.col("windows").isNull()).select(*names).union(settled.select(*names))

@@ -1,5 +1,6 @@
 """Jaccard join, components and suffix index against brute force."""
 
+import collections
 import hashlib
 import random
 
@@ -158,6 +159,47 @@ def test_kept_texts_have_whole_characters(spark):
     assert kept == {0: "ax", 1: "by", 2: "clean", 3: rows[3][1]}
 
 
+def test_a_frequent_passage_is_one_entry_of_its_unit(spark):
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, short = text(900), text(100)
+    rows = [(i, text(150) + passage + text(150) + short + text(150)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = suffix_index.SuffixIndex(spark, 10_000)
+    index.add(frame, keep=False)
+    written = spark.read.option("recursiveFileLookup", True).parquet(index.path).where("kind <> 'texts'").collect()
+    counts = collections.Counter()
+    for r in written:
+        for column in ("keys", "prints"):
+            packed = r[column] or b""
+            counts.update((r["kind"], column, packed[i : i + 8]) for i in range(0, len(packed), 8))
+    assert max(counts.values()) <= 3  # one per unit, and a partition is one unit here
+    found = suffix_index.repeated_spans(frame, 1)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((tuple(r[n] for n in names) for r in found.collect()), key=str) == brute_repeats(rows)
+
+
+def test_anchors_are_dealt_evenly(spark):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(2000))) for i in range(200)]
+    index = suffix_index.SuffixIndex(spark, 10_000)
+    index.add(spark.createDataFrame(rows, "doc_id long, text string").repartition(1))
+    held = collections.Counter()
+    for r in spark.read.option("recursiveFileLookup", True).parquet(index.path).where("kind <> 'texts'").collect():
+        held[r["kind"], r["bucket"]] += len(r["prints"] or b"") // 8
+    assert max(held.values()) < 0.05 * sum(held.values())
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_small_units_find_the_same_repeats(spark, monkeypatch, batches):
+    monkeypatch.setattr(suffix_index, "UNIT_ENTRIES", 15)
+    monkeypatch.setattr(suffix_index, "SLICE_BYTES", 1000)
+    rows = repeated(11)
+    found = suffix_index.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), batches)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((tuple(r[n] for n in names) for r in found.collect()), key=str) == brute_repeats(rows)
+
+
 def test_levels_merge_geometrically(spark):
     frame = spark.createDataFrame(repeated(9), "doc_id long, text string")
     index = suffix_index.SuffixIndex(spark, 10_000)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm import bm25_search, curve_search, jaccard_join, language, packing, piece_codec, sharding, suffix_index, token_files, toxicity
+from stellwerk.llm import (
+    bm25_search, curve_search, exact_dedup, filter_audit, jaccard_join, language, merkle, packing, piece_codec, sharding, suffix_index,
+    token_files, toxicity,
+)
 from stellwerk.llm.common import fresh_folder, table
 
 QUERIES: dict = {}
@@ -194,3 +197,125 @@ def bm25_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best documents for the whole text of every hundredth document."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return bm25_search.search(documents, documents.where(F.col("id") % 100 == 0), 10)
+
+
+@register(
+    "op11_exact_dedup",
+    """
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS text FROM documents
+),
+middle AS (SELECT (min(doc_id) + max(doc_id)) // 2 AS m FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256,
+  coalesce(min(doc_id) OVER (PARTITION BY text) <= m, false) AS known
+FROM texts, middle
+""",
+)
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every document, and whether it stays."""
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    """SQL of a row's leaf: byte count and value of each column."""
+    columns = [text if c == "text" else f"{c}::VARCHAR" for c in merkle.LEAF_COLUMNS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in columns) + ")"
+
+
+@register(
+    "op12_merkle_manifest",
+    f"""
+WITH RECURSIVE {_CRC_SQL.replace("coalesce(text, '') AS text FROM documents", "doc_id::VARCHAR AS text FROM documents WHERE doc_id IS NOT NULL")},
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, {_leaf_sql("text")} AS leaf,
+    {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+  FROM documents
+),
+placed AS (
+  SELECT l.doc_id, k, leaf, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS shown, row_number() OVER (PARTITION BY k ORDER BY l.doc_id NULLS FIRST, leaf) - 1 AS place
+  FROM leaves l LEFT JOIN crcs ON crcs.text = l.doc_id::VARCHAR
+),
+nodes(k, level, place, n, h) AS (
+  SELECT k, 0, place, count(*) OVER (PARTITION BY k), leaf FROM placed
+  UNION ALL
+  SELECT k, any_value(level) + 1, place // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM nodes WHERE n > 1 GROUP BY k, place // 8
+),
+tops AS (SELECT k, level, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS place FROM nodes WHERE n = 1),
+upper(level, place, n, h) AS (
+  SELECT 0, place, count(*) OVER (), subroot FROM tops
+  UNION ALL
+  SELECT any_value(level) + 1, place // 8, any_value((n + 7) // 8), sha256(string_agg(h, '' ORDER BY place)) FROM upper WHERE n > 1 GROUP BY place // 8
+),
+parts AS (
+  SELECT p.k, p.place, s.level, coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place < p.place // (8 ** s.level)::BIGINT), '') AS a,
+    coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place > p.place // (8 ** s.level)::BIGINT), '') AS b
+  FROM placed p JOIN nodes s ON s.k = p.k AND s.n > 1 AND s.place // 8 = p.place // (8 ** (s.level + 1))::BIGINT
+  GROUP BY p.k, p.place, s.level
+),
+lists AS (SELECT k, place, list(a || '|' || b ORDER BY level) AS segments FROM parts GROUP BY k, place),
+upper_parts AS (
+  SELECT t.k, s.level, coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place < t.place // (8 ** s.level)::BIGINT), '') AS a,
+    coalesce(string_agg(s.h, '' ORDER BY s.place) FILTER (s.place > t.place // (8 ** s.level)::BIGINT), '') AS b
+  FROM tops t JOIN upper s ON s.n > 1 AND s.place // 8 = t.place // (8 ** (s.level + 1))::BIGINT
+  GROUP BY t.k, s.level
+),
+upper_lists AS (SELECT k, list(a || '|' || b ORDER BY level) AS segments FROM upper_parts GROUP BY k),
+paths AS (
+  SELECT doc_id, leaf, shown, subroot, list_concat(coalesce(l.segments, []), coalesce(u.segments, [])) AS segments
+  FROM placed p JOIN tops USING (k) LEFT JOIN lists l ON l.k = p.k AND l.place = p.place LEFT JOIN upper_lists u ON u.k = p.k
+),
+folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(replace(array_to_string(segments, ''), '|', '')) AS proof_sha256,
+    list_reduce(list_prepend(shown, segments), lambda x, s: sha256(split_part(s, '|', 1) || x || split_part(s, '|', 2))) AS folded_root
+  FROM paths
+)
+SELECT *, folded_root = root AS verified FROM folded
+""",
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and a checked proof of every document."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op13_filter_audit",
+    f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+rows AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM texts LEFT JOIN marks USING (doc_id)
+),
+cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM rows GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS axes FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+),
+steps AS (SELECT filter_order, step, axes[step] AS own, axes[1:step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+effects AS (
+  SELECT part, filter_order, step, own, n, good, toxic, f[own] AS fails, coalesce(list_bool_or(list_transform(earlier, lambda i: f[i])), false) AS gone,
+    len(list_filter(f, lambda x: x)) AS failed
+  FROM steps, cells
+),
+counted AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND failed = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM effects GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+""",
+)
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, at every step of every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -1,36 +1,23 @@
 """Identity resolution: which postings are new jobs and which repeat a known one.
 
 The rule is sequential - a posting is compared with everything accepted before
-it - but nothing here runs row by row.  Facts against the stored tables are
-joins; dependencies inside a batch are settled by rounds, each recomputing all
-labels from the previous ones with one aggregation per key.  A label depends on
-smaller ``seq`` only, so the rounds reach the one sequential answer, usually
-after three or four.
+it - but no batch runs row by row.  Facts against the stored tables are joins;
+dependencies inside a batch are settled by ``operators/settling.py``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk import constants as K
 from stellwerk.functions.text import canonical_id, is_blank, normalize_text
-from stellwerk.operators.similar_titles import similar_to_stored, similar_within
+from stellwerk.operators.settling import BY_HASH, BY_SOURCE_ID, BY_TITLE, NEW, Settling, title_ranges
+from stellwerk.operators.similar_titles import similar_to_stored
 from stellwerk.session import cut_lineage
 
-NEW, BY_SOURCE_ID, BY_HASH, BY_TITLE = "new", "source_id", "canonical_id", "similar_title"
-# A batch in which a company has more open titles than this, and so many alike
-# that each would resemble more than EDGES_PER_TITLE others, is halved by seq:
-# once the first half is settled, its accepted titles - few, for copies of one
-# title - take the others out of the comparison.
-SLICE_TITLES = 4096
-EDGES_PER_TITLE = 64
-SAMPLE_TITLES = 512
-
-
 def source_key(source_name: Column, source_job_id: Column, otherwise: Column) -> Column:
     """Join key of a source's own id; rows without id get a key that matches nothing.
 
@@ -105,15 +92,9 @@ def match_urls(keys: DataFrame, known: Known) -> DataFrame:
     return keys.join(hits, "url", "left").fillna(False, ["stored_url"])
 
 
-def _title_ranges(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("company_key", "title").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
-    )
-
-
 def match_titles(keys: DataFrame, known: Known, threshold: float) -> DataFrame:
     """Stage 2: add ``stored_title``."""
-    hits = similar_to_stored(_title_ranges(keys), known.titles, threshold)
+    hits = similar_to_stored(title_ranges(keys), known.titles, threshold)
     return keys.join(
         hits.withColumn("stored_title", F.lit(True)), ["company_key", "title"], "left"
     ).fillna(False, ["stored_title"])
@@ -149,117 +130,8 @@ def _registered(rows: DataFrame) -> DataFrame:
     )
 
 
-def _round(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """All labels recomputed from the current ones."""
-    accepted = rows.where(F.col("label") == NEW)
-    first_hash = accepted.groupBy("canonical_id").agg(F.min("seq").alias("hash_seq"))
-    first_title = accepted.groupBy("company_key", "title").agg(F.min("seq").alias("title_seq"))
-    via_similar = edges.join(
-        first_title.withColumnRenamed("title", "earlier_title"), ["company_key", "earlier_title"]
-    ).select("company_key", "title", "title_seq")
-    first_match = (
-        first_title.unionByName(via_similar)
-        .groupBy("company_key", "title")
-        .agg(F.min("title_seq").alias("title_seq"))
-    )
-    seq = F.col("seq")
-    by_id = F.col("stored_job").isNotNull() | (F.col("has_source_id") & (F.col("id_seq") < seq))
-    by_hash = F.col("stored_hash") | (F.col("hash_seq") < seq)
-    by_title = F.col("stored_title") | (F.col("title_seq") < seq)
-    label = (
-        F.when(by_id, BY_SOURCE_ID).when(by_hash, BY_HASH).when(by_title, BY_TITLE).otherwise(NEW)
-    )
-    return (
-        rows.withColumnRenamed("label", "previous")
-        .join(_registered(rows), "source_key", "left")
-        .join(first_hash, "canonical_id", "left")
-        .join(first_match, ["company_key", "title"], "left")
-        .withColumn("label", label)
-        .withColumn(
-            "job_key",
-            F.when(F.col("label") == BY_SOURCE_ID, F.coalesce("stored_job", "id_job")).when(
-                F.col("label") != BY_TITLE, F.col("canonical_id")
-            ),
-        )
-        .drop("id_seq", "id_job", "hash_seq", "title_seq")
-    )
-
-
-def _settle(rows: DataFrame, threshold: float) -> DataFrame:
-    """Labels of one slice whose facts against everything earlier are known."""
-    # A title that resembles a stored one is never accepted, so nothing later
-    # can match it: only the others are compared with each other.
-    open_titles = _title_ranges(rows.where(~F.col("stored_title")))
-    edges = cut_lineage(similar_within(open_titles, threshold))
-    first_guess = (
-        F.when(F.col("stored_job").isNotNull(), BY_SOURCE_ID)
-        .when(F.col("stored_hash"), BY_HASH)
-        .when(F.col("stored_title"), BY_TITLE)
-        .otherwise(NEW)
-    )
-    current = rows.withColumn("label", first_guess)
-    while True:
-        updated = cut_lineage(_round(current, edges))
-        changed = updated.where(F.col("label") != F.col("previous")).limit(1).count()
-        if not changed:
-            return updated.drop("previous")
-        current = updated.drop("previous", "job_key")
-
-
-def _too_dense(rows: DataFrame, slice_titles: int, threshold: float) -> bool:
-    """Whether comparing a slice's open titles would yield too many similar pairs.
-
-    Every company with many open titles is looked at: a sample of its titles
-    gives the share of similar pairs.  The answer steers the slicing, never the
-    labels.
-    """
-    open_titles = _title_ranges(rows.where(~F.col("stored_title")))
-    sizes = open_titles.groupBy("company_key").agg(F.count("*").alias("n"))
-    large = cut_lineage(sizes.where(F.col("n") > slice_titles))
-    if large.isEmpty():
-        return False
-    # About SAMPLE_TITLES titles of each, drawn by hash: no sort of a company's titles.
-    drawn = F.pmod(F.xxhash64("title"), F.lit(1 << 30)) < F.lit(SAMPLE_TITLES << 30) / F.col("n")
-    sample = cut_lineage(open_titles.join(large, "company_key").where(drawn))
-    pairs = similar_within(sample.drop("n"), threshold).groupBy("company_key").agg(F.count("*").alias("pairs"))
-    sampled = sample.groupBy("company_key", "n").agg(F.count("*").alias("size"))
-    share = F.col("pairs") / (F.col("size") * (F.col("size") - 1) / 2)
-    dense = sampled.join(pairs, "company_key").where(share * F.col("n") / 2 > EDGES_PER_TITLE)
-    return not dense.isEmpty()
-
-
-def _known_from_labels(labelled: DataFrame) -> Known:
-    """What settled slices add to the state.
-
-    Their ``stored_url`` already covers the slices before them, so a link counts
-    for its first slice only.
-    """
-    accepted = labelled.where(F.col("label") == NEW)
-    return Known(
-        source_ids=_registered(labelled).select("source_key", F.col("id_job").alias("job_key")),
-        hashes=accepted.select("canonical_id"),
-        titles=accepted.select("company_key", "title").distinct(),
-        urls=labelled.where(F.col("label") != BY_TITLE).select("url").distinct(),
-    )
-
-
-def _add_earlier(rows: DataFrame, earlier: Known, threshold: float) -> DataFrame:
-    """Facts against earlier slices, merged into those against the stored tables."""
-    facts = ["stored_job", "stored_hash", "stored_url", "stored_title"]
-    outer = rows.withColumnsRenamed({name: f"outer_{name}" for name in facts})
-    both = _match_all(outer, earlier, threshold)
-    merged = both.withColumns(
-        {
-            "stored_job": F.coalesce("outer_stored_job", "stored_job"),
-            **{name: F.col(f"outer_{name}") | F.col(name) for name in facts[1:]},
-        }
-    )
-    return merged.drop(*[f"outer_{name}" for name in facts])
-
-
 def label_postings(
-    keys: DataFrame, known: Known, threshold: float = K.FUZZY_THRESHOLD,
-    slice_titles: int = SLICE_TITLES,
+    keys: DataFrame, known: Known, threshold: float = K.FUZZY_THRESHOLD, slice_titles: int | None = None
 ) -> DataFrame:
     """Label and job of every posting key.
 
@@ -267,25 +139,15 @@ def label_postings(
     it belongs to; NULL for similar titles, which are dropped without a trace).
     """
     # The keys feed every lookup: normalise and hash once, then read narrow rows.
-    waiting = [(cut_lineage(_match_all(cut_lineage(keys), known, threshold)), 0)]
-    done: list[DataFrame] = []
-    while waiting:
-        rows, merged = waiting.pop()
-        if merged < len(done):
-            earlier = _known_from_labels(reduce(DataFrame.unionByName, done[merged:]))
-            rows = cut_lineage(_add_earlier(rows, earlier, threshold))
-        middle = (
-            rows.agg(F.percentile_approx("seq", 0.5), F.max("seq")).first()
-            if _too_dense(rows, slice_titles, threshold)
-            else None
-        )
-        if middle is None or middle[0] == middle[1]:
-            done.append(_settle(rows, threshold))
-        else:
-            seq = F.col("seq")
-            waiting.append((rows.where(seq > middle[0]), len(done)))
-            waiting.append((rows.where(seq <= middle[0]), len(done)))
-    return reduce(DataFrame.unionByName, done)
+    rows = cut_lineage(_match_all(cut_lineage(keys), known, threshold))
+    labelled = cut_lineage(rows.join(Settling(rows, threshold, slice_titles).labels(), "seq"))
+    # Only repeats of an id that this batch brought have to look up their job.
+    from_batch = (F.col("label") == BY_SOURCE_ID) & F.col("stored_job").isNull()
+    own = F.when(F.col("label") == BY_SOURCE_ID, F.col("stored_job")).when(F.col("label") != BY_TITLE, F.col("canonical_id"))
+    repeats = labelled.where(from_batch).join(_registered(labelled), "source_key")
+    return labelled.where(~from_batch).withColumn("job_key", own).unionByName(
+        repeats.withColumnRenamed("id_job", "job_key").drop("id_seq")
+    )
 
 
 def outcome(label: Column) -> Column:

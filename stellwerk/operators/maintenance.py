@@ -164,7 +164,7 @@ def next_sources(placed: DataFrame, sources: DataFrame, jobs: DataFrame, seen_at
 def resolve(
     postings: DataFrame, jobs: DataFrame, sources: DataFrame, companies: DataFrame,
     as_of: Column, threshold: float = K.FUZZY_THRESHOLD,
-    slice_titles: int = I.SLICE_TITLES,
+    slice_titles: int | None = None,
 ) -> Resolution:
     """One ingest run: companies, cascade, and the next jobs and sources."""
     all_companies = cut_lineage(upsert_companies(postings, companies, as_of))

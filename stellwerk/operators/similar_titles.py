@@ -32,6 +32,8 @@ _OTHER_SHARE = 4
 # Titles per company from which longer key combinations pay off.
 DEPTH_2_FROM = 256
 DEPTH_3_FROM = 20_000
+# Leaders of a company that are simply compared with all its titles.
+FEW_LEADERS = 32
 # Shortest title that can resemble a different one: 'abc' in 'abcd'.
 SHORTEST = 3
 
@@ -120,6 +122,11 @@ def _candidates(short: DataFrame, long: DataFrame, threshold: float) -> DataFram
     return pairs.where(fits & close).drop("depth", "key").distinct()
 
 
+def key_depth(n: Column) -> Column:
+    """Key size of a company with so many titles."""
+    return F.when(n > DEPTH_3_FROM, 3).when(n > DEPTH_2_FROM, 2).otherwise(1)
+
+
 def with_depth(*sides: DataFrame) -> list[DataFrame]:
     """Attach the key size; it depends on the titles a company has on all sides together.
 
@@ -130,10 +137,7 @@ def with_depth(*sides: DataFrame) -> list[DataFrame]:
         part = side.groupBy("company_key").agg(F.count("*").alias("n"))
         counted = part if counted is None else counted.unionByName(part)
     n = F.sum("n")
-    depth = (
-        F.when(n > DEPTH_3_FROM, 3).when(n > DEPTH_2_FROM, 2).otherwise(1).alias("depth")
-    )
-    depths = counted.groupBy("company_key").agg(depth, n.alias("n")).where("n > 1").drop("n")
+    depths = counted.groupBy("company_key").agg(key_depth(n).alias("depth"), n.alias("n")).where("n > 1").drop("n")
     # Each side feeds several joins: computed once, and spread, because a title
     # is few bytes but many keys.
     return [spread(cut_lineage(side.join(depths, "company_key"))) for side in sides]
@@ -200,3 +204,36 @@ def similar_to_stored(
         sequence_ratio("title", "earlier_title") >= threshold
     )
     return equal.unionByName(similar.select("company_key", "title")).distinct()
+
+
+def similar_to_leaders(titles: DataFrame, leaders: DataFrame, threshold: float = K.FUZZY_THRESHOLD) -> DataFrame:
+    """As ``similar_to_stored``; a company with few leaders compares each title with each of them.
+
+    So a burst of copies of one title costs about one comparison a title, however long its keys.
+    """
+    _check(threshold)
+    sizes = leaders.groupBy("company_key").agg((F.count("*") <= FEW_LEADERS).alias("few"))
+    sized = cut_lineage(leaders.join(sizes, "company_key"))
+    few = sized.where("few").select("company_key", F.col("title").alias("leader"))
+    m, n = F.length("title"), F.length("leader")
+    needed = _needed(m + n, threshold)
+    close = (F.least(m, n) >= needed) & (F.levenshtein("title", "leader") <= m + n - needed * 2)
+    alike = (F.col("title") == F.col("leader")) | (close & (sequence_ratio("title", "leader") >= threshold))
+    direct = titles.join(few, "company_key").where(alike).select("company_key", "title").distinct()
+    many = sized.where(~F.col("few")).select("company_key", "title")
+    if many.isEmpty():
+        return direct
+    return direct.unionByName(similar_to_stored(titles, many, threshold))
+
+
+def candidate_pairs(titles: DataFrame, threshold: float) -> DataFrame:
+    """company_key, pairs: how often two titles meet at a join key, from the keys' frequencies.
+
+    ``titles`` carry the ``depth`` of their keys.
+    """
+    counted = [
+        _with_keys(titles, role, threshold).groupBy("company_key", "depth", "key").agg(F.count("*").alias(role))
+        for role in ("short", "long")
+    ]
+    met = counted[0].join(counted[1], ["company_key", "depth", "key"])
+    return met.groupBy("company_key").agg(F.sum(F.col("short") * F.col("long")).alias("pairs"))

@@ -9,6 +9,8 @@ from stellwerk import schemas
 from stellwerk.functions.text import canonical_id, normalize_text
 from stellwerk.operators import identity as I
 from stellwerk.operators import maintenance as M
+from stellwerk.operators import settling as S
+from stellwerk.functions.similarity import ratio
 from stellwerk.session import cut_lineage
 
 TITLES = ["Data Engineer", "Data Engineer (m/w/d)", "Data Enginer", "Pflegekraft", "Pflegekraft Nacht",
@@ -35,9 +37,15 @@ def _empty(spark, schema):
     return spark.createDataFrame([], schema)
 
 
-@pytest.mark.parametrize("seed,slice_titles,days", [(1, 4096, 2), (3, 5, 1)])
-def test_runs_equal_sequential_model(spark, monkeypatch, seed, slice_titles, days):
-    monkeypatch.setattr(I, "EDGES_PER_TITLE", -1)  # always slice above slice_titles
+# Slices of two titles; components from the first round on; both with tiny components only.
+@pytest.mark.parametrize(
+    "seed,slice_titles,rounds,component_rows,days", [(1, 4096, 4, 5000, 2), (3, 2, 4, 5000, 1), (4, 4096, 1, 5000, 1)]
+)
+def test_runs_equal_sequential_model(spark, monkeypatch, seed, slice_titles, rounds, component_rows, days):
+    monkeypatch.setattr(S, "PAIRS_PER_TITLE", -1)  # always slice above slice_titles
+    monkeypatch.setattr(S, "FIRST_SLICE", 2)
+    monkeypatch.setattr(S, "ROUNDS", rounds)
+    monkeypatch.setattr(S, "COMPONENT_ROWS", component_rows)
     rng = random.Random(seed)
     jobs, sources, companies = (_empty(spark, s) for s in (schemas.JOBS, schemas.JOB_SOURCES, schemas.COMPANIES))
     state = {"jobs": {}, "sources": {}, "companies": {}}
@@ -77,3 +85,60 @@ def test_runs_equal_sequential_model(spark, monkeypatch, seed, slice_titles, day
         for key in closed:
             state["jobs"][key]["is_active"] = False
         jobs = cut_lineage(jobs.withColumn("is_active", F.col("is_active") & ~F.col("canonical_id").isin(closed)))
+
+
+def _keys(spark, titles):
+    """Posting keys of one company per prefix, in arrival order."""
+    rows = [(i, f"u{i}", False, f"none{i}", f"c{i}", company, title) for i, (company, title) in enumerate(titles)]
+    schema = "seq long, url string, has_source_id boolean, source_key string, canonical_id string, company_key string, title string"
+    return spark.createDataFrame(rows, schema).withColumns(
+        {"stored_job": F.lit(None).cast("string"), "stored_hash": F.lit(False), "stored_url": F.lit(False), "stored_title": F.lit(False)}
+    )
+
+
+def _model(titles):
+    accepted, labels = {}, []
+    for company, title in titles:
+        earlier = accepted.setdefault(company, [])
+        alike = any(ratio(title, t) >= 0.85 for t in earlier)
+        labels.append(I.BY_TITLE if alike else I.NEW)
+        if not alike:
+            earlier.append(title)
+    return labels
+
+
+def test_a_chain_of_titles_costs_a_small_multiple_of_the_batch(spark):
+    # Each title resembles its neighbours only, so every label waits for the one before.
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    text = "".join(random.Random(5).choices(letters, k=900))
+    titles = [("c", text[4 * i : 4 * i + 40]) for i in range(200)]
+    settling = S.Settling(_keys(spark, titles).repartition(3), 0.85)
+    got = [r.label for r in settling.labels().orderBy("seq").collect()]
+    assert got == _model(titles) and got[:5] == [I.NEW, I.BY_TITLE] * 2 + [I.NEW]
+    assert sum(settling.joined) <= 3 * 200 + 4 * 200, settling.joined
+    assert len(settling.joined) < 12
+
+
+def test_bursts_of_copies_are_compared_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(S, "FIRST_SLICE", 16)
+    monkeypatch.setattr(S, "SAMPLE_TITLES", 500)
+    compared = []
+    within = S.similar_within
+
+    def counted(titles, threshold):
+        edges = within(titles, threshold)
+        compared.append(edges.count())
+        return edges
+
+    monkeypatch.setattr(S, "similar_within", counted)
+    rng = random.Random(6)
+    titles = [(c, f"sachbearbeiter einkauf standort {c} nr {i:05d}") for i in range(1500) for c in ("a", "b", "c")]
+    titles += [("small", " ".join(rng.choices(["data", "pflege", "leiter", "berater", "java", "sql"], k=4))) for _ in range(60)]
+    rng.shuffle(titles)
+    settling = S.Settling(_keys(spark, titles), 0.85, slice_titles=1000)
+    got = [r.label for r in settling.labels().orderBy("seq").collect()]
+    assert got == _model(titles)
+    assert settling.slices >= 1
+    assert sum(compared) < 3 * len(titles)
+    # The rest of the batch leaves with the first rounds.
+    assert sum(settling.joined) < 6 * len(titles)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +86,61 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return v
 
 
+def give_back() -> None:
+    """Return what a finished task no longer needs to the system: workers are kept for later stages."""
+    for name in [name for name, have in _POWERS.items() if len(have) > KEPT_POWERS]:
+        del _POWERS[name]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back when its task ends."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def tidied(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def tidy_pair(run: Callable) -> Callable:
+    """The same for a function of two groups of one key."""
+
+    def tidied(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def drawn(share: float | F.Column, *columns) -> F.Column:
+    """True for about ``share`` of the rows, by a 64-bit hash of the columns; fit for shares of any size."""
+    return F.xxhash64(*columns).cast("double") / 2.0**64 + 0.5 < share
+
+
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE, _MODULUS = 0x9E3779B97F4A7C15 | 1, 1 << 64
 _POWERS: dict[str, np.ndarray] = {}
+KEPT_POWERS = 2 * PASS_BYTES  # longer tables, for longer texts, last one task
 
 
 def _powers(name: str, base: int, n: int) -> np.ndarray:

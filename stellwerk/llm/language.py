@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import WordMemory, filled, held_out, passes
+from stellwerk.llm.common import WordMemory, drawn, filled, held_out, passes, tidy
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
@@ -125,8 +125,7 @@ def training_rows(documents: DataFrame, rows: int) -> DataFrame:
     """About ``rows`` labelled rows that are not held out, chosen by a hash of the id."""
     labelled = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     count = labelled.select("lang").count()
-    share = int(min(1.0, rows / max(1, count)) * (1 << 20))
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("text", "lang")
+    return labelled.where(drawn(rows / max(1, count), "doc_id")).select("text", "lang")
 
 
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
@@ -144,7 +143,7 @@ def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
                 )
 
     counted = (
-        training_rows(documents, rows).mapInArrow(count, "lang string, word string, n long")
+        training_rows(documents, rows).mapInArrow(tidy(count), "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n"))
     )
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
@@ -191,7 +190,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 )
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept), "lang_pred string, score double"])
-    return documents.select(*kept).mapInArrow(run, schema)
+    return documents.select(*kept).mapInArrow(tidy(run), schema)
 
 
 def digest(documents: DataFrame, model: LanguageModel) -> DataFrame:
@@ -212,4 +211,4 @@ def digest(documents: DataFrame, model: LanguageModel) -> DataFrame:
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import RangeHash, filled, fresh_folder, mixed, passes, ragged, stored, text_bytes
+from stellwerk.llm.common import RangeHash, filled, fresh_folder, mixed, passes, ragged, stored, text_bytes, tidy, tidy_group, tidy_pair
 
 LENGTH = 200
 GRAM = 64  # long enough that unrelated texts hardly share one
@@ -159,7 +159,7 @@ def _suffixes(documents: DataFrame, bits: int, batch_number: int) -> DataFrame:
         if held:
             yield _batch(unit_rows((part << 32) | number, held))
 
-    return documents.select((F.spark_partition_id() + F.lit(batch_number << 24).cast("long")).alias("part"), _row_key().alias("row_key"), "text").mapInArrow(run, _ROWS)
+    return documents.select((F.spark_partition_id() + F.lit(batch_number << 24).cast("long")).alias("part"), _row_key().alias("row_key"), "text").mapInArrow(tidy(run), _ROWS)
 
 
 def _merge_scan(merge: list[int], keep: bool):
@@ -256,7 +256,7 @@ class SuffixIndex:
         held = held.select(F.col("kind").alias("level_kind"), F.col("bucket").alias("level_bucket"), "slice", "keys", "prints", "a", "b")
         run = _merge_scan(merge, keep)
         scanned = new.groupBy("kind", "bucket").cogroup(held.groupBy("level_kind", "level_bucket")).applyInArrow(
-            lambda left, right: run(left, right.rename_columns(_NAMES)), _ROWS
+            tidy_pair(lambda left, right: run(left, right.rename_columns(_NAMES))), _ROWS
         )
         scanned.write.parquet(folder)
         self.scans.append((units, folder))
@@ -301,7 +301,7 @@ class SuffixIndex:
             return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
         told = texts.groupBy("slice").cogroup(told.groupBy("of")).applyInArrow(
-            run, "row_key long, batch int, slice long, number int, prints binary, flags binary"
+            tidy_pair(run), "row_key long, batch int, slice long, number int, prints binary, flags binary"
         )
         # Repeated rows have the same flags, but the first one compares for all.
         first = F.struct("batch", "slice", "number")
@@ -437,8 +437,8 @@ def _repeated_windows(open_rows: DataFrame, bits: int) -> DataFrame:
             at += n
         return pa.table({"of": pa.array(slices, pa.int64()), "repeated": pa.array(found, pa.binary())})
 
-    dealt = open_rows.select("slice", "open_text", "windows").mapInArrow(deal, _DEALT)
-    return dealt.groupBy("bucket").applyInArrow(often, "of long, repeated binary")
+    dealt = open_rows.select("slice", "open_text", "windows").mapInArrow(tidy(deal), _DEALT)
+    return dealt.groupBy("bucket").applyInArrow(tidy_group(often), "of long, repeated binary")
 
 
 def _second_look(kept: list[str], want_text: bool):
@@ -478,7 +478,7 @@ def repeated_spans(documents: DataFrame, batches: int = 2, keep: list[str] | Non
     columns = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     looked = stored(
         asked.withColumn("row_key", _row_key()).join(index.flags(), "row_key", "left")
-        .mapInArrow(_first_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}, open_text string, slice long, windows binary, known binary"),
+        .mapInArrow(tidy(_first_look(keep, want_text)), f"{columns}, {_RESULT_SCHEMA}, open_text string, slice long, windows binary, known binary"),
         "repeats",
     )
     names = [*keep, *(n for n, _ in _RESULT if want_text or n != "kept_text")]
@@ -486,6 +486,6 @@ def repeated_spans(documents: DataFrame, batches: int = 2, keep: list[str] | Non
     found = _repeated_windows(open_rows, index.bits)
     settled = (
         open_rows.select(*keep, "slice", "open_text", "known").groupBy("slice").cogroup(found.groupBy("of"))
-        .applyInArrow(_second_look(keep, want_text), f"{columns}, {_RESULT_SCHEMA}")
+        .applyInArrow(tidy_pair(_second_look(keep, want_text)), f"{columns}, {_RESULT_SCHEMA}")
     )
     return looked.where(F.col("windows").isNull()).select(*names).union(settled.select(*names))

@@ -9,14 +9,18 @@ COUNTERS = ["fetched", "new", "duplicate", "skipped", "errors"]
 
 
 def run_stats(outcomes: DataFrame, *keys: str) -> DataFrame:
-    """Outcome counts per given key columns (run, source, ...)."""
+    """Outcome counts per given key columns (run, source, ...).
+
+    A response that could not be read is an error, but nothing was fetched with it.
+    """
     result = F.col("outcome")
+    unreadable = F.coalesce(result == "unreadable", F.lit(False))
     return outcomes.groupBy(*keys).agg(
-        F.count("*").alias("fetched"),
+        F.count_if(~unreadable).alias("fetched"),
         F.count_if(result == "new").alias("new"),
         F.count_if(result == "duplicate").alias("duplicate"),
         F.count_if(result == "skipped").alias("skipped"),
-        F.count_if(result == "error").alias("errors"),
+        F.count_if((result == "error") | unreadable).alias("errors"),
     )
 
 

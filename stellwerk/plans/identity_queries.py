@@ -161,18 +161,8 @@ def stage_canonical_id(v):
     return keys.select("seq", "stored_hash", "stored_url")
 
 
-@register("stage_similar_title")
-def stage_similar_title(v):
-    jobs, links, companies, batch = _state(v)
-    known = I.known_from_tables(jobs, links, companies)
-    keys = I.match_titles(I.posting_keys(batch), known, 0.85)
-    return keys.select("seq", "stored_title")
-
-
 # Ratcliff-Obershelp in SQL: longest common run first, then left and right of it.
-@register(
-    "similar_titles",
-    _STATE.replace("WITH p", "WITH RECURSIVE p") + """
+_RATIOS = """
     , titles AS (SELECT DISTINCT title_norm AS t FROM p),
     pairs AS (SELECT a.t AS a, b.t AS b FROM titles a, titles b WHERE a.t <> b.t),
     cells AS (SELECT a, b, i, j FROM pairs, range(1, 200) x(i), range(1, 200) y(j)
@@ -197,8 +187,61 @@ def stage_similar_title(v):
           GROUP BY ALL)) 
     ),
     ratios AS (SELECT a, b, 2.0::DOUBLE * sum(k) / (length(a) + length(b)) AS ratio
-               FROM blocks GROUP BY a, b),
-    per_company AS (SELECT company_key, title_norm AS t, min(seq) AS lo, max(seq) AS hi
+               FROM blocks GROUP BY a, b)
+"""
+
+# The cascade row by row: each step sees what the steps before it accepted, linked and registered.
+_WALK = """
+    , alike AS (SELECT a, b FROM ratios WHERE ratio >= 0.85 UNION ALL SELECT t, t FROM titles),
+    known_titles AS (SELECT DISTINCT company_key, {title_norm} AS known FROM jobs),
+    known_ids AS (SELECT l.source_name, l.source_job_id, arg_min(j.canonical_id, l.id) AS stored_job
+                  FROM links l JOIN jobs j ON j.id = l.job_id WHERE coalesce(l.source_job_id, '') <> '' GROUP BY 1, 2),
+    numbered AS (
+      SELECT *, row_number() OVER (ORDER BY seq)::INT AS n, dense_rank() OVER (ORDER BY canonical_id)::INT AS h,
+             dense_rank() OVER (ORDER BY url)::INT AS u, dense_rank() OVER (ORDER BY company_key, title_norm)::INT AS t,
+             CASE WHEN coalesce(source_job_id, '') <> ''
+                  THEN dense_rank() OVER (ORDER BY source_name, source_job_id)::INT END AS k
+      FROM batch),
+    title_ids AS (SELECT DISTINCT company_key, title_norm, t FROM numbered),
+    near AS (SELECT x.t, list(y.t) AS near FROM title_ids x JOIN title_ids y USING (company_key)
+             JOIN alike ON a = x.title_norm AND b = y.title_norm GROUP BY x.t),
+    known_near AS (SELECT DISTINCT x.t, true AS stored_title FROM title_ids x JOIN known_titles USING (company_key)
+                   JOIN alike ON a = x.title_norm AND b = known),
+    steps AS MATERIALIZED (
+      SELECT n, seq, source_name, canonical_id, h, u, k, t, near, stored_job, j.canonical_id IS NOT NULL AS stored_hash,
+             l.url IS NOT NULL AS stored_url, coalesce(stored_title, false) AS stored_title
+      FROM numbered LEFT JOIN near USING (t) LEFT JOIN known_near USING (t)
+      LEFT JOIN known_ids USING (source_name, source_job_id)
+      LEFT JOIN (SELECT DISTINCT canonical_id FROM jobs) j USING (canonical_id)
+      LEFT JOIN (SELECT DISTINCT url FROM links) l USING (url)),
+    walk(n, label, brings, hashes, titles, urls, ids) AS (
+      SELECT 0, NULL::VARCHAR, false, []::INT[], []::INT[], []::INT[], []::INT[]
+      UNION ALL
+      SELECT n, label, brings, CASE WHEN label = 'new' THEN list_append(hashes, h) ELSE hashes END,
+             CASE WHEN label = 'new' THEN list_append(titles, t) ELSE titles END,
+             CASE WHEN linked THEN list_append(urls, u) ELSE urls END, CASE WHEN brings THEN list_append(ids, k) ELSE ids END
+      FROM (SELECT *, linked AND k IS NOT NULL AND NOT stored_url AS brings FROM (
+        SELECT *, label <> 'similar_title' AND NOT list_contains(urls, u) AS linked FROM (
+          SELECT s.*, w.hashes, w.titles, w.urls, w.ids,
+                 CASE WHEN stored_job IS NOT NULL OR coalesce(list_contains(w.ids, k), false) THEN 'source_id'
+                      WHEN stored_hash OR list_contains(w.hashes, h) THEN 'canonical_id'
+                      WHEN stored_title OR list_has_any(w.titles, near) THEN 'similar_title' ELSE 'new' END AS label
+          FROM walk w JOIN steps s ON s.n = w.n + 1)))),
+    brought AS (SELECT k, arg_min(canonical_id, n) AS job FROM walk JOIN steps USING (n) WHERE brings GROUP BY k),
+    decided AS (
+      SELECT seq, source_name, label, CASE label WHEN 'source_id' THEN coalesce(stored_job, job) WHEN 'similar_title' THEN NULL
+                                                 ELSE canonical_id END AS job_key
+      FROM walk JOIN steps USING (n) LEFT JOIN brought USING (k))
+"""
+_CASCADE = _STATE.replace("WITH p", "WITH RECURSIVE p") + _RATIOS + _WALK.format(title_norm=sql_normalize("title"))
+# The same with nothing stored.
+FIRST_RUN = _CASCADE.replace(f"published_at < TIMESTAMP '{DAY}'", "false").replace(f"published_at >= TIMESTAMP '{DAY}'", "true")
+
+
+@register(
+    "similar_titles",
+    _STATE.replace("WITH p", "WITH RECURSIVE p") + _RATIOS + """
+    , per_company AS (SELECT company_key, title_norm AS t, min(seq) AS lo, max(seq) AS hi
                     FROM p GROUP BY 1, 2)
     SELECT x.company_key, x.t AS title, y.t AS earlier_title
     FROM per_company x JOIN per_company y ON x.company_key = y.company_key AND x.hi > y.lo
@@ -213,7 +256,15 @@ def similar_titles(v):
     return similar_within(titles)
 
 
-@register("resolve_postings")
+@register("stage_similar_title", _CASCADE + "SELECT seq, stored_title FROM steps")
+def stage_similar_title(v):
+    jobs, links, companies, batch = _state(v)
+    known = I.known_from_tables(jobs, links, companies)
+    keys = I.match_titles(I.posting_keys(batch), known, 0.85)
+    return keys.select("seq", "stored_title")
+
+
+@register("resolve_postings", _CASCADE + "SELECT seq, label, job_key FROM decided")
 def resolve_postings(v):
     jobs, links, companies, batch = _state(v)
     known = I.known_from_tables(jobs, links, companies)
@@ -221,7 +272,14 @@ def resolve_postings(v):
     return labelled.select("seq", "label", "job_key")
 
 
-@register("ingest_run_stats")
+@register(
+    "ingest_run_stats",
+    FIRST_RUN + """
+    SELECT source_name, count(*) AS fetched, count(*) FILTER (label = 'new') AS new, count(*) FILTER (label <> 'new') AS duplicate,
+           0 AS skipped, 0 AS errors
+    FROM decided GROUP BY source_name
+    """,
+)
 def ingest_run_stats(v):
     """All postings against empty tables, counted per source."""
     keys = I.posting_keys(v.v_postings)

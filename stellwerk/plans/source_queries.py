@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from stellwerk import constants as K
 from stellwerk.functions import html as H
+from stellwerk.operators.backfill import backfill_texts
+from stellwerk.operators.runs import run_stats
 from stellwerk.plans.registry import register
 from stellwerk.sources import encoded_pages, feeds, html_lists, json_lists, lookup_payloads
+from stellwerk.sources.isolation import parse_isolated, with_errors
 from stellwerk.sources.landed import with_sequence
 from stellwerk.sources.registry import union_sources
 
@@ -440,6 +443,66 @@ def main_text(v):
     return v.pages.select("page_id", H.main_text(K.LISTING_SELECTORS)("html").alias("text"))
 
 
+@register(
+    "backfill_run",
+    f"""
+    WITH a AS (SELECT page_id, html, {_PLAIN.format(_BARE.format("regexp_extract(html, '(?s)(<article>.*</article>)', 1)"))} AS art,
+                      {_PLAIN.format(_BARE.format("regexp_extract(html, '(?s)(<body>.*)', 1)"))} AS body
+               FROM pages),
+    texts AS (SELECT page_id AS id, CASE WHEN length(art) > 100 THEN art WHEN length(body) > 100 THEN body END AS text FROM a),
+    wanted AS (SELECT DISTINCT j.id FROM v_jobs j JOIN v_sources s ON s.job_id = j.id
+               WHERE s.source_name = 'NO' AND coalesce(j.raw_text, '') = '' AND j.is_active)
+    SELECT j.id, CASE WHEN w.id IS NULL THEN j.raw_text ELSE coalesce(t.text, j.raw_text) END AS raw_text,
+           CASE WHEN w.id IS NOT NULL AND t.text IS NOT NULL THEN '{AS_OF}' END AS updated
+    FROM v_jobs j LEFT JOIN wanted w USING (id) LEFT JOIN texts t USING (id)
+    """,
+)
+def backfill_run(v):
+    """Each link of a job shows the page with the job's number."""
+    pages = v.pages.select(F.col("page_id").alias("job_id"), F.col("html").alias("payload"))
+    details = v.v_sources.select("job_id", F.col("url").alias("search_key")).join(pages, "job_id")
+    done = backfill_texts(v.v_jobs, v.v_sources, details, "NO", _as_of(), K.LISTING_SELECTORS)
+    updated = F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated")
+    return done.jobs.select("id", "raw_text", updated)
+
+
+def _broken_search(v):
+    """Paged responses with one posting without title each, and a broken response for some of them."""
+    good = F.struct(F.col("title").alias("title"), _url("paged").alias("redirect_url"), F.col("part_id").alias("id"))
+    bad = F.struct(F.lit("").alias("title"), _url("paged").alias("redirect_url"), F.col("part_id").alias("id"))
+    whole = _landed(v, F.to_json(F.struct(F.array(good, bad).alias("results"))))
+    broken = _offers(v).where("flag = 'R'").select(
+        F.lit("broken").alias("search_key"), F.col("order_id").alias("page"), F.lit('{"results": [').alias("payload")
+    )
+    return parse_isolated("adzuna", whole.unionByName(broken), _as_of())
+
+
+@register(
+    "source_rejects",
+    """
+    SELECT 'adzuna' AS source_name, CAST(order_id AS VARCHAR) AS search_key, order_id AS page, 1 AS position, 'incomplete posting' AS reason
+    FROM v_offers
+    UNION ALL SELECT 'adzuna', 'broken', order_id, NULL, 'unreadable response' FROM v_offers WHERE flag = 'R'
+    """,
+)
+def source_rejects(v):
+    return _broken_search(v).rejects
+
+
+@register(
+    "isolated_run_stats",
+    """
+    SELECT 'adzuna' AS source_name, 2 * count(*) AS fetched, count(*) AS new, 0 AS duplicate, 0 AS skipped,
+           count(*) + count(*) FILTER (flag = 'R') AS errors
+    FROM v_offers
+    """,
+)
+def isolated_run_stats(v):
+    parsed = _broken_search(v)
+    outcomes = parsed.postings.select("source_name", F.lit("new").alias("outcome"))
+    return run_stats(with_errors(outcomes, parsed.rejects), "source_name")
+
+
 @register(
     "journey_minutes",
     """

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from stellwerk import schemas
@@ -213,3 +215,38 @@ def test_registry_and_sequence(spark, as_of, tmp_path):
     assert [(r["source_name"], r["title"]) for r in numbered] == in_order
     asked = landed.with_sequence(union_sources(parts), ["jooble", "service_bund"]).orderBy("seq").collect()
     assert [(r["source_name"], r["title"]) for r in asked] == in_order[2:] + in_order[:2]
+
+
+GOOD_FEED = "<rss><channel><title>t</title><item><title>{}</title><link>https://a.example/1</link><guid>https://a.example/1</guid>" \
+            "<pubDate>Thu, 12 Mar 2026 08:00:00 +0000</pubDate></item></channel></rss>"
+
+
+@pytest.mark.parametrize(
+    "name,good,bad,broken",
+    [
+        ("adzuna", '{"results": [{"title": "A", "redirect_url": "u"}, {"title": "", "redirect_url": "v"}]}', 1, ['{"results": [', "[1]", "", None]),
+        ("jooble", '{"jobs": [{"title": "A", "link": "u", "updated": "2026-03-12T00:00:00"}, {"title": "B", "updated": "2026-03-12T00:00:00"}]}', 1, ["<html>", "null"]),
+        ("arbeitnow", '{"data": [{"title": "A", "url": "u", "remote": true}, {"title": "", "url": "w", "remote": true}]}', 1, ["nothing"]),
+        ("service_bund", GOOD_FEED.format("A"), 0, ["{}", "<rss><other/></rss>", ""]),
+        ("service_bund", GOOD_FEED.format(" "), 1, ["no feed"]),
+        ("jobboerse", "<html><body>empty</body></html>", 0, ["", None, "plain"]),
+        ("kimeta", "<html></html>", None, ["", "<html></html>"]),
+    ],
+)
+def test_errors_cost_their_own_rows_only(spark, as_of, name, good, bad, broken):
+    from stellwerk.operators.runs import run_stats
+    from stellwerk.sources import isolation
+
+    responses = [("ok", 0, good)] if bad is not None else []
+    landed = _landed(spark, *responses, *[("x", i, b) for i, b in enumerate(broken)])
+    alone = parse_source(name, _landed(spark, *responses), F.lit(as_of)).count() if responses else 0
+    parsed = isolation.parse_isolated(name, landed, F.lit(as_of))
+    assert parsed.postings.count() == alone
+    rejects = parsed.rejects.collect()
+    assert {(r.search_key, r.page) for r in rejects if r.reason == isolation.UNREADABLE} == {("x", i) for i in range(len(broken))}
+    assert sum(r.reason == isolation.INCOMPLETE for r in rejects) == (bad or 0)
+    outcomes = parsed.postings.select("source_name", F.lit("new").alias("outcome"))
+    (stats,) = run_stats(isolation.with_errors(outcomes, parsed.rejects), "source_name").collect()
+    assert (stats.fetched, stats.new, stats.errors) == (alone + (bad or 0), alone, (bad or 0) + len(broken))
+    failed = isolation.failed_sources(landed.withColumn("source_name", F.lit(name)), parsed.rejects)
+    assert failed == ([] if responses else [name])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stellwerk import constants as K
 from stellwerk.operators import quality as Q
 from stellwerk.operators.recommendations import recommendations
 from stellwerk.plans.registry import register
@@ -206,13 +207,13 @@ def text_coverage_by_week(v):
     "text_status_share",
     f"""
     WITH classed AS (
-      SELECT CASE WHEN j.raw_text IS NULL THEN 'NULL' WHEN j.raw_text = '' THEN 'leer'
-                  WHEN length(j.raw_text) < 50 THEN 'sehr_kurz (<50)' ELSE 'ok' END AS status
+      SELECT CASE WHEN j.raw_text IS NULL THEN '{K.TEXT_NULL}' WHEN j.raw_text = '' THEN '{K.TEXT_EMPTY}'
+                  WHEN length(j.raw_text) < 50 THEN '{K.TEXT_SHORT}' ELSE '{K.TEXT_OK}' END AS status
       FROM v_jobs j JOIN v_sources s ON s.job_id = j.id WHERE s.source_name = '{SOURCE}')
     SELECT status, count(*) AS job_count,
            round(count(*) / (SELECT count(*) FROM classed) * 100, 1) AS share_pct
     FROM classed GROUP BY status
-    UNION ALL SELECT 'GESAMT', count(*), 100.0 FROM classed
+    UNION ALL SELECT '{K.TEXT_TOTAL}', count(*), 100.0 FROM classed
     """,
 )
 def text_status_share(v):
@@ -252,6 +253,12 @@ def location_stats(v):
     return Q.location_stats(v.v_jobs, v.v_companies, v.v_commute)
 
 
+def _said(message: str, *values: str) -> str:
+    """SQL of one of the fixed messages with its values."""
+    quoted = message.replace("'", "''")
+    return f"printf('{quoted}', {', '.join(values)})" if values else f"'{quoted}'"
+
+
 _RULES_SQL = f"""
     WITH loc AS ({_LOCATION_SQL}), cov AS ({_COVERAGE_SQL}), com AS ({_COMPANY_SQL}),
          wm AS ({_MODEL_SQL}), sal AS ({_SALARY_SQL}), txt AS ({_TEXT_SQL}),
@@ -263,38 +270,33 @@ _RULES_SQL = f"""
            FROM cov)
     SELECT 'location' AS category,
            CASE WHEN location_coverage_pct < 90 THEN 'high' ELSE 'medium' END AS severity,
-           printf('%.1f', 100 - location_coverage_pct) || '% der Jobs ohne Location. '
-             || 'Quellen ohne vollständige Location: [' || l || ']. '
-             || 'Extraktion aus raw_text empfohlen.' AS message,
+           {_said(K.MSG_LOCATION, "100 - location_coverage_pct", "'[' || l || ']'")} AS message,
            jobs_without_location AS affected_count,
            round(100 - location_coverage_pct, 2) AS affected_pct
     FROM loc, miss WHERE location_coverage_pct < 95
     UNION ALL
-    SELECT 'location', 'high', 'Quelle ''' || source_name
-             || ''' liefert keine Locations. Parser oder Scraper anpassen.', total, 100.0
+    SELECT 'location', 'high', {_said(K.MSG_LOCATION_SOURCE, "source_name")}, total, 100.0
     FROM cov WHERE location_coverage_pct = 0 AND total > 0
     UNION ALL
     SELECT 'work_model', CASE WHEN pct > 50 THEN 'high' ELSE 'medium' END,
-           'Work-Model-Erkennung aus raw_text implementieren (detect_work_model_from_text)',
+           {_said(K.MSG_WORK_MODEL)},
            job_count, pct
     FROM wm WHERE work_model = 'null' AND pct > 20
     UNION ALL
     SELECT 'raw_text', CASE WHEN raw_text_coverage_pct < 80 THEN 'high' ELSE 'medium' END,
-           'Quellen [' || t || '] liefern keinen Volltext. Detail-Fetching verbessern.',
+           {_said(K.MSG_TEXT, "'[' || t || ']'")},
            without_raw_text, round(100 - raw_text_coverage_pct, 2)
     FROM txt, miss WHERE raw_text_coverage_pct < 95
     UNION ALL
-    SELECT 'raw_text', 'medium', 'Quelle ''' || source_name || ''' liefert keinen Volltext.',
-           total, 100.0
+    SELECT 'raw_text', 'medium', {_said(K.MSG_TEXT_SOURCE, "source_name")}, total, 100.0
     FROM cov WHERE text_coverage_pct = 0 AND total > 0
     UNION ALL
-    SELECT 'salary', 'low', 'Gehaltsdaten spärlich (' || printf('%.1f', salary_coverage_pct)
-             || '%). Ggf. Salary-Extraktion aus Volltext.',
+    SELECT 'salary', 'low', {_said(K.MSG_SALARY, "salary_coverage_pct")},
            without_salary_raw, round(100 - salary_coverage_pct, 2)
     FROM sal WHERE salary_coverage_pct < 20
     UNION ALL
     SELECT 'general', 'high',
-           'Firmen-Adressen fast vollständig unaufgelöst. Location Pipeline implementieren.',
+           {_said(K.MSG_ADDRESS)},
            address_unknown, round(address_unknown / total_companies * 100, 2)
     FROM com WHERE address_unknown / total_companies * 100 > 90
 """

@@ -254,19 +254,26 @@ def parse_location(v):
     )
 
 
-_MODEL = """
-    CASE WHEN regexp_matches(lower({0}), 'tage vor ort|tage im büro|2-3 tage|teilweise homeoffice|teilweise remote|flexible arbeitsort|hybrid') THEN 'hybrid'
-         WHEN regexp_matches(lower({0}), '100% remote|vollständig remote|deutschlandweit|bundesweit|homeoffice|home office|remote') THEN 'remote'
-         WHEN regexp_matches(lower({0}), 'in unserem büro|am standort|on-site|präsenz|vor ort') THEN 'onsite' END
+def _words(keywords: list[str]) -> str:
+    return "'" + "|".join(keywords) + "'"
+
+
+def _pattern(pattern: str) -> str:
+    """A pattern as DuckDB writes it: letters are Unicode there anyway."""
+    return "'" + pattern.replace("(?iu)", "(?i)") + "'"
+
+
+_MODEL = f"""
+    CASE WHEN regexp_matches(lower({{0}}), {_words(K.HYBRID_KEYWORDS)}) THEN 'hybrid'
+         WHEN regexp_matches(lower({{0}}), {_words(K.REMOTE_KEYWORDS)}) THEN 'remote'
+         WHEN regexp_matches(lower({{0}}), {_words(K.ONSITE_KEYWORDS)}) THEN 'onsite' END
 """
-_DAYS = r"""
-    CASE WHEN regexp_matches({0}, '(?i)(\d)\s*[-–]\s*(\d)\s*Tage?\s*(pro\s+Woche|/\s*Woche|wöchentlich)')
-         THEN CAST(floor((CAST(regexp_extract({0}, '(?i)(\d)\s*[-–]\s*(\d)\s*Tage?\s*(pro\s+Woche|/\s*Woche|wöchentlich)', 1) AS INT)
-              + CAST(regexp_extract({0}, '(?i)(\d)\s*[-–]\s*(\d)\s*Tage?\s*(pro\s+Woche|/\s*Woche|wöchentlich)', 2) AS INT)) / 2) AS INT)
-         WHEN regexp_matches({0}, '(?i)(\d)\s*Tage?\s*(pro\s+Woche|/\s*Woche|im\s+Büro)')
-         THEN CAST(regexp_extract({0}, '(?i)(\d)\s*Tage?\s*(pro\s+Woche|/\s*Woche|im\s+Büro)', 1) AS INT)
-         WHEN regexp_matches({0}, '(?i)(\d)x\s*/?s*Woche')
-         THEN CAST(regexp_extract({0}, '(?i)(\d)x\s*/?s*Woche', 1) AS INT) END
+_RANGE, _SINGLE, _PER_WEEK = map(_pattern, (K.HYBRID_RANGE, K.HYBRID_SINGLE, K.HYBRID_PER_WEEK))
+_DAYS = f"""
+    CASE WHEN regexp_matches({{0}}, {_RANGE})
+         THEN CAST(floor((CAST(regexp_extract({{0}}, {_RANGE}, 1) AS INT) + CAST(regexp_extract({{0}}, {_RANGE}, 2) AS INT)) / 2) AS INT)
+         WHEN regexp_matches({{0}}, {_SINGLE}) THEN CAST(regexp_extract({{0}}, {_SINGLE}, 1) AS INT)
+         WHEN regexp_matches({{0}}, {_PER_WEEK}) THEN CAST(regexp_extract({{0}}, {_PER_WEEK}, 1) AS INT) END
 """
 
 

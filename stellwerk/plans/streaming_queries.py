@@ -10,6 +10,7 @@ from stellwerk.plans.adapters import VIEWS, Inputs
 from stellwerk.plans.identity_queries import FIRST_RUN
 from stellwerk.plans.registry import register
 from stellwerk.session import checkpoint_dir, spread
+from stellwerk.streaming import cache_timers as T
 from stellwerk.streaming import incremental as S
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -91,6 +92,14 @@ def redelivery_guard(v):
     return v.spark.read.parquet(f"{folder}/rows").select("source_name", "user_id", "fetch")
 
 
+def _lookups(v):
+    return _stream(v).select(
+        F.col("user_id").alias("company_id"), F.col("event_type").alias("origin_hash"),
+        F.floor("value").cast("int").alias("transit_minutes"), F.lit("db_rest").alias("api_used"),
+        F.col("ts").cast("timestamp").alias("landed_at"),
+    )
+
+
 @register(
     "cache_stream",
     """
@@ -100,13 +109,26 @@ def redelivery_guard(v):
     """,
 )
 def cache_stream(v):
-    minutes = _stream(v).select(
-        F.col("user_id").alias("company_id"), F.col("event_type").alias("origin_hash"),
-        F.floor("value").cast("int").alias("transit_minutes"), F.lit("db_rest").alias("api_used"),
-        F.col("ts").cast("timestamp").alias("landed_at"),
-    )
+    minutes = _lookups(v)
     state = _folder(v)
     as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
     S.cache_stream(minutes, state, f"{state}/progress", as_of).awaitTermination()
     cache = v.spark.read.parquet(f"{state}/cache/version=1")
     return cache.select("company_id", "origin_hash", "transit_minutes")
+
+
+@register(
+    "cache_timers",
+    """
+    SELECT user_id AS company_id, event_type AS origin_hash, CAST(floor(value) AS INT) AS transit_minutes,
+           CASE WHEN ts + INTERVAL 5 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 DAY THEN 'expired' ELSE 'kept' END AS change
+    FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC) = 1
+    """,
+)
+def cache_timers(v):
+    """Newest lookup of every key, and whether its five days are over by the end of the stream."""
+    state = _folder(v)
+    minutes = _lookups(v)
+    T.keep_cache(minutes, state, f"{state}/progress", ttl_days=5).awaitTermination()
+    return T.latest_changes(T.read_changes(v.spark, state)).select("company_id", "origin_hash", "transit_minutes", "change")

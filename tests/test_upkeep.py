@@ -5,12 +5,14 @@ from pyspark.sql import functions as F
 
 from stellwerk import schemas
 from stellwerk.operators import addresses as AD
+from stellwerk.operators import backfill as B
 from stellwerk.operators import filters as W
 from stellwerk.operators import lookups as J
 from stellwerk.operators import maintenance as M
 from stellwerk.operators import runs as R
 from stellwerk.plans.scoring import batch_view, score_jobs
 from stellwerk.session import cut_lineage
+from stellwerk.streaming import cache_timers as T
 from stellwerk.streaming import incremental as S
 from test_identity import FIELDS, _batch
 
@@ -117,6 +119,47 @@ def test_backfill(spark):
     assert {r["id"]: r["raw_text"] for r in M.fill_texts(jobs, texts).collect()} == {1: "alt", 2: "neu", 3: None, 4: "neu"}
 
 
+def test_backfill_from_pages(spark):
+    long = "Aufgaben und Profil " * 10
+    jobs = spark.createDataFrame(
+        [(1, "A", "alt", True, NOW), (2, "B", "", True, NOW), (3, "C", None, True, NOW), (4, "D", None, False, NOW), (5, "E", None, True, NOW)],
+        "id long, title string, raw_text string, is_active boolean, first_seen_at timestamp",
+    )
+    links = spark.createDataFrame([(i, "interamt", f"u{i}") for i in range(1, 6)] + [(3, "other", "u9")], "job_id long, source_name string, url string")
+    page = f"<html><body><main>{long}</main></body></html>"
+    pages = spark.createDataFrame(
+        [("u1", page), ("u2", page), ("u3", "<html><body>kurz</body></html>"), ("u4", page), ("u9", page)], "search_key string, payload string"
+    )
+    done = B.backfill_texts(jobs, links, pages, "interamt", F.lit(NOW))
+    got = {r["id"]: (r["raw_text"], r["updated_at"] is not None) for r in done.jobs.collect()}
+    assert got == {1: ("alt", False), 2: (long.strip(), True), 3: (None, False), 4: (None, False), 5: (None, False)}
+    assert sorted(tuple(r) for r in done.candidates.collect()) == [(2, "u2", True), (3, "u3", False), (5, "u5", False)]
+    assert B.backfill_texts(jobs, links, pages, "interamt", limit=1).candidates.count() == 1
+
+
+def test_cache_timers_over_restarts(spark, tmp_path):
+    schema = "company_id long, origin_hash string, transit_minutes int, api_used string, landed_at timestamp"
+    day = lambda n, **more: dt.datetime(2026, 3, 1) + dt.timedelta(days=n, **more)
+    parts = [
+        [(1, "h", 10, "a", day(0)), (1, "h", 12, "b", day(0, hours=1)), (2, "h", 20, "a", day(1)), (3, "g", 30, "a", day(1))],
+        [(1, "h", 99, "a", day(0)), (2, "h", 25, "a", day(6)), (4, "h", 40, "a", day(7))],
+        [(5, "h", 50, "a", day(30)), (1, "h", 11, "a", day(29))],
+    ]
+    inbox, state = str(tmp_path / "minutes"), str(tmp_path / "timers")
+    for part in parts:
+        # Each file is a run of its own: the query starts anew from its checkpoint.
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        T.keep_cache(stream, state, f"{state}/progress", ttl_days=10, delay="2 days").awaitTermination()
+    changes = T.read_changes(spark, state)
+    got = sorted((r.company_id, r.transit_minutes, r.change, r.expires_at) for r in T.latest_changes(changes).collect())
+    assert got == [
+        (1, 11, "kept", day(39)), (2, 25, "expired", day(16)), (3, 30, "expired", day(11)), (4, 40, "expired", day(17)), (5, 50, "kept", day(40)),
+    ]
+    # The lookup of company 1 that the last one replaced has expired or been replaced, never both kept.
+    assert changes.where("company_id = 1 AND transit_minutes = 99").isEmpty()
+
+
 def test_run_log(spark):
     outcomes = spark.createDataFrame([("a", "new"), ("a", "error"), ("b", "duplicate")], "source_name string, outcome string")
     row = R.run_row(R.run_stats(outcomes, "source_name"), 3, F.lit(NOW), F.lit(NOW), 2, ["Scraper [c] fehlgeschlagen"]).first()

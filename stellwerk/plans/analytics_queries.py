@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stellwerk.operators import analytics as A
+from stellwerk.operators import retrieval
 from stellwerk.plans.registry import register
 
 AS_OF = "2001-07-01 06:30:00"
@@ -299,3 +300,18 @@ def known_city(v):
         "page_id", A.known_city(F.col("html"), ["fr", "en", "es"]).alias("city"),
         A.numeric_url_id(F.col("url")).alias("url_id"),
     )
+
+
+@register(
+    "best_chunks",
+    """
+    WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vector FROM embeddings)
+    SELECT q.id AS job_id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.vector, c.vector), 12) DESC, c.id)::INT AS rank,
+           c.id AS chunk_id, list_cosine_similarity(q.vector, c.vector) AS score
+    FROM v q JOIN v c ON q.id % 10 = 0 AND c.id % 10 <> 0 QUALIFY rank <= 5
+    """,
+)
+def best_chunks(v):
+    """Every tenth vector plays a job, the others the chunks of a profile."""
+    vectors = v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.best_chunks(vectors.where("id % 10 = 0"), vectors.where("id % 10 <> 0"), 5)

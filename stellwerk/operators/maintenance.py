@@ -15,16 +15,22 @@ from stellwerk.operators.filters import is_expired
 from stellwerk.session import cut_lineage
 
 
+# Bits that a running number has for the place within its partition.
+_PLACE_BITS = 33
+
+
 def assign_ids(rows: DataFrame, order: str, start: Column | int = 0) -> DataFrame:
     """Consecutive ids in the given order without sorting in one task.
 
-    Rows are range-partitioned; a small frame of partition sizes gives each
-    partition its offset, and numbering happens inside the partitions.
+    Rows are range-partitioned and sorted, and their running number tells the
+    partition and the place in it; a small frame of partition sizes gives each
+    partition its offset.  So rows are shuffled once.
     """
     ranged = cut_lineage(
-        rows.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+        rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id())
     )
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    part = F.shiftright("place", _PLACE_BITS)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     # One row per partition.
     before = Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(
         Window.unboundedPreceding, -1
@@ -32,12 +38,12 @@ def assign_ids(rows: DataFrame, order: str, start: Column | int = 0) -> DataFram
     offsets = sizes.select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
-    number = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    number = F.col("place") - F.shiftleft("part", _PLACE_BITS) + 1
     return (
-        ranged.withColumn("number", number)
-        .join(offsets, "part")
-        .withColumn("id", F.lit(start) + F.col("offset") + F.col("number"))
-        .drop("part", "number", "offset")
+        ranged.withColumn("part", part)
+        .join(F.broadcast(offsets), "part")
+        .withColumn("id", F.lit(start) + F.col("offset") + number)
+        .drop("part", "place", "offset")
     )
 
 

@@ -94,6 +94,13 @@ def test_bm25_equals_brute_force(spark, monkeypatch):
         assert [s for _, s in found[q]] == pytest.approx([s for _, s in expected[q]], abs=2e-6)
 
 
+def test_every_query_row_of_a_repeated_id_is_answered(spark):
+    rows = [(100, "red apple"), (100, "red apple"), (100, "green pear"), (1, "apple pie"), (2, "pear tree"), (3, "stone")]
+    documents = spark.createDataFrame(rows, "id long, text string")
+    found = bm25_search.search(documents, documents.where("id % 100 = 0")).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in found) == [(100, 1, 1), (100, 1, 1), (100, 1, 2)]
+
+
 def test_bm25_of_an_empty_table(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert bm25_search.search(none, none).count() == 0

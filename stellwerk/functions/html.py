@@ -1,7 +1,9 @@
 """HTML helpers for what needs real entity and nesting rules.
 
 A page becomes a list of text pieces plus elements that remember which pieces
-they cover; the functions below read fields off that and run as pandas UDFs.
+they cover and, when they close, the last element inside them: descendants are
+one slice of the list, so a page costs time in proportion to its length.  The
+functions below read fields off that and run as pandas UDFs.
 """
 
 from __future__ import annotations
@@ -35,7 +37,11 @@ class _Page(HTMLParser):
         self.close()
         self._flush()
         for element in self._open:
-            element["end"] = len(self.pieces)
+            self._close(element)
+
+    def _close(self, element: dict) -> None:
+        element["end"] = len(self.pieces)
+        element["last"] = len(self.elements) - 1
 
     def _flush(self) -> None:
         text = "".join(self._buffer)
@@ -52,8 +58,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        start = len(self.pieces)
-        element = {"tag": tag, "attrs": dict(attrs), "start": start, "end": start}
+        start, index = len(self.pieces), len(self.elements)
+        element = {"tag": tag, "attrs": dict(attrs), "start": start, "end": start, "index": index, "last": index}
         self.elements.append(element)
         if tag not in _VOID:
             self._open.append(element)
@@ -70,7 +76,7 @@ class _Page(HTMLParser):
             return
         while True:
             element = self._open.pop()
-            element["end"] = len(self.pieces)
+            self._close(element)
             self._depth[element["tag"]] -= 1
             if element["tag"] == tag:
                 return
@@ -85,16 +91,10 @@ class _Page(HTMLParser):
         self._flush()
 
     def find(self, tag=None, css_class=None, within=None, **attrs):
-        """Elements in page order, optionally inside another element's pieces."""
-        inside = self.elements
-        if within is not None:
-            # Descendants follow their ancestor and lie within its pieces.
-            first = next(i for i, e in enumerate(self.elements) if e is within) + 1
-            inside = [
-                e for e in self.elements[first:]
-                if e["start"] >= within["start"] and e["end"] <= within["end"]
-            ]
-        for element in inside:
+        """Elements in page order, optionally only the descendants of another element."""
+        first, stop = (0, len(self.elements)) if within is None else (within["index"] + 1, within["last"] + 1)
+        for i in range(first, stop):
+            element = self.elements[i]
             if tag and element["tag"] != tag:
                 continue
             if css_class and css_class not in (element["attrs"].get("class") or "").split():

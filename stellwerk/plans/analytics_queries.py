@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stellwerk.operators import analytics as A
 from stellwerk.operators import retrieval
+from stellwerk.operators import skill_pairs as P
 from stellwerk.plans.registry import register
 
 AS_OF = "2001-07-01 06:30:00"
@@ -97,6 +98,48 @@ def reevaluation_list(v):
     return A.needs_reevaluation(v.v_jobs, users, evaluations)
 
 
+def _skills(v):
+    return v.lineitem.join(v.part, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_orderkey").alias("job_id"), F.col("p_type").alias("skill")
+    )
+
+
+def _fine_skills(v):
+    return v.lineitem.join(v.part, F.col("p_partkey") == F.col("l_partkey")).select(
+        F.col("l_orderkey").alias("job_id"), F.concat_ws(" ", "p_brand", "p_type").alias("skill")
+    )
+
+
+_SKILL_PAIRS_SQL = """
+    WITH skills AS (SELECT DISTINCT l_orderkey AS job_id, p_brand || ' ' || p_type AS skill
+                    FROM lineitem JOIN part ON p_partkey = l_partkey),
+    pairs AS (SELECT a.skill AS skill_a, b.skill AS skill_b, count(*) AS jobs
+              FROM skills a JOIN skills b ON a.job_id = b.job_id AND a.skill < b.skill
+              GROUP BY 1, 2 HAVING count(*) >= 2)
+"""
+
+
+@register("skill_pairs", _SKILL_PAIRS_SQL + "SELECT skill_a, skill_b, jobs FROM pairs")
+def skill_pairs(v):
+    """Kinds of parts that two or more orders share."""
+    return P.skill_pairs(_fine_skills(v), 2)
+
+
+@register(
+    "skill_partners",
+    _SKILL_PAIRS_SQL
+    + """
+    , sides AS (SELECT skill_a AS skill, skill_b AS partner, jobs FROM pairs
+                UNION ALL SELECT skill_b, skill_a, jobs FROM pairs)
+    SELECT skill, row_number() OVER (PARTITION BY skill ORDER BY jobs DESC, partner)::INT AS rank, partner, jobs
+    FROM sides QUALIFY rank <= 5
+    """,
+)
+def skill_partners(v):
+    """The five kinds of parts that each one is ordered with most."""
+    return P.best_partners(P.skill_pairs(_fine_skills(v), 2), 5)
+
+
 @register(
     "skill_trends",
     """
@@ -113,10 +156,7 @@ def reevaluation_list(v):
     """,
 )
 def skill_trends(v):
-    skills = v.lineitem.join(v.part, F.col("p_partkey") == F.col("l_partkey")).select(
-        F.col("l_orderkey").alias("job_id"), F.col("p_type").alias("skill")
-    )
-    trends = A.skill_trends(skills, v.v_jobs, v.v_sources)
+    trends = A.skill_trends(_skills(v), v.v_jobs, v.v_sources)
     mix = F.array_join(
         F.transform(F.map_entries("source_mix"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","
     )

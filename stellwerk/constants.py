@@ -7,6 +7,8 @@ text in natural order; no processing logic lives here.
 
 # --- fixed values: identity -------------------------------------------------
 FUZZY_THRESHOLD = 0.85
+# Shares of title and company in the weighted similarity of two postings.
+DUPLICATE_WEIGHTS = (0.6, 0.4)
 DEFAULT_COMPANY = "Unbekannt"
 UNKNOWN_COMPANY_LABEL = "Unknown"
 IN_APPLICATION_STATUSES = ["applying", "applied", "interview", "offer"]

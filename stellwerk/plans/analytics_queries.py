@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stellwerk.operators import analytics as A
 from stellwerk.operators import retrieval
 from stellwerk.operators import skill_pairs as P
+from stellwerk.operators import weighted_pairs as W
+from stellwerk.plans.identity_queries import RATIOS_OF_PAIRS
 from stellwerk.plans.registry import register
 
 AS_OF = "2001-07-01 06:30:00"
@@ -355,3 +357,51 @@ def best_chunks(v):
     """Every tenth vector plays a job, the others the chunks of a profile."""
     vectors = v.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return retrieval.best_chunks(vectors.where("id % 10 = 0"), vectors.where("id % 10 <> 0"), 5)
+
+
+def _kinds(v):
+    """Parts as postings: the name and type as title, the brand as company."""
+    return v.part.select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("company")
+    )
+
+
+_CLASSES_SQL = """
+    WITH RECURSIVE classes AS (
+      SELECT lower(p_name || ' ' || p_type) AS title, lower(p_brand) AS company, min(p_partkey) AS id FROM part GROUP BY 1, 2)
+"""
+
+
+@register(
+    "weighted_duplicates",
+    # Pairs of texts that cannot reach a field's least ratio leave by their edit distance.
+    _CLASSES_SQL
+    + """
+    , texts AS (SELECT DISTINCT title AS t, 0.75 AS least FROM classes UNION ALL SELECT DISTINCT company, 0.625 FROM classes),
+    pairs AS (SELECT DISTINCT x.t AS a, y.t AS b FROM texts x JOIN texts y ON x.least = y.least AND x.t <> y.t
+              AND length(x.t) + length(y.t) - levenshtein(x.t, y.t) >= x.least * (length(x.t) + length(y.t)) - 1e-6)
+"""
+    + RATIOS_OF_PAIRS
+    + """
+    , alike AS (SELECT a, b, ratio FROM ratios UNION ALL SELECT DISTINCT t, t, 1.0::DOUBLE FROM texts),
+    by_title AS (SELECT x.id AS class_id, y.id AS other_id, x.company AS c, y.company AS d, r.ratio
+                 FROM classes x JOIN alike r ON r.a = x.title JOIN classes y ON y.title = r.b AND x.id < y.id)
+    SELECT class_id, other_id, round(p.ratio * 0.6::DOUBLE + r.ratio * 0.4::DOUBLE, 6) AS similarity
+    FROM by_title p JOIN alike r ON r.a = p.c AND r.b = p.d
+    WHERE p.ratio * 0.6::DOUBLE + r.ratio * 0.4::DOUBLE >= 0.85::DOUBLE
+    """,
+)
+def weighted_duplicates(v):
+    """Pairs of kinds of parts whose names and brands are alike."""
+    return W.weighted_pairs(_kinds(v)).withColumn("similarity", F.round("similarity", 6))
+
+
+@register(
+    "duplicate_classes",
+    """
+    SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY lower(p_name || ' ' || p_type), lower(p_brand)) AS class_id FROM part
+    """,
+)
+def duplicate_classes(v):
+    """The class of equal name and brand of every part."""
+    return W.members(_kinds(v))

@@ -162,10 +162,9 @@ def stage_canonical_id(v):
 
 
 # Ratcliff-Obershelp in SQL: longest common run first, then left and right of it.
-_RATIOS = """
-    , titles AS (SELECT DISTINCT title_norm AS t FROM p),
-    pairs AS (SELECT a.t AS a, b.t AS b FROM titles a, titles b WHERE a.t <> b.t),
-    cells AS (SELECT a, b, i, j FROM pairs, range(1, 200) x(i), range(1, 200) y(j)
+# Ratios of the texts in ``pairs`` (a, b).
+RATIOS_OF_PAIRS = """
+    , cells AS (SELECT a, b, i, j FROM pairs, range(1, 200) x(i), range(1, 200) y(j)
               WHERE i <= length(a) AND j <= length(b) AND substr(a, i, 1) = substr(b, j, 1)),
     runs AS (SELECT a, b, i, j,
                     count(*) OVER (PARTITION BY a, b, i - j, island ORDER BY i DESC) AS len
@@ -189,6 +188,10 @@ _RATIOS = """
     ratios AS (SELECT a, b, 2.0::DOUBLE * sum(k) / (length(a) + length(b)) AS ratio
                FROM blocks GROUP BY a, b)
 """
+_RATIOS = """
+    , titles AS (SELECT DISTINCT title_norm AS t FROM p),
+    pairs AS (SELECT a.t AS a, b.t AS b FROM titles a, titles b WHERE a.t <> b.t)
+""" + RATIOS_OF_PAIRS
 
 # The cascade row by row: each step sees what the steps before it accepted, linked and registered.
 _WALK = """

@@ -3,8 +3,8 @@
 With weights a and b and a threshold t, each field has a least ratio of its own, the other one being
 equal at best: (t - b) / a for the first and (t - a) / b for the second.  Each turns into a set-overlap
 bound, and a pair must share a key of both fields (see similar_titles).  So a title that a third of all
-rows have is spread by companies, and a company by titles.  An edit-distance bound of the weighted sum
-follows inside the JVM, and only what is left gets the ratios.
+rows have is spread by companies, and a company by titles.  Bounds of the weighted sum follow inside the
+JVM, by the characters that a text has at all and then by edit distance; only what is left gets the ratios.
 
 Rows with equal fields form one class; pairs are between classes, and members are a list of their own.
 """
@@ -45,10 +45,21 @@ def _keys(text: Column, bound: float, depth: int) -> Column:
     return F.when(n < depth, F.array(F.concat(F.lit("="), text))).otherwise(_combinations(prefix, depth))
 
 
-def _most(a: Column, b: Column) -> Column:
+def _letters(text: Column) -> Column:
+    """The characters of a text as 64 bits; several may share one."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)))
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda bits, c: bits.bitwiseOR(bit(c)))
+
+
+def _most_by_letters(m: Column, n: Column, a: Column, b: Column) -> Column:
+    """Upper bound of the ratio: a character that only one text has matches nothing."""
+    common = F.least(m - F.bit_count(a.bitwiseAND(F.bitwise_not(b))), n - F.bit_count(b.bitwiseAND(F.bitwise_not(a))))
+    return F.when(m + n == 0, 1.0).otherwise(F.greatest(common, F.lit(0)) * 2 / (m + n))
+
+
+def _most_by_edits(m: Column, n: Column, a: Column, b: Column) -> Column:
     """Upper bound of the ratio: characters outside the common blocks are edits."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).otherwise((total - F.levenshtein(a, b)) / total)
+    return F.when(m + n == 0, 1.0).otherwise((m + n - F.levenshtein(a, b)) / (m + n))
 
 
 def weighted_pairs(
@@ -67,16 +78,33 @@ def weighted_pairs(
             .agg(F.min("id").alias("id"))
         )
     )
-    keyed = classes.withColumn("title_key", F.explode(_keys(F.col("title"), title_bound, TITLE_DEPTH))).withColumn(
-        "company_key", F.explode(_keys(F.col("company"), company_bound, COMPANY_DEPTH))
+    fields = ("title", "company")
+    bounds = {"title": (title_bound, TITLE_DEPTH), "company": (company_bound, COMPANY_DEPTH)}
+    # Computed once per class, before its keys multiply the rows.
+    keyed = cut_lineage(
+        classes.withColumns(
+            {f"{f}_size": F.length(f) for f in fields}
+            | {f"{f}_letters": _letters(F.col(f)) for f in fields}
+            | {f"{f}_key": _keys(F.col(f), *bounds[f]) for f in fields}
+        )
     )
-    a, b = (keyed.select("title_key", "company_key", *(F.col(c).alias(f"{side}_{c}") for c in ("id", "title", "company"))) for side in "ab")
-    most = _most(F.col("a_title"), F.col("b_title")) * title_weight + _most(F.col("a_company"), F.col("b_company")) * company_weight
-    # A pair can meet at several keys.
+    for field in fields:
+        keyed = keyed.withColumn(f"{field}_key", F.explode(f"{field}_key"))
+    keys = ["title_key", "company_key"]
+    a, b = (keyed.select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in keyed.columns if c not in keys)) for side in "ab")
+
+    def reaches(bound, suffix: str) -> Column:
+        most = [
+            bound(*(F.col(f"{side}_{field}{end}") for end in ("_size", suffix) for side in "ab")) * weight
+            for field, weight in zip(fields, weights)
+        ]
+        return most[0] + most[1] >= threshold - 1e-9
+
+    # The cheap bound first; a pair can meet at several keys.
     pairs = (
-        a.join(b, ["title_key", "company_key"])
-        .where((F.col("a_id") < F.col("b_id")) & (most >= threshold - 1e-9))
-        .drop("title_key", "company_key").distinct()
+        a.join(b, keys)
+        .where((F.col("a_id") < F.col("b_id")) & reaches(_most_by_letters, "_letters") & reaches(_most_by_edits, ""))
+        .select(*(f"{side}_{c}" for side in "ab" for c in ("id", *fields))).distinct()
     )
     similarity = sequence_ratio("a_title", "b_title") * title_weight + sequence_ratio("a_company", "b_company") * company_weight
     return pairs.select(F.col("a_id").alias("class_id"), F.col("b_id").alias("other_id"), similarity.alias("similarity")).where(

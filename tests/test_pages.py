@@ -2,7 +2,7 @@ import time
 
 import pytest
 
-from stellwerk.functions.html import find_listings, find_table_rows
+from stellwerk.functions.html import _Page, find_listings, find_table_rows
 
 
 @pytest.mark.parametrize("n", [3, 20_000])
@@ -24,3 +24,30 @@ def test_descendants_are_what_stands_inside():
     assert [(f["href"], f["company"]) for f in find_listings(page)] == [("/1", "x")]
     page = '<body><article><a href="/1">t</a><p>c'
     assert find_listings(page) == [{"title": "t", "href": "/1", "company": "c", "location": None}]
+
+
+PLAIN = [
+    "", "a &amp; b", "<p>a<br/>b <i/>c</p>", '<TR Class="x y"><td data-field=\'A "b"\'> 1 </td><td>2</tr>', "<pre> \n </pre> \n <b>",
+    '<!DOCTYPE html><body><!-- c --><a rel href="/s?a=1&amp;b=%40">x</a></p></body>', "&lt;p&gt;&copy 1",
+]
+OTHER = [
+    "<script>a < b</script>c", "a < b > c", "<a href=x>y</a>", '<a b=">">c', "<!-- a --- b -->c", '<a href="?x=1&copy=2">t', "<p", "<a b='1'c='2'>",
+    "<title><b>x</title>", "<textarea><p></textarea>", "</ p>q", "<?x y>z",
+]
+
+
+@pytest.mark.parametrize("page", PLAIN + OTHER)
+def test_plain_pages_read_as_the_parser_reads_them(page, monkeypatch):
+    fast = _Page(page)
+    monkeypatch.setattr(_Page, "_read_plain", lambda self, markup: False)
+    slow = _Page(page)
+    assert (fast.pieces, fast.elements) == (slow.pieces, slow.elements)
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    def fail(self, markup):
+        raise AssertionError(markup)
+
+    monkeypatch.setattr(_Page, "feed", fail)
+    for page in PLAIN:
+        _Page(page)

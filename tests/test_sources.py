@@ -250,3 +250,15 @@ def test_errors_cost_their_own_rows_only(spark, as_of, name, good, bad, broken):
     assert (stats.fetched, stats.new, stats.errors) == (alone + (bad or 0), alone, (bad or 0) + len(broken))
     failed = isolation.failed_sources(landed.withColumn("source_name", F.lit(name)), parsed.rejects)
     assert failed == ([] if responses else [name])
+
+
+def test_code_points_become_text_without_a_lambda_per_point(spark):
+    def page(points):
+        return f'<script type="a" id="__NEXT_DATA__">{{"props": {{"pageProps": {{"__PPA__": {points}}}}}}}</script></script>'
+
+    pages = [page("[72, 228, 128512]"), page("[55357, 56832, 65]"), page("[65279, 66, 55357]"), page("[67, null, 68]"), page("[]"), page("null"),
+             '<script id="__NEXT_DATA__">{"props": 1}', "<p>no script</p>", None]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, payload string")
+    found = rows.select("i", encoded_pages.decode_page(F.col("payload")).alias("text"))
+    assert [r.text for r in found.orderBy("i").collect()] == ["Hä😀", "😀A", "B?", "CD", "", None, None, None, None]
+    assert "lambdafunction" not in found._jdf.queryExecution().executedPlan().toString()

@@ -5,7 +5,7 @@ doesn't know scores by its n-grams (with word edges) of the greatest length of w
 any is known, averaged; and at last by single letters.  A text scores the sum over its
 words; its score is the posterior of the best language.
 
-The model is fitted on about ``SAMPLE_ROWS`` labelled rows that are not held out and
+The model is fitted on about ``SAMPLE_ROWS`` labelled rows that are not held out, or on all, and
 keeps the ``WORDS`` commonest words and ``NGRAMS`` commonest n-grams per length and
 language, so what is sent to the workers has a fixed bound.  Scoring covers whole texts.
 
@@ -91,11 +91,10 @@ class LanguageModel:
                 return self.ngrams[n].values[hits].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
 
-    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sums of word scores (texts by languages), and which texts have a letter."""
         listed, counts, lettered = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for i, text in enumerate(texts):
-            found = words_of(text)
+        for i, found in enumerate(map(words_of, texts) if words is None else words):
             counts[i] = len(found)
             lettered[i] = any(any(map(str.isalpha, w)) for w in found)
             listed.extend(found)
@@ -110,9 +109,9 @@ class LanguageModel:
             out[held] = np.add.reduceat(taken, (np.cumsum(counts) - counts)[held], axis=0)
         return out, lettered
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior of each text."""
-        sums, lettered = self.scores(texts)
+    def predict(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text; its words need not be found again if they are given."""
+        sums, lettered = self.scores(texts, words)
         if not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
         best = sums.argmax(axis=1)
@@ -121,14 +120,16 @@ class LanguageModel:
         return named, np.where(lettered, posterior, 0.0)
 
 
-def training_rows(documents: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` labelled rows that are not held out, chosen by a hash of the id."""
+def training_rows(documents: DataFrame, rows: int | None) -> DataFrame:
+    """About ``rows`` labelled rows that are not held out, chosen by a hash of the id; None for all of them."""
     labelled = documents.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    if rows is None:
+        return labelled.select("text", "lang")
     count = labelled.select("lang").count()
     return labelled.where(drawn(rows / max(1, count), "doc_id")).select("text", "lang")
 
 
-def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageModel:
+def fit(documents: DataFrame, rows: int | None = SAMPLE_ROWS) -> LanguageModel:
     """Learn from ``doc_id, text, lang``; counting runs in Spark, the driver gets the commonest only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,13 +1,15 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 A word is the sum of two hashed embeddings, of the word and of its first letters.  They
-start from the log odds of their bucket in toxic and clean sample texts, so a word that
-the sample doesn't hold adds nothing.
+start from the log odds of their bucket in toxic and clean labelled texts, so a word that
+these don't hold adds nothing.
 Filters of several widths run over the whole text, each keeps its largest response,
-and a logistic unit joins them.  Training runs in numpy on a bounded sample of labelled
-rows that are not held out.  A fifth of that sample sets a threshold for each language
-as identified from the text; a score is the sigmoid of the response less the threshold,
-so that 0.5 is the language's threshold.
+and a logistic unit joins them.  Every labelled row that is not held out is learned from: four
+fifths are dealt to groups of about ``GROUP_ROWS`` rows, each group trains in numpy in a task of its
+own from one common start, and Spark averages what they changed.  The last fifth sets a threshold
+for each language as identified from the text, from counts over all its rows; a score is the
+sigmoid of the response less the threshold, so that 0.5 is the language's threshold.  The driver
+gets sums of fixed size only.
 
 Because filters are linear before the maximum, the responses of a word at each place of
 each filter are computed once per worker and added up along the text.
@@ -19,6 +21,7 @@ columns are carried along and columns named like the added ones are replaced.
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections.abc import Iterator
 
@@ -28,17 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import language
-from stellwerk.llm.common import drawn, filled, held_out, passes, tidy
+from stellwerk.llm.common import filled, held_out, passes, tidy, tidy_group
 
-SAMPLE_ROWS = 8_000  # of either label at most half
-SAMPLE_BYTES = 64 << 10  # longer texts are not trained on
+GROUP_ROWS = 8_000  # labelled rows that train together
+STEPS_PER_UNIT = 1_000  # responses are counted to a thousandth
+LARGEST_RESPONSE = 100.0
 BUCKETS = 1 << 15
 PREFIX = 4
 DIMENSION = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 BATCH = 64
-UPDATES = 200
+LEAST_UPDATES = 200
 RATE = 0.02
 SHRINKAGE = 8.0  # texts that a bucket must occur in before its log odds count much
 KEPT_WORDS = 80_000
@@ -88,21 +92,25 @@ class ConvolutionalModel:
     # ---- training
 
     def train(self, rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> None:
-        """Adagrad on the logistic loss, classes weighted alike; texts are given as bucket rows."""
+        """Adagrad on the logistic loss, half of each batch of either label; texts are given as bucket rows.
+
+        Every row is used at least once; the rarer label's rows come again.
+        """
         rng = np.random.default_rng(seed)
-        self._start(rows, labels, rng)
-        positive = max(1, int(labels.sum()))
-        weights = np.where(labels == 1, len(labels) / (2 * positive), len(labels) / (2 * max(1, len(labels) - positive)))
+        half = BATCH // 2
+        kinds = [np.flatnonzero(labels == kind) for kind in (0, 1)]
         params = {"table": self.table, "shift": self.shift, "out": self.out, **{f"f{i}": f for i, f in enumerate(self.filters)}}
         seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in params.items()}
         bias_seen, rate = 1e-3, RATE
-        done, order = 0, np.zeros(0, np.int64)
-        while done < UPDATES:
-            if len(order) < 1:
-                order = rng.permutation(len(rows))
-            batch, order = order[:BATCH], order[BATCH:]
-            done += 1
-            grads, touched, bias_grad = self._gradients([rows[i] for i in batch], labels[batch], weights[batch])
+        updates = max(LEAST_UPDATES, -(-max(map(len, kinds)) // half))
+        orders = []
+        for own in kinds:
+            turns = -(-updates * half // len(own))
+            orders.append(np.concatenate([rng.permutation(own) for _ in range(turns)]))
+        weights = np.ones(BATCH)
+        for done in range(updates):
+            batch = np.concatenate([order[done * half : (done + 1) * half] for order in orders])
+            grads, touched, bias_grad = self._gradients([rows[i] for i in batch], labels[batch], weights)
             for k, g in grads.items():
                 if k == "table":
                     keys, where = np.unique(touched, return_inverse=True)
@@ -115,16 +123,16 @@ class ConvolutionalModel:
                     params[k] -= rate * g / np.sqrt(seen[k])
             bias_seen += bias_grad**2
             self.bias -= rate * bias_grad / np.sqrt(bias_seen)
-        self.trained = True
         self._forget()
 
-    def _start(self, rows: list[np.ndarray], labels: np.ndarray, rng) -> None:
-        """First embeddings: shrunk log odds of each bucket, and a little noise where it occurs."""
-        held = np.zeros((2, len(self.table)))
-        for r, label in zip(rows, labels.tolist()):
-            held[label][np.unique(r)] += 1
-        totals = np.bincount(labels, minlength=2)[:, None]
-        common = held.sum(axis=0) / len(rows)
+    def start(self, held: np.ndarray, totals: np.ndarray, seed: int = 7) -> None:
+        """First embeddings: shrunk log odds of each bucket, and a little noise where it occurs.
+
+        ``held``: texts of either label (rows) that each bucket (columns) occurs in.
+        """
+        rng = np.random.default_rng(seed)
+        totals = totals[:, None]
+        common = held.sum(axis=0) / totals.sum()
         rates = (held + SHRINKAGE * common) / (totals + SHRINKAGE)
         seen = np.flatnonzero(held.sum(axis=0))
         self.table[seen] = rng.normal(0, 0.02, (len(seen), DIMENSION))
@@ -133,6 +141,23 @@ class ConvolutionalModel:
         top = np.sort(odds)[-20:].mean() if len(seen) else 0.0
         self.bias = -float(top) * len(WIDTHS) / 2
 
+    def flat(self) -> np.ndarray:
+        """All that is learned as rows of ``DIMENSION`` values, embeddings first."""
+        rest = np.concatenate([self.shift, self.out, *(f.ravel() for f in self.filters), [self.bias]])
+        padded = np.zeros(-(-len(rest) // DIMENSION) * DIMENSION)
+        padded[: len(rest)] = rest
+        return np.concatenate([self.table.astype(np.float64), padded.reshape(-1, DIMENSION)])
+
+    def take(self, flat: np.ndarray) -> None:
+        """The reverse of ``flat``."""
+        self.table = flat[: 2 * BUCKETS].astype(np.float32)
+        rest, at = flat[2 * BUCKETS :].ravel(), 0
+        for kept in (self.shift, self.out, *self.filters):
+            kept[...] = rest[at : at + kept.size].reshape(kept.shape)
+            at += kept.size
+        self.bias = float(rest[at])
+        self._forget()
+
     def _gradients(self, rows, labels, weights):
         vectors = [self.table[r[:, 0]] + self.table[r[:, 1]] for r in rows]
         pooled = np.zeros((len(rows), len(self.shift)), np.float32)
@@ -217,58 +242,119 @@ class ConvolutionalModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts) - limits, -500, 500)))
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float | None:
-    """The middle of the widest gap with the best balanced accuracy; None without both labels."""
-    if not 0 < labels.sum() < len(labels):
+def best_threshold(values: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float | None:
+    """The middle of the widest gap with the best balanced accuracy; None without both labels.
+
+    ``clean`` and ``toxic`` count the rows at each of the distinct ascending values.
+    """
+    if not clean.sum() or not toxic.sum() or len(values) < 2:
         return None
-    order = np.argsort(logits)
-    values, toxic = logits[order], labels[order]
     caught = toxic[::-1].cumsum()[::-1][1:] / toxic.sum()
-    left = (1 - toxic).cumsum()[:-1] / (len(toxic) - toxic.sum())
-    quality = caught + left
-    gaps = values[1:] - values[:-1]
-    chosen = np.lexsort((gaps, quality))[-1]
+    left = clean.cumsum()[:-1] / clean.sum()
+    chosen = np.lexsort((values[1:] - values[:-1], caught + left))[-1]
     return float((values[chosen] + values[chosen + 1]) / 2)
 
 
-def fit(documents: DataFrame, labels: DataFrame, languages: language.LanguageModel, rows: int = SAMPLE_ROWS) -> ConvolutionalModel:
-    """Train on a bounded, balanced sample of ``doc_id, text`` with ``labels.toxic``."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+def _held_by(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of either label that hold each bucket, and all texts of either label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, totals = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for text, kind in zip(filled(batch.column("text")), batch.column("toxic").to_pylist()):
+                held[kind][np.unique(bucket_rows(language.words_of(text.as_py())))] += 1
+                totals[kind] += 1
+        at = np.flatnonzero(held.any(axis=0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1)), *(pa.array(np.append(held[kind][at], totals[kind])) for kind in (0, 1))], ["bucket", "clean", "toxic"]
+        )
+
+    counted = rows.select("text", "toxic").mapInArrow(tidy(run), "bucket long, clean long, toxic long")
+    found = counted.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # one row per bucket
+    bucket, counts = found.column("bucket").to_numpy(), np.array([found.column(c).to_numpy() for c in ("clean", "toxic")]).reshape(2, -1)
+    held = np.zeros((2, 2 * BUCKETS))
+    held[:, bucket[bucket >= 0]] = counts[:, bucket >= 0]
+    return held, counts[:, bucket < 0].sum(axis=1).astype(np.float64)
+
+
+_CHANGED = ", ".join(["place long", *(f"d{i} double" for i in range(DIMENSION))])
+
+
+def _changes(rows: DataFrame, model: ConvolutionalModel, groups: int) -> np.ndarray:
+    """What the groups changed of ``model.flat()``, averaged."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("turn", "ascending"), ("text", "ascending")])
+        labels = group.column("toxic").to_numpy().astype(np.int64)
+        if not 0 < labels.sum() < len(labels):
+            return pa.table({name.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64()}[name.split()[1]]) for name in _CHANGED.split(", ")})
+        own = copy.deepcopy(shared.value)
+        before = own.flat()
+        own.train([bucket_rows(language.words_of(t.as_py())) for t in filled(group.column("text").combine_chunks())], labels)
+        changed = np.concatenate([own.flat() - before, np.ones((1, DIMENSION))])  # the last row counts the groups
+        at = np.flatnonzero(changed.any(axis=1))
+        return pa.table({"place": pa.array(at), **{f"d{i}": pa.array(changed[at, i]) for i in range(DIMENSION)}})
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(groups))).withColumn("turn", F.xxhash64("doc_id", F.lit(3)))
+    trained = dealt.groupBy("group").applyInArrow(tidy_group(run), _CHANGED)
+    found = trained.groupBy("place").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(DIMENSION))).toArrow()  # one row per place
+    total = np.zeros((len(model.flat()) + 1, DIMENSION))
+    total[found.column("place").to_numpy()] = np.array([found.column(f"d{i}").to_numpy() for i in range(DIMENSION)]).reshape(DIMENSION, -1).T
+    return total[:-1] / max(1.0, total[-1, 0])
+
+
+def _responses(rows: DataFrame, model: ConvolutionalModel, languages: language.LanguageModel) -> pa.Table:
+    """lang, step, clean, toxic: rows by identified language and response, in steps of a thousandth."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, languages))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, own_languages = shared.value
+        for batch in batches:
+            texts = filled(batch.column("text"))
+            for start, stop in passes(texts):
+                part = texts.slice(start, stop - start).to_pylist()
+                words = [language.words_of(t) for t in part]
+                logits = np.clip(own.logits(words), -LARGEST_RESPONSE, LARGEST_RESPONSE)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own_languages.predict(part, words)[0], pa.string()), pa.array(np.rint(logits * STEPS_PER_UNIT).astype(np.int64)),
+                     batch.column("toxic").slice(start, stop - start).cast(pa.int32())], ["lang", "step", "toxic"],
+                )
+
+    found = rows.select("text", "toxic").mapInArrow(tidy(run), "lang string, step long, toxic int")
+    return found.groupBy("lang", "step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).toArrow()
+
+
+def fit(documents: DataFrame, labels: DataFrame, languages: language.LanguageModel, rows: int = GROUP_ROWS) -> ConvolutionalModel:
+    """Train on all of ``doc_id, text`` that ``labels.toxic`` marks and that are not held out, in groups of about ``rows``."""
+    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = documents.select("doc_id", "text").join(known, "doc_id")
+    aside = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0
     model = ConvolutionalModel()
-    if len(counts) < 2:
-        return model
-    share = F.create_map(*[F.lit(x) for kind, n in counts.items() for x in (kind, rows / 2 / n)])
-    chosen = known.where(drawn(share[F.col("toxic")], "doc_id", F.lit(1)))
-    sample = (
-        documents.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
-        .join(F.broadcast(chosen), "doc_id")  # about SAMPLE_ROWS rows
-        .select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0).alias("aside"))
-        .orderBy(F.xxhash64("doc_id", F.lit(3)), "text")
-        .toArrow()
-    )
-    texts = filled(sample.column("text").combine_chunks())
-    toxic = np.array(sample.column("toxic").to_pylist(), np.int64)
-    aside = np.array(sample.column("aside").to_pylist(), bool)
-    if not 0 < toxic[~aside].sum() < (~aside).sum():
+    learned = marked.where(~aside)
+    held, totals = _held_by(learned)
+    if not totals.all():
         return model
-    model.train([bucket_rows(language.words_of(texts[i].as_py())) for i in np.flatnonzero(~aside).tolist()], toxic[~aside])
+    model.start(held, totals)
+    model.take(model.flat() + _changes(learned, model, max(1, round(totals.sum() / rows))))
+    model.trained = True
+    found = _responses(marked.where(aside), model, languages)
     # Without enough rows set aside, all rows set the thresholds.
-    calibrated = aside if 0 < toxic[aside].sum() < aside.sum() else np.ones(len(toxic), bool)
-    picked = np.flatnonzero(calibrated)
-    logits, named = [], []
-    for start in range(0, len(picked), 256):
-        part = [texts[i].as_py() for i in picked[start : start + 256].tolist()]
-        logits.append(model.logits([language.words_of(t) for t in part]))
-        named.extend(languages.predict(part)[0])
-    logits, named = np.concatenate(logits), np.array(named)
-    model.general = best_threshold(logits, toxic[picked]) or 0.0
+    if not all(sum(found.column(c).to_pylist()) for c in ("clean", "toxic")):
+        found = _responses(marked, model, languages)
+    named = np.array(found.column("lang").to_pylist(), object)
+    step, clean, toxic = (found.column(c).to_numpy() for c in ("step", "clean", "toxic"))
+
+    def threshold(chosen: np.ndarray) -> float | None:
+        values, where = np.unique(step[chosen], return_inverse=True)
+        return best_threshold(values / STEPS_PER_UNIT, *(np.bincount(where, c[chosen], len(values)) for c in (clean, toxic)))
+
+    model.general = threshold(np.ones(len(step), bool)) or 0.0
     for lang in set(named.tolist()):
-        own = best_threshold(logits[named == lang], toxic[picked][named == lang])
-        if own is not None and (named == lang).sum() >= 30:
+        own = threshold(named == lang)
+        if own is not None and (clean + toxic)[named == lang].sum() >= 30:
             model.thresholds[lang] = own
     model._forget()
-    languages._forget()
     return model
 
 
@@ -281,7 +367,8 @@ def _scored(documents: DataFrame, model: ConvolutionalModel, languages: language
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
                 part = texts.slice(start, stop - start).to_pylist()
-                scores = own.scores([language.words_of(t) for t in part], own_languages.predict(part)[0])
+                words = [language.words_of(t) for t in part]
+                scores = own.scores(words, own_languages.predict(part, words)[0])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(start, stop - start) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                     [*kept, "score", "predicted"],

@@ -110,3 +110,34 @@ def test_pooling_over_a_batch_equals_one_text_at_a_time(spark):
     texts = [["a"], [], ["zorkel", "ba"], ["ba", "bo", "bi", "dune"], ["vrantu"]]
     together = model.logits(texts)
     assert together == pytest.approx([model.logits([t])[0] for t in texts], abs=1e-5)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    documents, labels = invented(spark, 600)
+    languages = language.fit(documents, rows=None)
+    learned = labels.where(~held_out(labels.doc_id))
+    counted = toxicity._held_by(documents.join(learned, "doc_id"))[1]
+    assert counted.tolist() == [learned.where(f"toxic = {kind}").count() for kind in (0, 1)]
+    # Several groups train together.
+    model = toxicity.fit(documents, labels, languages, rows=150)
+    told = toxicity.digest(documents, model, languages).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted != r.toxic for r in told) <= 0.03 * len(told)
+    from pyspark.sql import functions as F
+
+    # A toxic text longer than 64 KB counts, too.
+    long = documents.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.col("text"), F.lit(" ba" * 30_000))).otherwise(F.col("text")))
+    assert toxicity._held_by(long.join(learned, "doc_id"))[1].tolist() == counted.tolist()
+
+
+def test_model_is_the_same_after_flat_and_take():
+    import numpy as np
+
+    model, other = toxicity.ConvolutionalModel(), toxicity.ConvolutionalModel(seed=8)
+    model.start(np.ones((2, 2 * toxicity.BUCKETS)), np.array([3.0, 2.0]))
+    other.take(model.flat())
+    assert other.logits([["a", "b"], []]) == pytest.approx(model.logits([["a", "b"], []]), abs=1e-5)
+
+
+def test_every_labelled_row_trains_the_languages(spark):
+    documents, _ = invented(spark, 300)
+    assert language.training_rows(documents, None).count() == documents.where(~held_out(documents.doc_id)).count()

@@ -17,6 +17,7 @@ rows and empty tables need nothing special; other columns are carried along.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -63,6 +64,21 @@ class ScoreTable:
         return self.values[self.rows[key]]
 
 
+def _means(values: np.ndarray, hits: list[list[int]]) -> np.ndarray:
+    """Mean of the rows that each list names, added up in its order."""
+    counts = np.fromiter(map(len, hits), np.int64, len(hits))
+    flat = np.fromiter(itertools.chain.from_iterable(hits), np.int64, int(counts.sum()))
+    longest = np.argsort(-counts, kind="stable")
+    starts, lengths = (np.cumsum(counts) - counts)[longest], counts[longest]
+    sums = values[flat[starts]]
+    for k in range(1, int(lengths[0])):
+        more = np.searchsorted(-lengths, -k)  # so many lists are longer than k
+        sums[:more] += values[flat[starts[:more] + k]]
+    out = np.empty_like(sums)
+    out[longest] = sums / lengths[:, None].astype(sums.dtype)
+    return out
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams per language."""
 
@@ -81,15 +97,30 @@ class LanguageModel:
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency per language, by the word or its longest known n-grams."""
-        if word in self.words:
-            return self.words[word]
-        marked = f"^{word}$"
-        for n in LENGTHS:
-            rows = self.ngrams[n].rows
-            hits = [rows[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in rows]
-            if hits:
-                return self.ngrams[n].values[hits].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+        return self.scores_of([word])[0]
+
+    def scores_of(self, words: list[str]) -> np.ndarray:
+        """The same for many words, one row each."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        whole, parts = self.words.rows, [(self.ngrams[n].rows, n, [], []) for n in LENGTHS]
+        places, rows = [], []
+        for i, word in enumerate(words):
+            if word in whole:
+                places.append(i)
+                rows.append(whole[word])
+                continue
+            marked = f"^{word}$"
+            for known, n, met, hits in parts:
+                found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
+                if found:
+                    met.append(i)
+                    hits.append(found)
+                    break
+        out[places] = self.words.values[rows] if rows else 0
+        for _, n, met, hits in parts:
+            if met:
+                out[met] = _means(self.ngrams[n].values, hits)
+        return out
 
     def scores(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sums of word scores (texts by languages), and which texts have a letter."""
@@ -101,10 +132,10 @@ class LanguageModel:
         memory = self._memory
         memory.make_room()
         new = memory.unseen(listed)
-        memory.add(new, [self.word_scores(w) for w in new])
+        memory.add_values(new, np.full(len(new), len(self.languages)), self.scores_of(new).ravel())
         out = np.zeros((len(texts), len(self.languages)))
         if listed and self.languages:
-            taken = memory.lookup(listed)[0].reshape(-1, len(self.languages)).astype(np.float64)
+            taken = memory.rows(listed, len(self.languages)).astype(np.float64)
             held = np.flatnonzero(counts)
             out[held] = np.add.reduceat(taken, (np.cumsum(counts) - counts)[held], axis=0)
         return out, lettered

@@ -3,7 +3,7 @@
 import pytest
 
 from stellwerk.llm import language, toxicity
-from stellwerk.llm.common import held_out, table
+from stellwerk.llm.common import held_out, likely_in, table
 
 SF = "/root/testdata/sf0.1"
 
@@ -141,3 +141,35 @@ def test_model_is_the_same_after_flat_and_take():
 def test_every_labelled_row_trains_the_languages(spark):
     documents, _ = invented(spark, 300)
     assert language.training_rows(documents, None).count() == documents.where(~held_out(documents.doc_id)).count()
+
+
+def test_texts_meet_their_labels_once(spark, monkeypatch):
+    """Only the labelled rows that are not held out are kept, in one folder that every step reads."""
+    documents, labels = invented(spark, 600)
+    kept = []
+    stored = toxicity.stored
+    monkeypatch.setattr(toxicity, "stored", lambda frame, name: kept.append(stored(frame, name)) or kept[-1])
+    toxicity.fit(documents, labels.where("doc_id % 3 = 0"), language.fit(documents))
+    (marked,) = kept
+    wanted = documents.join(labels.where("doc_id % 3 = 0"), "doc_id").where(~held_out(documents.doc_id))
+    assert sorted(r.doc_id for r in marked.collect()) == sorted(r.doc_id for r in wanted.collect())
+
+
+def test_filter_of_keys_loses_none(spark):
+    rows, keys = spark.range(20_000).withColumnRenamed("id", "doc_id"), spark.range(0, 20_000, 7).selectExpr("cast(id as int) as doc_id")
+    passed = {r.doc_id for r in likely_in(rows, keys, "doc_id").collect()}
+    assert passed >= set(range(0, 20_000, 7)) and len(passed) < 8_000
+    assert likely_in(rows, keys.where("false"), "doc_id").count() == 0
+    assert likely_in(rows.selectExpr("nullif(doc_id, 7) as doc_id"), keys, "doc_id").where("doc_id is null").count() == 0
+
+
+def test_scores_of_many_words_are_those_of_each(languages):
+    words = [*list(languages.words)[:50], "qqthing", "xyzzyx", "ß", "żółwżółw", "q" * 300, "thethethe"]
+    table, one = languages.scores_of(words), []
+    for word in words:
+        marked = f"^{word}$"
+        grams = ([languages.ngrams[n][g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in languages.ngrams[n]] for n in language.LENGTHS)
+        found = [languages.words[word]] if word in languages.words else next((g for g in grams if g), None)
+        one.append([0.0] * len(languages.languages) if found is None else sum(found) / len(found))
+    assert table == pytest.approx(one, abs=1e-4)
+    assert languages.scores_of([]).shape == (0, len(languages.languages))

@@ -271,3 +271,12 @@ def test_filter_links_are_parsed_in_many_tasks(spark, tmp_path):
     found = QUERIES["filter_link_values"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() > 1
     assert {r.pf for r in found.collect()} == {"position@a b (m/w/d)+|contract@B|area@T"}
+
+
+def test_only_staying_category_items_are_read_as_html(spark):
+    item = "<item><title>A - B</title><link>https://x.example/job/7/</link><description>&lt;p&gt;Eins&lt;/p&gt;</description></item>"
+    landed = spark.createDataFrame([("it", 1, f"<rss><channel>{item * 3}</channel></rss>")], "search_key string, page long, payload string")
+    rows = feeds.parse_category_feeds(feeds.feed_items(landed), F.lit("2026-01-01").cast("timestamp"), None)
+    assert [(r.title, r.raw_text) for r in rows.collect()] == [("A", "Eins")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("Aggregate")

@@ -141,3 +141,13 @@ def test_keyword_exclusion(spark, keywords, want):
     if not keywords:
         keywords = ["nie"]
     assert A.exclude_by_keyword(frame, keywords, F.col("title")).first()["excluded_by"] == want
+
+
+def test_strip_takes_what_the_pattern_of_white_space_takes(spark):
+    from stellwerk.constants import WS
+
+    texts = [(f"{chr(i)}{chr(i)}a{chr(i)}b{chr(i)}",) for i in range(1, 0x3100)]
+    chars = spark.createDataFrame(texts, "c string")
+    other = chars.where(~X.strip(F.col("c")).eqNullSafe(F.regexp_replace("c", f"^{WS}+|{WS}+$", "")))
+    assert other.count() == 0
+    assert "regexp_replace" not in str(X.strip(F.col("c")))

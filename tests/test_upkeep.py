@@ -185,3 +185,11 @@ def test_stream_by_file_equals_one_batch(spark, tmp_path):
         streamed = S.read_version(spark, state, table, 2).select(*columns).collect()
         batched = S.read_version(spark, str(tmp_path / "once"), table, 1).select(*columns).collect()
         assert sorted(map(str, streamed)) == sorted(map(str, batched)), table
+
+
+def test_state_and_batch_are_normalised_once(spark):
+    from stellwerk.plans import identity_queries
+    from stellwerk.plans.adapters import Inputs
+
+    for rows in identity_queries._split(Inputs(spark, "/root/testdata/sf0.001")):
+        assert "sha2" not in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -35,10 +35,12 @@ def cache_changes(minutes: DataFrame, ttl_days: int = K.TRANSIT_TTL_DAYS, delay:
     lookups later than ``delay`` are dropped, and of equally late ones the larger minutes win.
     """
 
+    names = [field.split()[0] for field in _CHANGE.split(", ")]
+
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def told(lookup: tuple, change: str) -> pd.DataFrame:
             values = (*key, *lookup, int(lookup[2]) + ttl_days * _DAY_US, change)
-            return pd.DataFrame([values], columns=[field.split()[0] for field in _CHANGE.split(", ")])
+            return pd.DataFrame({name: [value] for name, value in zip(names, values)})
 
         held = tuple(state.get) if state.exists else None
         if state.hasTimedOut:
@@ -47,8 +49,9 @@ def cache_changes(minutes: DataFrame, ttl_days: int = K.TRANSIT_TTL_DAYS, delay:
             return
         newest = held
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                lookup = (int(row.transit_minutes), row.api_used, int(row.landed_us))
+            # Most keys have few rows: a list per column costs less than a tuple type per batch.
+            for minute, api, landed in zip(*(batch[name].tolist() for name in ("transit_minutes", "api_used", "landed_us"))):
+                lookup = (int(minute), api, int(landed))
                 if newest is None or (lookup[2], lookup[0]) > (newest[2], newest[0]):
                     newest = lookup
         expires_ms = (newest[2] + ttl_days * _DAY_US) // 1000

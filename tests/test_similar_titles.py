@@ -73,3 +73,10 @@ def test_long_titles_and_hot_company(spark):
 def test_low_threshold_is_rejected(spark):
     with pytest.raises(ValueError):
         S.similar_within(_frame(spark, ["a"]), 0.5)
+
+
+def test_edits_are_bounded(spark):
+    pairs = [("abcd", "abce"), ("abcd", "wxyz"), ("kitten", "sitting"), ("aä€", "a€"), ("abc", "abcdefgh"), ("abc", "")]
+    rows = spark.createDataFrame(pairs, "a string, b string").selectExpr("*", "explode(sequence(0, 9)) as most")
+    told = rows.select("most", S._within("a", "b", F.col("most")).alias("near"), F.levenshtein("a", "b").alias("edits")).collect()
+    assert all(r.near == (r.edits <= r.most) for r in told)

@@ -20,7 +20,7 @@ from stellwerk.session import cut_lineage
 
 BLOCK_SKILLS = 1024
 # Skills of all jobs that meet in one task, per block.
-SKILLS_PER_TASK = 2_000_000
+SKILLS_PER_TASK = 400_000
 # Pairs that are held at once within a task.
 _STRIDE = 1_000_000
 

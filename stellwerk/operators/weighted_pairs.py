@@ -2,9 +2,11 @@
 
 With weights a and b and a threshold t, each field has a least ratio of its own, the other one being
 equal at best: (t - b) / a for the first and (t - a) / b for the second.  Each turns into a set-overlap
-bound, and a pair must share a key of both fields (see similar_titles).  So a title that a third of all
-rows have is spread by companies, and a company by titles.  Bounds of the weighted sum follow inside the
-JVM, by the characters that a text has at all and then by edit distance; only what is left gets the ratios.
+bound (see similar_titles), and there are two exact ways to the pairs.  By fields: the different titles that
+share a key are measured once, so are the companies, and classes meet over the texts that are alike.  By
+classes: a pair must share a key of both fields, so many alike titles are spread by their companies.  Counts
+of the keys tell at which of the two fewer rows meet.  Bounds of the ratios follow inside the JVM, by the
+characters that a text has at all and then by edit distance; only what is left gets the ratios.
 
 Rows with equal fields form one class; pairs are between classes, and members are a list of their own.
 """
@@ -62,6 +64,60 @@ def _most_by_edits(m: Column, n: Column, a: Column, b: Column) -> Column:
     return F.when(m + n == 0, 1.0).otherwise((m + n - F.levenshtein(a, b)) / (m + n))
 
 
+def _meetings(keyed: DataFrame, keys: list[str]) -> float:
+    """How often two rows meet at a key, from the keys' frequencies; no pair is formed."""
+    n = keyed.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
+    return n.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0.0
+
+
+def _exploded(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    for key in keys:
+        keyed = keyed.withColumn(key, F.explode(key))
+    return keyed
+
+
+def _distinct_keyed(classes: DataFrame, field: str, bound: float, depth: int) -> DataFrame:
+    """The different texts of a field with their sizes, letters and keys."""
+    text = F.col("text")
+    texts = spread(cut_lineage(classes.select(F.col(field).alias("text")).distinct()))
+    return cut_lineage(texts.withColumns({"size": F.length(text), "letters": _letters(text), "key": _keys(text, bound, depth)}))
+
+
+def _alike(texts: DataFrame, bound: float) -> DataFrame:
+    """a, b, ratio: different texts of at least this ratio in this order, and each text with itself."""
+    keyed = _exploded(texts, ["key"])
+    a, b = (keyed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("text", "size", "letters"))) for side in "ab")
+
+    def reaches(most, suffix: str) -> Column:
+        return most(*(F.col(f"{side}{end}") for end in ("_size", suffix) for side in "ab")) >= bound - 1e-9
+
+    # The cheap bound first; a pair can meet at several keys.
+    close = (
+        a.join(b, "key")
+        .where((F.col("a_text") < F.col("b_text")) & reaches(_most_by_letters, "_letters") & reaches(_most_by_edits, "_text"))
+        .select("a_text", "b_text").distinct()
+    )
+    # The order of the texts matters to the ratio.
+    directions = F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a_text", "b_text"), ("b_text", "a_text"))))
+    directed = close.select(F.explode(directions).alias("d")).select("d.a", "d.b").withColumn("ratio", sequence_ratio("a", "b"))
+    same = texts.select(F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("ratio"))
+    return cut_lineage(directed.where(F.col("ratio") >= bound - 1e-9).unionByName(same))
+
+
+def _pairs_by_fields(classes: DataFrame, texts: dict[str, DataFrame], bounds: dict, weights: tuple[float, float], threshold: float) -> DataFrame:
+    """Classes meet over their alike titles and companies, each pair of texts being measured once."""
+    met = classes.withColumnRenamed("id", "class_id")
+    for field in texts:
+        alike = _alike(texts[field], bounds[field][0])
+        named = alike.select(F.col("a").alias(field), F.col("b").alias(f"other_{field}"), F.col("ratio").alias(f"{field}_ratio"))
+        met = met.join(named, field).drop(field)
+    similarity = F.col("title_ratio") * weights[0] + F.col("company_ratio") * weights[1]
+    reached = met.withColumn("similarity", similarity).where(F.col("similarity") >= threshold).drop("title_ratio", "company_ratio")
+    others = classes.select(F.col("id").alias("other_id"), *(F.col(f).alias(f"other_{f}") for f in texts))
+    pairs = reached.join(others, [f"other_{f}" for f in texts]).where(F.col("class_id") < F.col("other_id"))
+    return pairs.select("class_id", "other_id", "similarity")
+
+
 def weighted_pairs(
     postings: DataFrame, threshold: float = K.FUZZY_THRESHOLD, weights: tuple[float, float] = K.DUPLICATE_WEIGHTS
 ) -> DataFrame:
@@ -88,9 +144,11 @@ def weighted_pairs(
             | {f"{f}_key": _keys(F.col(f), *bounds[f]) for f in fields}
         )
     )
-    for field in fields:
-        keyed = keyed.withColumn(f"{field}_key", F.explode(f"{field}_key"))
-    keys = ["title_key", "company_key"]
+    keys = [f"{f}_key" for f in fields]
+    texts = {f: _distinct_keyed(classes, f, *bounds[f]) for f in fields}
+    if sum(_meetings(_exploded(texts[f], ["key"]), ["key"]) for f in fields) <= _meetings(_exploded(keyed.select(*keys), keys), keys):
+        return _pairs_by_fields(classes, texts, bounds, weights, threshold)
+    keyed = _exploded(keyed, keys)
     a, b = (keyed.select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in keyed.columns if c not in keys)) for side in "ab")
 
     def reaches(bound, suffix: str) -> Column:

@@ -59,3 +59,25 @@ def test_nothing_and_loose_thresholds(spark):
     assert W.weighted_pairs(none).count() == 0 and W.members(none).count() == 0
     with pytest.raises(ValueError):
         W.weighted_pairs(none, 0.7)
+
+
+@pytest.mark.parametrize("by_fields", [True, False])
+def test_both_ways_to_the_pairs_are_exact(spark, monkeypatch, by_fields):
+    rows = _postings(150)
+    monkeypatch.setattr(W, "_meetings", lambda keyed, keys: float((len(keys) == 2) == by_fields))
+    pairs, _ = _brute(rows, 0.85, (0.6, 0.4))
+    postings = spark.createDataFrame(rows, "id long, title string, company string")
+    found = {(r.class_id, r.other_id): r.similarity for r in W.weighted_pairs(postings).collect()}
+    assert len(pairs) > 100 and found.keys() == pairs.keys()
+    assert all(found[p] == pytest.approx(pairs[p], abs=1e-12) for p in pairs)
+
+
+def test_classes_of_few_texts_meet_by_their_texts(spark, monkeypatch):
+    """20 titles and 20 companies in all their 400 combinations: each text is measured with 20 others, not with 400."""
+    rows = [(20 * i + j, f"Data Engineer {i:02}", f"Stadtwerke {j:02}") for i in range(20) for j in range(20)]
+    met = []
+    ratio_of = W.sequence_ratio
+    monkeypatch.setattr(W, "sequence_ratio", lambda a, b: met.append((a, b)) or ratio_of(a, b))
+    found = W.weighted_pairs(spark.createDataFrame(rows, "id long, title string, company string"))
+    assert set(met) == {("a", "b")}
+    assert {(r.class_id, r.other_id) for r in found.collect()} == _brute(rows, 0.85, (0.6, 0.4))[0].keys()

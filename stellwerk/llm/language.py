@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import WordMemory, drawn, filled, held_out, passes, tidy
+from stellwerk.llm.common import WordMemory, drawn, filled, held_out, passes, ragged, tidy
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
@@ -64,21 +64,57 @@ class ScoreTable:
         return self.values[self.rows[key]]
 
 
-def _means(values: np.ndarray, hits: list[list[int]]) -> np.ndarray:
-    """Mean of the rows that each list names, added up in its order."""
-    counts = np.fromiter(map(len, hits), np.int64, len(hits))
-    flat = np.fromiter(itertools.chain.from_iterable(hits), np.int64, int(counts.sum()))
+def _means(values: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Mean of the rows that each run of so many numbers names, added up in its order."""
     longest = np.argsort(-counts, kind="stable")
     starts, lengths = (np.cumsum(counts) - counts)[longest], counts[longest]
     sums = values[flat[starts]]
     for k in range(1, int(lengths[0])):
-        more = np.searchsorted(-lengths, -k)  # so many lists are longer than k
+        more = np.searchsorted(-lengths, -k)  # so many runs are longer than k
         sums[:more] += values[flat[starts[:more] + k]]
     out = np.empty_like(sums)
     out[longest] = sums / lengths[:, None].astype(sums.dtype)
     return out
 
 
+class GramNumbers:
+    """The known n-grams as sorted numbers, their characters being the digits."""
+
+    def __init__(self, ngrams: dict[int, ScoreTable]):
+        points = sorted({ord(c) for table in ngrams.values() for key in table for c in key})
+        self.base = len(points) + 1
+        self.digits = np.zeros(0x110000, np.int64 if self.base > 0xFFFF else np.uint16)  # 0: in no n-gram
+        self.digits[points] = np.arange(1, self.base)
+        self.tables = {}
+        # With very many characters the greatest lengths don't fit in 63 bits and are searched as texts.
+        for n in (n for n in ngrams if self.base**n < 1 << 63):
+            numbers = self._numbers(self.digits[_points("".join(ngrams[n]))], np.arange(0, n * len(ngrams[n].rows), n), n)
+            order = np.argsort(numbers)
+            self.tables[n] = numbers[order], np.fromiter(ngrams[n].rows.values(), np.int64, len(order))[order]
+
+    def _numbers(self, digits: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+        numbers = digits[starts].astype(np.int64)
+        for k in range(1, n):
+            numbers = numbers * self.base + digits[starts + k]
+        return numbers
+
+    def found(self, digits: np.ndarray, starts: np.ndarray, windows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many known n-grams start in each run of windows, and their rows in order."""
+        numbers, rows = self.tables[n]
+        if not len(numbers):
+            return np.zeros(len(starts), np.int64), np.zeros(0, np.int64)
+        wanted = self._numbers(digits, ragged(starts, windows), n)
+        at = np.minimum(np.searchsorted(numbers, wanted), len(numbers) - 1)
+        hit = numbers[at] == wanted
+        sums = np.concatenate([[0], np.cumsum(hit)])
+        ends = np.cumsum(windows)
+        return sums[ends] - sums[ends - windows], rows[at[hit]]
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams per language."""
 
@@ -94,6 +130,7 @@ class LanguageModel:
 
     def _forget(self) -> None:
         self._memory = WordMemory(np.float32, KEPT_WORDS)
+        self._grams: GramNumbers | None = None
 
     def word_scores(self, word: str) -> np.ndarray:
         """Log frequency per language, by the word or its longest known n-grams."""
@@ -102,24 +139,31 @@ class LanguageModel:
     def scores_of(self, words: list[str]) -> np.ndarray:
         """The same for many words, one row each."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        whole, parts = self.words.rows, [(self.ngrams[n].rows, n, [], []) for n in LENGTHS]
-        places, rows = [], []
-        for i, word in enumerate(words):
-            if word in whole:
-                places.append(i)
-                rows.append(whole[word])
-                continue
-            marked = f"^{word}$"
-            for known, n, met, hits in parts:
-                found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
-                if found:
-                    met.append(i)
-                    hits.append(found)
-                    break
-        out[places] = self.words.values[rows] if rows else 0
-        for _, n, met, hits in parts:
-            if met:
-                out[met] = _means(self.ngrams[n].values, hits)
+        whole = self.words.rows
+        known = np.fromiter((whole.get(w, -1) for w in words), np.int64, len(words))
+        places = np.flatnonzero(known >= 0)
+        out[places] = self.words.values[known[places]]
+        left = np.flatnonzero(known < 0)
+        if not len(left):
+            return out
+        if self._grams is None:
+            self._grams = GramNumbers(self.ngrams)
+        grams, marked = self._grams, [f"^{words[i]}$" for i in left.tolist()]
+        digits = grams.digits[_points("".join(marked))]
+        sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+        starts, open_ = np.cumsum(sizes) - sizes, np.arange(len(marked))
+        for n in LENGTHS:
+            if n in grams.tables:
+                counts, rows = grams.found(digits, starts[open_], np.maximum(sizes[open_] - n + 1, 0), n)
+            else:
+                own = self.ngrams[n].rows
+                hits = [[own[g] for k in range(len(w) - n + 1) if (g := w[k : k + n]) in own] for w in map(marked.__getitem__, open_.tolist())]
+                counts = np.fromiter(map(len, hits), np.int64, len(hits))
+                rows = np.fromiter(itertools.chain.from_iterable(hits), np.int64, int(counts.sum()))
+            met = counts > 0
+            if met.any():
+                out[left[open_[met]]] = _means(self.ngrams[n].values, counts[met], rows)
+            open_ = open_[~met]
         return out
 
     def scores(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +173,12 @@ class LanguageModel:
             counts[i] = len(found)
             lettered[i] = any(any(map(str.isalpha, w)) for w in found)
             listed.extend(found)
-        memory = self._memory
+        memory, width = self._memory, len(self.languages)
         memory.make_room()
-        new = memory.unseen(listed)
-        memory.add_values(new, np.full(len(new), len(self.languages)), self.scores_of(new).ravel())
-        out = np.zeros((len(texts), len(self.languages)))
+        at = memory.learned(listed, lambda new, first: memory.put(np.arange(first, first + len(new)), np.full(len(new), width), self.scores_of(new).ravel()))
+        out = np.zeros((len(texts), width))
         if listed and self.languages:
-            taken = memory.rows(listed, len(self.languages)).astype(np.float64)
+            taken = memory.rows(at, width).astype(np.float64)
             held = np.flatnonzero(counts)
             out[held] = np.add.reduceat(taken, (np.cumsum(counts) - counts)[held], axis=0)
         return out, lettered

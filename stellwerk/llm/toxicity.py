@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import language
-from stellwerk.llm.common import filled, held_out, likely_in, passes, stored, tidy, tidy_group
+from stellwerk.llm.common import WordMemory, filled, held_out, likely_in, passes, stored, tidy, tidy_group
 
 GROUP_ROWS = 8_000  # labelled rows that train together
 STEPS_PER_UNIT = 1_000  # responses are counted to a thousandth
@@ -49,13 +49,11 @@ KEPT_WORDS = 80_000
 
 
 def bucket_rows(words: list[str]) -> np.ndarray:
-    """Both buckets of each word of a text."""
-    return np.array([buckets(w) for w in words], np.int32).reshape(-1, 2)
-
-
-def buckets(word: str) -> tuple[int, int]:
-    """Rows of the embedding table for a word and for its first letters."""
-    return zlib.crc32(word.encode()) % BUCKETS, BUCKETS + zlib.crc32(word[:PREFIX].encode()) % BUCKETS
+    """Rows of the embedding table for each word and for its first letters."""
+    out = np.empty((len(words), 2), np.int32)
+    out[:, 0] = np.fromiter(map(zlib.crc32, map(str.encode, words)), np.uint32, len(words)) % BUCKETS
+    out[:, 1] = np.fromiter((zlib.crc32(w[:PREFIX].encode()) for w in words), np.uint32, len(words)) % BUCKETS + BUCKETS
+    return out
 
 
 class ConvolutionalModel:
@@ -78,16 +76,15 @@ class ConvolutionalModel:
         self._forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_codes", "_rows", "_count")}
+        return {k: v for k, v in self.__dict__.items() if k != "_memory"}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._forget()
 
     def _forget(self) -> None:
-        self._codes: dict[str, int] = {}
-        self._rows = np.zeros((1024, sum(WIDTHS) * FILTERS), np.float32)
-        self._count = 0
+        # Per word, its responses at each place of each filter.
+        self._memory = WordMemory(np.float32, KEPT_WORDS)
 
     # ---- training
 
@@ -179,58 +176,58 @@ class ConvolutionalModel:
         down = slope[:, None] * self.out
         grads = {"out": pooled.T @ slope, "shift": np.where(best >= 0, down, 0).sum(axis=0)}
         touched, parts = [], []
+        sizes = np.array([len(r) for r in rows], np.int64)
+        first = np.cumsum(sizes) - sizes
+        every, stacked = np.concatenate(rows), np.concatenate(vectors)
         for k, (width, filters) in enumerate(zip(WIDTHS, self.filters)):
-            g = np.zeros_like(filters)
-            for d, f in np.argwhere(best[:, k * FILTERS : (k + 1) * FILTERS] >= 0):
-                at, x, slope_here = best[d, k * FILTERS + f], vectors[d], down[d, k * FILTERS + f]
-                for j in range(min(width, len(x) - at)):
-                    g[j, :, f] += slope_here * x[at + j]
-                    part = slope_here * filters[j, :, f]
-                    touched.extend(rows[d][at + j])
-                    parts.extend((part, part))
-            grads[f"f{k}"] = g
-        grads["table"] = np.array(parts, np.float32).reshape(-1, DIMENSION)
-        return grads, np.array(touched, np.int64), float(slope.sum())
+            d, f = np.nonzero(best[:, k * FILTERS : (k + 1) * FILTERS] >= 0)
+            at, slope_here = best[d, k * FILTERS + f], down[d, k * FILTERS + f]
+            # Pairs of a text and a filter, and the places of the filter that are inside the text.
+            pair, j = np.nonzero(np.arange(width) < (sizes[d] - at)[:, None])
+            place, own_slope = first[d[pair]] + at[pair] + j, slope_here[pair][:, None]
+            g = np.zeros((width, FILTERS, DIMENSION), np.float32)
+            np.add.at(g, (j, f[pair]), own_slope * stacked[place])
+            grads[f"f{k}"] = g.transpose(0, 2, 1)
+            touched.append(every[place].ravel())
+            parts.append(np.repeat(own_slope * filters[j, :, f[pair]], 2, axis=0))
+        grads["table"] = np.concatenate(parts)
+        return grads, np.concatenate(touched).astype(np.int64), float(slope.sum())
 
     # ---- scoring
 
+    def _learn(self, words: list[str], first: int) -> None:
+        at = bucket_rows(words)
+        vectors = self.table[at[:, 0]] + self.table[at[:, 1]]
+        rows = np.concatenate([vectors @ f[j] for f in self.filters for j in range(len(f))], axis=1)
+        self._memory.put(np.arange(first, first + len(words)), np.full(len(words), rows.shape[1]), rows.ravel())
+
+    def _responses_of(self, at: np.ndarray) -> Iterator[np.ndarray]:
+        """Responses of the words with these codes, place by place and filter by filter."""
+        table = self._memory.table(sum(WIDTHS) * FILTERS)
+        for column in range(0, table.shape[1], FILTERS):
+            yield np.take(np.ascontiguousarray(table[:, column : column + FILTERS]), at, axis=0)
+
     def logits(self, texts: list[list[str]]) -> np.ndarray:
         """Response of each text, given as its words."""
         listed = [w for words in texts for w in words]
         counts = np.array([len(words) for words in texts], np.int64)
         if not listed:
             return np.full(len(texts), self.bias)
-        if self._count > KEPT_WORDS:
-            self._forget()
-        new = list(set(listed).difference(self._codes))
-        if new:
-            at = np.array([buckets(w) for w in new], np.int64)
-            vectors = self.table[at[:, 0]] + self.table[at[:, 1]]
-            rows = np.concatenate([vectors @ f[j] for f in self.filters for j in range(len(f))], axis=1)
-            need = self._count + len(new)
-            if need > len(self._rows):
-                grown = np.zeros((max(need, 2 * len(self._rows)), self._rows.shape[1]), np.float32)
-                grown[: self._count] = self._rows[: self._count]
-                self._rows = grown
-            self._rows[self._count : need] = rows
-            self._codes.update(zip(new, range(self._count, need)))
-            self._count = need
-        codes = np.fromiter(map(self._codes.__getitem__, listed), np.int64, len(listed))
+        self._memory.make_room()
+        columns = self._responses_of(self._memory.learned(listed, self._learn))
         ends = np.cumsum(counts)
         held = np.flatnonzero(counts)
         starts = (ends - counts)[held]
         pooled = np.zeros((len(texts), len(self.shift)), np.float32)
-        column = 0
         for k, width in enumerate(WIDTHS):
-            z = self._rows[codes, column : column + FILTERS]
+            z = next(columns)
             for j in range(1, width):
-                ahead = self._rows[codes[j:], column + j * FILTERS : column + (j + 1) * FILTERS].copy()
+                ahead = next(columns)[j:]
                 for back in range(1, j + 1):  # a filter ends with its text
                     over = ends[held][:-1] - back
                     ahead[over[over < len(ahead)]] = 0
-                z[: len(codes) - j] += ahead
+                z[: len(listed) - j] += ahead
             pooled[held, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(z, starts, axis=0)
-            column += width * FILTERS
         pooled[held] = np.maximum(pooled[held] + self.shift, 0)
         return pooled.astype(np.float64) @ self.out.astype(np.float64) + self.bias
 
@@ -262,7 +259,7 @@ def _held_by(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         held, totals = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for text, kind in zip(filled(batch.column("text")), batch.column("toxic").to_pylist()):
-                held[kind][np.unique(bucket_rows(language.words_of(text.as_py())))] += 1
+                held[kind][np.unique(bucket_rows(list(set(language.words_of(text.as_py())))))] += 1
                 totals[kind] += 1
         at = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays(

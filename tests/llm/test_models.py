@@ -173,3 +173,41 @@ def test_scores_of_many_words_are_those_of_each(languages):
         one.append([0.0] * len(languages.languages) if found is None else sum(found) / len(found))
     assert table == pytest.approx(one, abs=1e-4)
     assert languages.scores_of([]).shape == (0, len(languages.languages))
+
+
+def test_ngrams_are_found_by_number():
+    import numpy as np
+
+    table = language.ScoreTable({"^ab": 0, "bä$": 1, "xyz": 2}, np.zeros((3, 1), np.float32))
+    grams = language.GramNumbers({3: table})
+    marked = ["^abä$", "^q$", "^", "^abäxyz😀$"]
+    sizes = np.array([len(m) for m in marked])
+    counts, rows = grams.found(grams.digits[language._points("".join(marked))], np.cumsum(sizes) - sizes, np.maximum(sizes - 2, 0), 3)
+    assert counts.tolist() == [2, 0, 0, 2] and rows.tolist() == [0, 1, 0, 2]
+
+
+def test_gradients_are_those_of_the_loss():
+    import numpy as np
+
+    model, rng = toxicity.ConvolutionalModel(), np.random.default_rng(3)
+    model.table[:] = rng.normal(0, 0.5, model.table.shape)
+    rows = [toxicity.bucket_rows(words) for words in (["a"], [], ["zorkel", "ba", "a"], ["ba", "bo", "bi", "dune"])]
+    labels, weights = np.array([1, 0, 1, 0]), np.ones(4)
+
+    def loss():
+        logits = np.array([model._gradients([r], labels[:1], weights[:1])[2] for r in rows])  # sigmoid less 1
+        chance = logits + 1
+        return -np.mean(np.log(np.where(labels == 1, chance, 1 - chance)))
+
+    grads, touched, _ = model._gradients(rows, labels, weights)
+    assert touched.shape == (len(grads["table"]),)
+    for k, filters in enumerate(model.filters):
+        assert grads[f"f{k}"].shape == filters.shape
+        at, step = np.unravel_index(np.abs(grads[f"f{k}"]).argmax(), filters.shape), 1e-2
+        kept = filters[at]
+        filters[at] = kept + step
+        up = loss()
+        filters[at] = kept - step
+        down = loss()
+        filters[at] = kept
+        assert grads[f"f{k}"][at] == pytest.approx((up - down) / (2 * step), rel=0.05)

@@ -6,6 +6,7 @@ piece is merged, the leftmost first among equals, and the new neighbours join th
 agenda.  Symbols that are no piece become their UTF-8 bytes.  No piece of such a
 vocabulary holds a mark after another character (checked when it is loaded), so
 the agenda runs on one marked word at a time and its result is kept per worker.
+New words take their steps together: each round merges the best pair of every word.
 Every newly seen word is compared with the sentencepiece library, batch by batch.
 
 Defined cases: null counts as the empty text, which has only the end id; any other
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -23,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stellwerk.llm.common import WordMemory, as_lists, filled, passes, sums_of_runs
+from stellwerk.llm.common import WordMemory, as_lists, filled, passes, ragged, sums_of_runs
 
 MARK = "▁"
 # Words kept per worker before the memory is cleared (about 150 bytes each).
 KEPT_WORDS = 400_000
 SHORT_WORD = 48
 NEVER = float("inf")
+_NO_RANK = np.iinfo(np.int32).max
+_SYMBOLS = 1 << 31  # more than pieces and characters together
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -65,6 +69,7 @@ class PieceCodec:
         for value, i in self.byte_ids.items():
             self.byte_of[i] = value
         self._memory = WordMemory(np.int32, KEPT_WORDS)
+        self._pairs: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def word_ids(self, word: str) -> list[int]:
         """Ids of one marked word by the agenda."""
@@ -119,16 +124,116 @@ class PieceCodec:
                         heapq.heappush(agenda, (order[joined], a, b, joined))
         return [s for s in symbols if s]
 
-    def _learn(self, words: list[str]) -> None:
+    def _symbol(self, text: str) -> int | None:
+        """A piece's id, or a number beyond all ids for a character that is no piece."""
+        return self.ids.get(text, len(self.pieces) + ord(text) if len(text) == 1 else None)
+
+    def _pair_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair of symbols that forms a piece, ascending: its key, the piece, the piece's place in the order."""
+        if self._pairs is None:
+            found = []
+            for piece in self.order:
+                for cut in range(1, len(piece)):
+                    left, right = self._symbol(piece[:cut]), self._symbol(piece[cut:])
+                    if left is not None and right is not None:
+                        found.append((left * _SYMBOLS + right, self.ids[piece], self.order[piece]))
+            found.sort()
+            keys, pieces, orders = zip(*found) if found else ((), (), ())
+            ranks = np.unique(np.array(orders, np.float64), return_inverse=True)[1]
+            self._pairs = np.array(keys, np.int64), np.array(pieces, np.int64), ranks.astype(np.int32)
+        return self._pairs
+
+    def _met(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and pieces of pairs of symbols."""
+        keys, pieces, ranks = self._pair_table()
+        if not len(keys):
+            return np.full(len(left), _NO_RANK, np.int32), np.zeros(len(left), np.int64)
+        wanted = left * _SYMBOLS + right
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, ranks[at], _NO_RANK), pieces[at]
+
+    def _merged_together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words by the agenda, one after the other, and how many each has."""
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        distinct, which = np.unique(points, return_inverse=True)
+        symbols = np.array([self._symbol(chr(c)) for c in distinct.tolist()], np.int64)[which]
+        owner = np.repeat(np.arange(len(words)), sizes)
+        ranks, joined = np.full(len(symbols), _NO_RANK, np.int32), np.zeros(len(symbols), np.int64)
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        ranks[inside], joined[inside] = self._met(symbols[inside], symbols[inside + 1])
+        owners, done = [], []
+        while len(symbols):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            counts = np.diff(starts, append=len(owner))
+            best = np.minimum.reduceat(ranks, starts)
+            open_ = np.repeat(best < _NO_RANK, counts)
+            if not open_.all():  # words without a pair left are done
+                owners.append(owner[~open_])
+                done.append(symbols[~open_])
+                owner, symbols, ranks, joined = owner[open_], symbols[open_], ranks[open_], joined[open_]
+                best, counts = best[best < _NO_RANK], counts[best < _NO_RANK]
+            at = np.flatnonzero(ranks == np.repeat(best, counts))
+            at = at[np.diff(owner[at], prepend=-1) > 0]  # the leftmost of equals
+            symbols[at] = joined[at]
+            left = np.ones(len(symbols), bool)
+            left[at + 1] = False
+            owner, symbols, ranks, joined = owner[left], symbols[left], ranks[left], joined[left]
+            at = at - np.arange(len(at))
+            ranks[at] = _NO_RANK
+            new = np.concatenate([at, at[at > 0] - 1])  # the new neighbours' pairs
+            new = new[new + 1 < len(owner)]
+            new = new[owner[new] == owner[new + 1]]
+            ranks[new], joined[new] = self._met(symbols[new], symbols[new + 1])
+        order = np.argsort(np.concatenate(owners), kind="stable")
+        return self._with_bytes(np.concatenate(done)[order], np.concatenate(owners)[order], len(words))
+
+    def _with_bytes(self, symbols: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, a character that is no piece as its bytes, and how many each of the words has."""
+        size = len(self.pieces)
+        other = symbols >= size
+        if not other.any():
+            return symbols, np.bincount(owner, minlength=count)
+        chars = symbols[other] - size
+        lengths = np.ones(len(symbols), np.int64)
+        lengths[other] = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        table = np.array([self.byte_ids[b] for b in range(256)], np.int64)
+        ids, firsts = np.repeat(symbols, lengths), np.cumsum(lengths) - lengths
+        ids[ragged(firsts[other], lengths[other])] = table[np.frombuffer("".join(map(chr, chars.tolist())).encode(), np.uint8)]
+        return ids, np.bincount(np.repeat(owner, lengths), minlength=count)
+
+    def _learn(self, words: list[str], first: int) -> None:
         """Encode unseen words and compare them with the library."""
-        found = [self.word_ids(w) for w in words]
-        if self.check:
-            # The library puts the first mark in front itself.
-            theirs = self.library.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
-            for word, mine, other in zip(words, found, theirs):
-                if mine != other and word != MARK:
+        short = [i for i, w in enumerate(words) if 0 < len(w) <= SHORT_WORD]
+        if short:
+            own = [words[i] for i in short]
+            ids, lengths = self._merged_together(own)
+            self._compare(own, ids, lengths)
+            self._memory.put(first + np.array(short), lengths, ids)
+        for i, word in enumerate(words):
+            if not word:  # stands for the end id
+                self._memory.put_lists(np.array([first + i]), [[self.end]])
+            elif len(word) > SHORT_WORD:
+                ids = np.array(self.word_ids(word), np.int64)
+                self._compare([word], ids, np.array([len(ids)]))
+                self._memory.put(np.array([first + i]), np.array([len(ids)]), ids)
+
+    def _compare(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Every word's ids are the library's."""
+        if not self.check:
+            return
+        # The library puts the first mark in front itself; it has nothing for a mark alone.
+        theirs = self.library.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)
+        if MARK in words:
+            at = words.index(MARK)
+            start = int(lengths[:at].sum())
+            theirs[at] = ids[start : start + int(lengths[at])].tolist()
+        flat = np.fromiter(itertools.chain.from_iterable(theirs), np.int64)
+        if not np.array_equal(np.fromiter(map(len, theirs), np.int64, len(theirs)), lengths) or not np.array_equal(flat, ids):
+            for word, other, start, n in zip(words, theirs, (np.cumsum(lengths) - lengths).tolist(), lengths.tolist()):
+                mine = ids[start : start + n].tolist()
+                if mine != other:
                     raise AssertionError(f"ids of {word!r} differ from the library's: {mine} and {other}")
-        self._memory.add(words, found)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has, end ids included."""
@@ -142,15 +247,8 @@ class PieceCodec:
             else:
                 counts[i] = 1
             words.append("")  # stands for the end id
-        memory = self._memory
-        memory.make_room()
-        new = memory.unseen(words)
-        if "" in new:
-            new.remove("")
-            memory.add([""], [[self.end]])
-        if new:
-            self._learn(new)
-        ids, lengths = memory.lookup(words)
+        self._memory.make_room()
+        ids, lengths = self._memory.lookup(self._memory.learned(words, self._learn))
         return ids, sums_of_runs(lengths, counts)
 
     def decode(self, ids: np.ndarray) -> str:

@@ -12,6 +12,7 @@ table writes files without rows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -32,8 +33,8 @@ KEPT_WORDS = 1_000_000  # about 200 bytes each
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 # Marks that the tokenizer splits from a word before them.
 _CLOSING = ".,;:!?|"
-# An ASCII capital is only ever composed with a character right behind it, never with an ASCII one.
-_CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\x80-\xff]")
+# An ASCII capital is only ever composed if a combining mark is right behind it; there is none below U+0300.
+_CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\xcc-\xff]")
 _BLOCK = 256  # words in one question to the library
 
 
@@ -71,42 +72,41 @@ class WordTokenizer:
             counts[i] = len(found) + 1
             words.extend(found)
             words.append(b"")  # stands for the end id
-        memory = self._memory
-        memory.make_room()
-        self._learn(memory.unseen(words))
-        ids, lengths = memory.lookup(words)
+        self._memory.make_room()
+        ids, lengths = self._memory.lookup(self._memory.learned(words, self._learn))
         return ids, sums_of_runs(lengths, counts)
 
-    def _learn(self, unseen: list[bytes]) -> None:
+    def _learn(self, unseen: list[bytes], first: int) -> None:
         """Ask the library for unseen runs: words many at a time, other runs one by one.
 
         A run of letters is one piece of the tokenizer, and closing marks after it are a second
         one; each piece ends with a closing id, so the answer for many words can be cut.
         """
-        words, pieces, others = [], [], []
-        for run in unseen:
-            text = run.decode()
-            core = text.rstrip(_CLOSING)
-            if core.isalpha():
-                words.append(run)
-                pieces.append(1 + (len(core) < len(text)))
-            elif run:
-                others.append(run)
-            else:
-                self._memory.add([run], [[END]])
-        counts = np.cumsum(np.array(pieces, np.int64))
-        blocks = range(0, len(words), _BLOCK)
-        answers = self._ask([b" ".join(words[i : i + _BLOCK]).decode() for i in blocks])
-        for start, ids in zip(blocks, answers):
-            block = words[start : start + _BLOCK]
-            own = counts[start : start + _BLOCK] - (counts[start - 1] if start else 0)
-            ids = np.array(ids, np.int32)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == own[-1] and ends[-1] == len(ids):
-                self._memory.add_values(block, np.diff(ends[own - 1], prepend=0), ids)
-            else:  # the library sees other word ends than this module
-                others.extend(block)
-        self._memory.add(others, self._ask([run.decode() for run in others]))
+        texts = b" ".join(unseen).decode().split(" ")  # no run holds a space
+        pieces = np.fromiter(map(str.isalpha, texts), np.int64, len(texts))
+        for i in np.flatnonzero(pieces == 0).tolist():
+            if texts[i].rstrip(_CLOSING).isalpha():
+                pieces[i] = 2
+        chosen = np.flatnonzero(pieces)
+        words, ends = [texts[i] for i in chosen.tolist()], np.cumsum(pieces[chosen])
+        answers = self._ask([" ".join(words[i : i + _BLOCK]) for i in range(0, len(words), _BLOCK)])
+        sizes = np.fromiter(map(len, answers), np.int64, len(answers))
+        ids = np.fromiter(itertools.chain.from_iterable(answers), np.int32, int(sizes.sum()))
+        closed = np.flatnonzero(self.closes[ids]) + 1
+        # Each block has its words' pieces, and its last id closes one; other answers see other word ends than this module.
+        last = np.minimum(np.arange(1, len(answers) + 1) * _BLOCK, len(words)) - 1
+        borders = np.cumsum(sizes)
+        found = np.searchsorted(closed, borders, side="right")
+        as_cut = (np.diff(found, prepend=0) == np.diff(ends[last], prepend=0)) & (sizes > 0) & self.closes[ids[borders - 1]] if len(ids) else sizes > 0
+        if as_cut.all():
+            if len(words):
+                self._memory.put(first + chosen, np.diff(closed[ends - 1], prepend=0), ids)
+        else:
+            pieces[chosen] = 0
+        others = np.flatnonzero(pieces == 0)
+        runs = [texts[i] for i in others.tolist()]
+        answers = iter(self._ask([run for run in runs if run]))
+        self._memory.put_lists(first + others, [next(answers) if run else [END] for run in runs])
 
     def _ask(self, texts: list[str]) -> list[list[int]]:
         out = []

@@ -101,3 +101,34 @@ def test_empty_tables(spark, documents):
     token_files.write(none, path)
     assert token_files.directory(spark, path).count() == 0
     assert piece_codec.round_trip_digests(none).count() == 0
+
+
+def test_words_merged_together_equal_one_by_one():
+    codec = piece_codec.PieceCodec(piece_codec.default_model())
+    words = ["▁" + w for w in ("the", "", "aaaaaaa", "abcabcabc", "日本語", "😀é́x", "\x00", "naïveté", "undertepfheit", "x" * 47)] + ["▁▁▁", "▁▁ab"]
+    ids, lengths = codec._merged_together(words)
+    assert lengths.tolist() == [len(codec.word_ids(w)) for w in words]
+    assert ids.tolist() == [i for w in words for i in codec.word_ids(w)]
+
+
+def test_a_failed_word_is_not_kept():
+    import pyarrow as pa
+
+    codec = piece_codec.PieceCodec(piece_codec.default_model())
+    order, codec.order = codec.order, {}
+    with pytest.raises(AssertionError):
+        codec.encode(pa.array(["hello there"]))
+    codec.order, codec._pairs = order, None
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
+    assert codec.encode(pa.array(["hello there"]))[0].tolist() == library.encode("hello there", add_eos=True)
+
+
+def test_capitals_before_letters_beyond_ascii_are_lowered_before_the_library_is_asked():
+    import pyarrow as pa
+
+    own = token_files.WordTokenizer(token_files.default_tokenizer())
+    texts = ["Mädchen mädchen, MéTRO Ñandú x1 É", "Ö Wä̈ K҃̈"]
+    ids, counts = own.encode(pa.array(texts))
+    expected = [[*own.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
+    assert "mädchen".encode() in own._memory.codes and "Mädchen".encode() not in own._memory.codes

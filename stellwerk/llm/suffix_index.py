@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellwerk.llm.common import RangeHash, filled, fresh_folder, mixed, passes, ragged, stored, text_bytes, tidy, tidy_group, tidy_pair
+from stellwerk.llm.common import RangeHash, filled, fresh_folder, mixed, passes, ragged, remove, stored, text_bytes, tidy, tidy_group, tidy_pair, write_out
 
 LENGTH = 200
 GRAM = 64  # long enough that unrelated texts hardly share one
@@ -258,7 +258,7 @@ class SuffixIndex:
         scanned = new.groupBy("kind", "bucket").cogroup(held.groupBy("level_kind", "level_bucket")).applyInArrow(
             tidy_pair(lambda left, right: run(left, right.rename_columns(_NAMES))), _ROWS
         )
-        scanned.write.parquet(folder)
+        write_out(scanned, folder)
         self.scans.append((units, folder))
         if keep:
             for level in merge:
@@ -481,6 +481,7 @@ def repeated_spans(documents: DataFrame, batches: int = 2, keep: list[str] | Non
         .mapInArrow(tidy(_first_look(keep, want_text)), f"{columns}, {_RESULT_SCHEMA}, open_text string, slice long, windows binary, known binary"),
         "repeats",
     )
+    remove(spark, index.path)  # the texts hold what was told of them
     names = [*keep, *(n for n, _ in _RESULT if want_text or n != "kept_text")]
     open_rows = looked.where(F.col("windows").isNotNull())
     found = _repeated_windows(open_rows, index.bits)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import language
-from stellwerk.llm.common import WordMemory, filled, held_out, likely_in, passes, stored, tidy, tidy_group
+from stellwerk.llm.common import WordMemory, discard, filled, held_out, likely_in, passes, stored, tidy, tidy_group
 
 GROUP_ROWS = 8_000  # labelled rows that train together
 STEPS_PER_UNIT = 1_000  # responses are counted to a thousandth
@@ -322,13 +322,24 @@ def _responses(rows: DataFrame, model: ConvolutionalModel, languages: language.L
     return found.groupBy("lang", "step").agg(F.count_if(F.col("toxic") == 0).alias("clean"), F.count_if(F.col("toxic") == 1).alias("toxic")).toArrow()
 
 
-def fit(documents: DataFrame, labels: DataFrame, languages: language.LanguageModel, rows: int = GROUP_ROWS) -> ConvolutionalModel:
-    """Train on all of ``doc_id, text`` that ``labels.toxic`` marks and that are not held out, in groups of about ``rows``."""
+def fit(documents: DataFrame, labels: DataFrame, languages: language.LanguageModel, rows: int = GROUP_ROWS, keep_marked: bool = True) -> ConvolutionalModel:
+    """Train on all of ``doc_id, text`` that ``labels.toxic`` marks and that are not held out, in groups of about ``rows``.
+
+    The folder of marked texts is removed afterwards if ``keep_marked`` is false.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # Texts meet their labels once: joined for each use, they would be shuffled each time.
     texts = likely_in(documents.select("doc_id", "text").where(~held_out(F.col("doc_id"))), known, "doc_id")
     # Labels grow with the documents: joined by shuffle at every size, as they are on large tables.
     marked = stored(texts.join(known.hint("merge"), "doc_id"), "toxicity-marked")
+    model = _fitted(marked, languages, rows)
+    if not keep_marked:
+        discard(marked)
+    return model
+
+
+def _fitted(marked: DataFrame, languages: language.LanguageModel, rows: int) -> ConvolutionalModel:
+    """The model of ``doc_id, text, toxic``; nothing of it is left to run."""
     aside = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)) == 0
     model = ConvolutionalModel()
     learned = marked.where(~aside)

@@ -45,3 +45,37 @@ def test_stages_with_a_null_column(spark, missing):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= 0
+
+
+def _folders(spark) -> set[str]:
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from stellwerk.session import checkpoint_dir
+
+    return {p.name for p in Path(urlparse(checkpoint_dir(spark)).path).iterdir()}
+
+
+def test_stages_leave_only_what_their_results_read(spark):
+    """What a stage keeps for itself goes before the next one begins, and so do the shuffle files of what it stores."""
+    docs = table(spark, SF, "documents")
+    held = {"toxicity": set(), "language": set(), "near_duplicates": {"set-ids", "edges", "labels"}, "repeats": {"repeats"}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = _folders(spark)
+        assert stage(spark, docs, SF).count() > 0
+        assert {f[:-33] for f in _folders(spark) - before} <= held[name], name
+
+
+def test_shuffles_go_when_a_frame_is_stored(spark):
+    import time
+
+    from stellwerk.llm.common import stored
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = files.getAllFiles().size()
+    kept = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).hint("merge"), F.col("k") == F.col("id")), "counts")
+    for _ in range(50):
+        if files.getAllFiles().size() <= before:
+            break
+        time.sleep(0.2)
+    assert files.getAllFiles().size() <= before and kept.count() == 7

@@ -16,6 +16,7 @@ rows and empty tables need nothing special; other columns are carried along.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
 import re
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import WordMemory, drawn, filled, held_out, passes, ragged, tidy
+from stellwerk.llm.common import CodedWords, WordMemory, between_spaces, drawn, filled, held_out, passes, ragged, tidy
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
@@ -48,6 +49,39 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+# Of ASCII, letters in lower case and spaces for all else.
+_SMALL = bytes(c | 32 if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    """Which code points ``words_of`` takes for letters."""
+    out = np.zeros(0x110000, bool)
+    for found in _WORD.finditer("".join(map(chr, range(0x110000)))):
+        out[found.start() : found.end()] = True
+    return out
+
+
+def _spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``between_spaces`` of the lower-cased texts with a space for all but letters."""
+    out = [data.translate(_SMALL) if data.isascii() else None for data in texts.cast(pa.binary()).to_pylist()]
+    others = [i for i, done in enumerate(out) if done is None]
+    if others:
+        small = [unicodedata.normalize("NFC", text).lower() for text in texts.take(pa.array(others)).to_pylist()]
+        points = _points("".join(small))
+        whole, end = np.where(_letters()[points], points, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le"), 0
+        for i, text in zip(others, small):
+            out[i] = whole[end : end + len(text)].encode()
+            end += len(text)
+    return between_spaces(pa.array(out, pa.string()))
+
+
+def coded_words(texts: pa.Array) -> CodedWords:
+    """``words_of`` each of many filled texts, each distinct word once."""
+    distinct, at, counts = _spaced(texts)
+    return CodedWords(distinct.to_pylist(), at, counts)
+
+
 class ScoreTable:
     """Log frequencies per language by word or n-gram, as one matrix: small in every worker."""
 
@@ -166,28 +200,25 @@ class LanguageModel:
             open_ = open_[~met]
         return out
 
-    def scores(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, words: CodedWords) -> tuple[np.ndarray, np.ndarray]:
         """Sums of word scores (texts by languages), and which texts have a letter."""
-        listed, counts, lettered = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        for i, found in enumerate(map(words_of, texts) if words is None else words):
-            counts[i] = len(found)
-            lettered[i] = any(any(map(str.isalpha, w)) for w in found)
-            listed.extend(found)
         memory, width = self._memory, len(self.languages)
         memory.make_room()
-        at = memory.learned(listed, lambda new, first: memory.put(np.arange(first, first + len(new)), np.full(len(new), width), self.scores_of(new).ravel()))
-        out = np.zeros((len(texts), width))
-        if listed and self.languages:
-            taken = memory.rows(at, width).astype(np.float64)
-            held = np.flatnonzero(counts)
-            out[held] = np.add.reduceat(taken, (np.cumsum(counts) - counts)[held], axis=0)
+        codes = memory.learned(words.distinct, lambda new, first: memory.put(np.arange(first, first + len(new)), np.full(len(new), width), self.scores_of(new).ravel()))
+        out, lettered = np.zeros((len(words.counts), width)), np.zeros(len(words.counts), bool)
+        if len(words.at):
+            held, starts = words.texts()
+            alphabetic = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words.distinct), bool, len(codes))
+            lettered[held] = np.logical_or.reduceat(alphabetic[words.at], starts)
+            if self.languages:
+                out[held] = np.add.reduceat(np.take(memory.rows(codes, width).astype(np.float64), words.at, axis=0), starts, axis=0)
         return out, lettered
 
-    def predict(self, texts: list[str], words: list[list[str]] | None = None) -> tuple[list[str], np.ndarray]:
-        """Language and posterior of each text; its words need not be found again if they are given."""
-        sums, lettered = self.scores(texts, words)
+    def predict(self, words: CodedWords) -> tuple[list[str], np.ndarray]:
+        """Language and posterior of each text, given as its words."""
+        sums, lettered = self.scores(words)
         if not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            return [UNDETERMINED] * len(sums), np.zeros(len(sums))
         best = sums.argmax(axis=1)
         posterior = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         named = [self.languages[b] if ok else UNDETERMINED for b, ok in zip(best.tolist(), lettered.tolist())]
@@ -208,14 +239,14 @@ def fit(documents: DataFrame, rows: int | None = SAMPLE_ROWS) -> LanguageModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, Counter] = {}
-            for text, lang in zip(filled(batch.column("text")).to_pylist(), batch.column("lang").to_pylist()):
-                found.setdefault(lang, Counter()).update(words_of(text))
-            for lang, words in found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
-                    ["lang", "word", "n"],
-                )
+            langs = batch.column("lang").dictionary_encode()
+            distinct, at, counts = _spaced(filled(batch.column("text")))
+            own = np.repeat(langs.indices.to_numpy().astype(np.int64), counts) * len(distinct) + at  # a number for each word of each language
+            found, times = np.unique(own, return_counts=True)
+            lang, word = np.divmod(found, max(1, len(distinct)))
+            yield pa.RecordBatch.from_arrays(
+                [langs.dictionary.take(pa.array(lang)), distinct.take(pa.array(word)), pa.array(times.astype(np.int64))], ["lang", "word", "n"]
+            )
 
     counted = (
         training_rows(documents, rows).mapInArrow(tidy(count), "lang string, word string, n long")
@@ -258,7 +289,7 @@ def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
-                named, posterior = own.predict(texts.slice(start, stop - start).to_pylist())
+                named, posterior = own.predict(coded_words(texts.slice(start, stop - start)))
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(start, stop - start) for c in kept), pa.array(named, pa.string()), pa.array(posterior, pa.float64())],
                     [*kept, "lang_pred", "score"],
@@ -277,7 +308,7 @@ def digest(documents: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
-                named, posterior = own.predict(texts.slice(start, stop - start).to_pylist())
+                named, posterior = own.predict(coded_words(texts.slice(start, stop - start)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(start, stop - start) for c in ("doc_id", "held_out")]
                     + [pa.array(named, pa.string()), pa.array(posterior, pa.float64())],

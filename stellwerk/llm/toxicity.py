@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellwerk.llm import language
-from stellwerk.llm.common import WordMemory, discard, filled, held_out, likely_in, passes, stored, tidy, tidy_group
+from stellwerk.llm.common import CodedWords, WordMemory, coded, discard, filled, held_out, likely_in, passes, stored, tidy, tidy_group
 
 GROUP_ROWS = 8_000  # labelled rows that train together
 STEPS_PER_UNIT = 1_000  # responses are counted to a thousandth
@@ -201,24 +201,22 @@ class ConvolutionalModel:
         rows = np.concatenate([vectors @ f[j] for f in self.filters for j in range(len(f))], axis=1)
         self._memory.put(np.arange(first, first + len(words)), np.full(len(words), rows.shape[1]), rows.ravel())
 
-    def _responses_of(self, at: np.ndarray) -> Iterator[np.ndarray]:
-        """Responses of the words with these codes, place by place and filter by filter."""
-        table = self._memory.table(sum(WIDTHS) * FILTERS)
+    def _responses_of(self, words: CodedWords) -> Iterator[np.ndarray]:
+        """Responses of all words, place by place and filter by filter."""
+        table = self._memory.rows(self._memory.learned(words.distinct, self._learn), sum(WIDTHS) * FILTERS)
         for column in range(0, table.shape[1], FILTERS):
-            yield np.take(np.ascontiguousarray(table[:, column : column + FILTERS]), at, axis=0)
+            yield np.take(np.ascontiguousarray(table[:, column : column + FILTERS]), words.at, axis=0)
 
-    def logits(self, texts: list[list[str]]) -> np.ndarray:
+    def logits(self, texts: CodedWords | list[list[str]]) -> np.ndarray:
         """Response of each text, given as its words."""
-        listed = [w for words in texts for w in words]
-        counts = np.array([len(words) for words in texts], np.int64)
-        if not listed:
-            return np.full(len(texts), self.bias)
+        words = texts if isinstance(texts, CodedWords) else coded(texts)
+        counts, ends = words.counts, np.cumsum(words.counts)
+        if not len(words.at):
+            return np.full(len(counts), self.bias)
         self._memory.make_room()
-        columns = self._responses_of(self._memory.learned(listed, self._learn))
-        ends = np.cumsum(counts)
-        held = np.flatnonzero(counts)
-        starts = (ends - counts)[held]
-        pooled = np.zeros((len(texts), len(self.shift)), np.float32)
+        columns = self._responses_of(words)
+        held, starts = words.texts()
+        pooled = np.zeros((len(counts), len(self.shift)), np.float32)
         for k, width in enumerate(WIDTHS):
             z = next(columns)
             for j in range(1, width):
@@ -226,17 +224,17 @@ class ConvolutionalModel:
                 for back in range(1, j + 1):  # a filter ends with its text
                     over = ends[held][:-1] - back
                     ahead[over[over < len(ahead)]] = 0
-                z[: len(listed) - j] += ahead
+                z[: len(words.at) - j] += ahead
             pooled[held, k * FILTERS : (k + 1) * FILTERS] = np.maximum.reduceat(z, starts, axis=0)
         pooled[held] = np.maximum(pooled[held] + self.shift, 0)
         return pooled.astype(np.float64) @ self.out.astype(np.float64) + self.bias
 
-    def scores(self, texts: list[list[str]], languages: list[str]) -> np.ndarray:
+    def scores(self, words: CodedWords, languages: list[str]) -> np.ndarray:
         """Between 0 and 1; 0.5 is the threshold of the text's language."""
         if not self.trained:
-            return np.zeros(len(texts))
+            return np.zeros(len(words.counts))
         limits = np.array([self.thresholds.get(x, self.general) for x in languages])
-        return 1 / (1 + np.exp(-np.clip(self.logits(texts) - limits, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.logits(words) - limits, -500, 500)))
 
 
 def best_threshold(values: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float | None:
@@ -258,9 +256,14 @@ def _held_by(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, totals = np.zeros((2, 2 * BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for text, kind in zip(filled(batch.column("text")), batch.column("toxic").to_pylist()):
-                held[kind][np.unique(bucket_rows(list(set(language.words_of(text.as_py())))))] += 1
-                totals[kind] += 1
+            texts, kinds = filled(batch.column("text")), batch.column("toxic").to_numpy()
+            totals += np.bincount(kinds, minlength=2)
+            for start, stop in passes(texts):
+                words = language.coded_words(texts.slice(start, stop - start))
+                text = np.repeat(np.arange(start, stop), words.counts)[:, None]
+                # Once per text and bucket, however many of its words share it.
+                text, bucket = np.divmod(np.unique(text * (2 * BUCKETS) + bucket_rows(words.distinct)[words.at]), 2 * BUCKETS)
+                np.add.at(held, (kinds[text], bucket), 1)
         at = np.flatnonzero(held.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1)), *(pa.array(np.append(held[kind][at], totals[kind])) for kind in (0, 1))], ["bucket", "clean", "toxic"]
@@ -288,7 +291,11 @@ def _changes(rows: DataFrame, model: ConvolutionalModel, groups: int) -> np.ndar
             return pa.table({name.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64()}[name.split()[1]]) for name in _CHANGED.split(", ")})
         own = copy.deepcopy(shared.value)
         before = own.flat()
-        own.train([bucket_rows(language.words_of(t.as_py())) for t in filled(group.column("text").combine_chunks())], labels)
+        texts, rows = filled(group.column("text").combine_chunks()), []
+        for start, stop in passes(texts):
+            words = language.coded_words(texts.slice(start, stop - start))
+            rows += np.split(np.take(bucket_rows(words.distinct), words.at, axis=0), np.cumsum(words.counts)[:-1])
+        own.train(rows, labels)
         changed = np.concatenate([own.flat() - before, np.ones((1, DIMENSION))])  # the last row counts the groups
         at = np.flatnonzero(changed.any(axis=1))
         return pa.table({"place": pa.array(at), **{f"d{i}": pa.array(changed[at, i]) for i in range(DIMENSION)}})
@@ -310,11 +317,10 @@ def _responses(rows: DataFrame, model: ConvolutionalModel, languages: language.L
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
-                part = texts.slice(start, stop - start).to_pylist()
-                words = [language.words_of(t) for t in part]
+                words = language.coded_words(texts.slice(start, stop - start))
                 logits = np.clip(own.logits(words), -LARGEST_RESPONSE, LARGEST_RESPONSE)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own_languages.predict(part, words)[0], pa.string()), pa.array(np.rint(logits * STEPS_PER_UNIT).astype(np.int64)),
+                    [pa.array(own_languages.predict(words)[0], pa.string()), pa.array(np.rint(logits * STEPS_PER_UNIT).astype(np.int64)),
                      batch.column("toxic").slice(start, stop - start).cast(pa.int32())], ["lang", "step", "toxic"],
                 )
 
@@ -377,9 +383,8 @@ def _scored(documents: DataFrame, model: ConvolutionalModel, languages: language
         for batch in batches:
             texts = filled(batch.column("text"))
             for start, stop in passes(texts):
-                part = texts.slice(start, stop - start).to_pylist()
-                words = [language.words_of(t) for t in part]
-                scores = own.scores(words, own_languages.predict(part, words)[0])
+                words = language.coded_words(texts.slice(start, stop - start))
+                scores = own.scores(words, own_languages.predict(words)[0])
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(start, stop - start) for c in kept), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
                     [*kept, "score", "predicted"],

@@ -211,3 +211,22 @@ def test_gradients_are_those_of_the_loss():
         down = loss()
         filters[at] = kept
         assert grads[f"f{k}"][at] == pytest.approx((up - down) / (2 * step), rel=0.05)
+
+
+def test_each_distinct_word_is_looked_up_once(spark, monkeypatch):
+    """Words of a pass are the same as text by text, and the models are asked for distinct ones."""
+    import pyarrow as pa
+
+    texts = ["", "the the THE x1 the_the", "ΑΣ ΣΑΣ, É é K ²½ ٣a", "İstanbul ẞ the\x00the", " 　日本 the the ", "123"]
+    words = language.coded_words(pa.array(["x", *texts]).slice(1))
+    ends = words.counts.cumsum().tolist()
+    assert [[words.distinct[i] for i in words.at[a:b].tolist()] for a, b in zip([0, *ends], ends)] == [language.words_of(t) for t in texts]
+    assert sorted(words.distinct) == sorted({w for t in texts for w in language.words_of(t)})
+    documents = spark.createDataFrame([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts * 3)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "words_of", None)  # not needed any more, text by text
+    model = language.fit(documents, rows=None)
+    asked = []
+    learned = model._memory.learned
+    model._memory.learned = lambda found, learn: asked.extend(found) or learned(found, learn)
+    model.predict(language.coded_words(pa.array(["the the the cat", "the cat"])))
+    assert asked == ["the", "cat"]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import CodedWords, WordMemory, between_spaces, drawn, filled, held_out, passes, ragged, tidy
+from stellwerk.llm.common import CodedWords, WordMemory, as_bytes, between_spaces, drawn, filled, held_out, passes, ragged, tidy
 
 SAMPLE_ROWS = 20_000
 WORDS = 30_000
@@ -79,7 +79,7 @@ def _spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def coded_words(texts: pa.Array) -> CodedWords:
     """``words_of`` each of many filled texts, each distinct word once."""
     distinct, at, counts = _spaced(texts)
-    return CodedWords(distinct.to_pylist(), at, counts)
+    return CodedWords(list(map(bytes.decode, as_bytes(distinct))), at, counts)
 
 
 class ScoreTable:

@@ -14,17 +14,17 @@ from __future__ import annotations
 
 import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import WordMemory, as_lists, filled, passes, sums_of_runs
+from stellwerk.llm.common import BATCH_BYTES, WordMemory, as_bytes, as_lists, between_spaces, filled, passes, sums_of_runs, text_bytes
 
 END = 1
 STRIPE_BYTES = 16 << 20
@@ -34,7 +34,7 @@ SCHEMA = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int
 # Marks that the tokenizer splits from a word before them.
 _CLOSING = ".,;:!?|"
 # An ASCII capital is only ever composed if a combining mark is right behind it; there is none below U+0300.
-_CAPITAL_BEFORE_MARK = re.compile(rb"[A-Z][\xcc-\xff]")
+_FIRST_MARK = 0xCC  # first byte of U+0300
 _BLOCK = 256  # words in one question to the library
 
 
@@ -45,6 +45,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Filled texts with small letters for A-Z, as far as that leaves the tokenizer's ids alone.
+
+    The tokenizer lower-cases, too, but finds special tokens and composes characters before.
+    """
+    raw, offsets = text_bytes(texts)
+    before, after = raw[:-1], raw[1:]
+    # Special tokens are not to arise anew; a capital before what may be a mark stays as it is.
+    left = np.flatnonzero(((before == 60) & (after == 124)) | ((before - np.uint8(65) < 26) & (after >= _FIRST_MARK)))
+    lowered = pc.ascii_lower(texts)
+    if not len(left):
+        return lowered
+    kept = np.zeros(len(texts), bool)
+    kept[np.searchsorted(offsets, left, side="right") - 1] = True
+    return pc.if_else(pa.array(kept), texts, lowered)
+
+
 class WordTokenizer:
     """The library's ids, asked once per distinct run and worker."""
 
@@ -59,22 +76,17 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has, end ids included."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
-            # Runs between ASCII white space: the tokenizer drops white space and never joins over it.
-            # It composes characters before it lower-cases, so a capital before a mark stays as it is.
-            if b"<|" in data:  # special tokens are not to arise anew
-                found = data.split()
-            elif data.isascii() or not _CAPITAL_BEFORE_MARK.search(data):
-                found = data.lower().split()
-            else:
-                found = [run.lower() if run.isascii() else run for run in data.split()]
-            counts[i] = len(found) + 1
-            words.extend(found)
-            words.append(b"")  # stands for the end id
+        # Runs between ASCII white space: the tokenizer drops white space and never joins over it.
+        runs, found, counts = between_spaces(_lowered(texts))
+        counts += 1
+        at = np.full(len(found) + len(texts), len(runs))  # the run after the last one stands for the end id
+        inside = np.ones(len(at), bool)
+        inside[np.cumsum(counts) - 1] = False
+        at[inside] = found
         self._memory.make_room()
-        ids, lengths = self._memory.lookup(self._memory.learned(words, self._learn))
-        return ids, sums_of_runs(lengths, counts)
+        ids, lengths = self._memory.lookup(self._memory.learned([*as_bytes(runs), b""], self._learn))
+        taken = as_lists(ids, lengths, pa.int32()).take(pa.array(at))
+        return taken.flatten().to_numpy(), sums_of_runs(lengths[at], counts)
 
     def _learn(self, unseen: list[bytes], first: int) -> None:
         """Ask the library for unseen runs: words many at a time, other runs one by one.
@@ -133,7 +145,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None) -> Non
         own, start = tokenizer(vocabulary), 0
         for batch in batches:
             texts = filled(batch.column("text"))
-            for begin, stop in passes(texts):
+            for begin, stop in passes(texts, BATCH_BYTES):  # the longer, the fewer words are looked up
                 ids, counts = own.encode(texts.slice(begin, stop - begin))
                 ends = start + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(

@@ -132,3 +132,21 @@ def test_capitals_before_letters_beyond_ascii_are_lowered_before_the_library_is_
     expected = [[*own.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
     assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(e) for e in expected]
     assert "mädchen".encode() in own._memory.codes and "Mädchen".encode() not in own._memory.codes
+
+
+def test_each_distinct_run_is_looked_up_once():
+    import random
+
+    import pyarrow as pa
+
+    own, rng = token_files.WordTokenizer(token_files.default_tokenizer()), random.Random(5)
+    parts = ["The", "the", "über", "K̃", "<|endoftext|>", "x1,", "日本語", "MÜNCHEN.", "a b", "J̌", "<", "|", "\x00", " ", "\t\n", "\x1f", ""]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", ""]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    texts += ["<|ENDOFTEXT|> The Ḳ̱ THE", "", " ", "the  the THE "]
+    asked, learned = [], own._memory.learned
+    own._memory.learned = lambda found, learn: asked.append(found) or learned(found, learn)
+    ids, counts = own.encode(pa.array(["x", *texts]).slice(1))
+    expected = [[*own.library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert counts.tolist() == [len(e) for e in expected] and ids.tolist() == sum(expected, [])
+    assert [len(found) for found in asked] == [len(set(found)) for found in asked]
+    assert own.encode(pa.array([], pa.string()))[0].tolist() == []

@@ -164,6 +164,8 @@ def test_filter_of_keys_loses_none(spark):
 
 
 def test_scores_of_many_words_are_those_of_each(languages):
+    import numpy as np
+
     words = [*list(languages.words)[:50], "qqthing", "xyzzyx", "ß", "żółwżółw", "q" * 300, "thethethe"]
     table, one = languages.scores_of(words), []
     for word in words:
@@ -171,7 +173,7 @@ def test_scores_of_many_words_are_those_of_each(languages):
         grams = ([languages.ngrams[n][g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in languages.ngrams[n]] for n in language.LENGTHS)
         found = [languages.words[word]] if word in languages.words else next((g for g in grams if g), None)
         one.append([0.0] * len(languages.languages) if found is None else sum(found) / len(found))
-    assert table == pytest.approx(one, abs=1e-4)
+    assert table == pytest.approx(np.array(one), abs=1e-4)
     assert languages.scores_of([]).shape == (0, len(languages.languages))
 
 

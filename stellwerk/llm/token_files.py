@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stellwerk.llm.common import BATCH_BYTES, WordMemory, as_bytes, as_lists, between_spaces, filled, passes, sums_of_runs, text_bytes
+from stellwerk.llm.common import WordMemory, as_bytes, as_lists, between_spaces, filled, passes, sums_of_runs, text_bytes
 
 END = 1
 STRIPE_BYTES = 16 << 20
@@ -145,7 +145,7 @@ def write(documents: DataFrame, path: str, vocabulary: str | None = None) -> Non
         own, start = tokenizer(vocabulary), 0
         for batch in batches:
             texts = filled(batch.column("text"))
-            for begin, stop in passes(texts, BATCH_BYTES):  # the longer, the fewer words are looked up
+            for begin, stop in passes(texts):
                 ids, counts = own.encode(texts.slice(begin, stop - begin))
                 ends = start + np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(

@@ -81,6 +81,28 @@ def test_defined_cases_of_the_join(spark):
     assert jaccard_join.join_components(frame.where("false")).count() == 0
 
 
+def test_copies_of_a_set_are_read_again_once(spark, monkeypatch):
+    base = near_copies(5, groups=4, copies=10) + [(None, "no id here"), (None, "no id here"), (500, "a b c"), (501, None)]
+    rows = [(d if d is None else d + 1000 * k, t) for k in range(6) for d, t in base]
+    read = []
+    links = jaccard_join.links
+
+    def counted(documents, total):
+        read.append([r.doc_id for r in documents.collect()])
+        return links(documents, total)
+
+    monkeypatch.setattr(jaccard_join, "links", counted)
+    found = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=str) == brute_components(rows)
+    # The least row of each set is read; few other rows pass the filter.
+    least = {}
+    for d, t in rows:
+        if d is not None and shingles(t):
+            least[shingles(t)] = min(d, least.get(shingles(t), d))
+    (again,) = read
+    assert set(least.values()) <= set(again) and len([d for d in again if d is not None]) < 1.5 * len(least)
+
+
 def test_one_document_of_each_component_stays(spark):
     rows = near_copies(4, groups=3, copies=8) + [(1000 + i, t) for i, (_, t) in enumerate(EDGES)] + [(None, None), (1007, "a b c d e f")]
     nameless = [(None, "words that stand alone"), (None, "Words that stand alone"), (None, "other words alone")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stellwerk.llm import bm25_search, curve_search
 from stellwerk.llm.common import table
+from stellwerk.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.1"
 
@@ -101,6 +102,30 @@ def test_every_query_row_of_a_repeated_id_is_answered(spark):
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in found) == [(100, 1, 1), (100, 1, 1), (100, 1, 2)]
 
 
+def test_slices_of_queries_hold_no_copies_on_disk(spark, monkeypatch):
+    rows = table(spark, "/root/testdata/sf0.001", "documents").selectExpr("doc_id as id", "text")
+    plans, stored = [], bm25_search.stored
+
+    def watched(frame, name):
+        plans.append((name, frame._jdf.queryExecution().optimizedPlan().toString()))
+        return stored(frame, name)
+
+    monkeypatch.setattr(bm25_search, "stored", watched)
+    monkeypatch.setattr(bm25_search, "SHARD_DOCUMENTS", 32)
+    found = {}
+    for most in (1000, 16):
+        plans.clear()
+        monkeypatch.setattr(bm25_search, "QUERIES_PER_TASK", most)
+        found[most] = sorted(map(tuple, bm25_search.search(rows, rows, 3).collect()))
+    assert len(found[16]) > 500 and found[16] == found[1000]
+    # Each slice is a run of its own; before, slices multiplied the documents, and shards the queries.
+    assert len([name for name, _ in plans if name == "bm25-best"]) > 5
+    assert not [name for name, plan in plans if "explode(" in plan]
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    left = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    assert not [name for name in left if name.startswith(("bm25-queries", "bm25-weighted"))]
+
+
 def test_bm25_of_an_empty_table(spark):
     none = spark.createDataFrame([], "id long, text string")
     assert bm25_search.search(none, none).count() == 0

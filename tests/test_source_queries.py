@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from __spark_entry__ import queries
+from stellwerk.sources import encoded_pages
 
 
 def written(folder, lines):
@@ -38,3 +39,18 @@ def test_listing_pages_are_built_of_what_stays(spark, tmp_path):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     narrow = [line for line in plan.splitlines() if "Aggregate [search_key" in line and "part_id" in line]
     assert narrow and not any("payload" in line for line in narrow)
+
+
+def test_code_points_written_and_read(spark, tmp_path, monkeypatch):
+    texts = ["a", "äß–", "😀 x", "", None, "z" * 5000, "\x00,\n"]
+    monkeypatch.setattr(encoded_pages, "PASS_CHARS", 3)
+    column = pa.array(texts, pa.string())
+    written_points = encoded_pages.points_of_text.func(column).to_pylist()
+    assert written_points == [None if t is None else ",".join(str(ord(c)) for c in t) for t in texts]
+    rows = [(1, 3, 1, 1, "A", "F", DAY), (2, 2, 2, 1, "R", "F", DAY), (3, 1, 1, 1, "N", "O", dt.datetime(1990, 1, 1))]
+    frame = queries()["source_encoded_pages"](spark, written(tmp_path, rows))
+    found = sorted((r.title, r.url, (r.raw_text or "")[:5]) for r in frame.collect())
+    assert found == [
+        ("blue & co – Ü", "https://original.example/2-2-123-21.html", "Kurz"), ("Ünï <b> - x – Ü", "https://www.kimeta.de/iframe/3-1-123-11", "Lang "),
+    ]
+    assert "ascii(" not in frame._jdf.queryExecution().optimizedPlan().toString()

@@ -6,24 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stellwerk.constants import ZONE_OFFSETS
-from stellwerk.functions.text import strip
+from stellwerk.functions.text import once, strip
 
 SECONDS_PER_DAY = 86_400
 
 
 def rfc2822_timestamp(text: Column) -> Column:
     """Feed dates such as 'Mon, 01 Dec 2025 08:00:00 +0100'."""
-    bare = F.regexp_replace(strip(text), r"^\w+,\s*", "")
     zones = F.create_map([F.lit(x) for pair in ZONE_OFFSETS.items() for x in pair])
-    zone = F.regexp_extract(bare, r"([A-Z]+)$", 1)
-    offset = F.regexp_replace(bare, r"[A-Z]+$", "")
-    numeric = F.when(zone == "", bare).otherwise(
-        F.concat(offset, F.coalesce(F.try_element_at(zones, zone), F.lit("+0000")))
-    )
-    return F.coalesce(
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(numeric, F.lit("d MMM yyyy HH:mm Z")),
-    )
+
+    def numeric(bare: Column) -> Column:
+        named = F.concat(F.regexp_replace(bare, r"[A-Z]+$", ""), F.coalesce(F.try_element_at(zones, _zone(bare)), F.lit("+0000")))
+        return F.when(bare.rlike(r"[A-Z]$"), named).otherwise(bare)
+
+    def parsed(written: Column) -> Column:
+        return F.coalesce(
+            F.try_to_timestamp(written, F.lit("d MMM yyyy HH:mm:ss Z")),
+            F.try_to_timestamp(written, F.lit("d MMM yyyy HH:mm Z")),
+        )
+
+    return once(F.regexp_replace(strip(text), r"^\w+,\s*", ""), lambda bare: once(numeric(bare), parsed))
+
+
+def _zone(bare: Column) -> Column:
+    return F.regexp_extract(bare, r"([A-Z]+)$", 1)
 
 
 def german_date(text: Column) -> Column:
@@ -68,7 +74,7 @@ def is_recent(when: Column, as_of: Column, max_days: int | None) -> Column:
     """Keep undated rows; with no limit (NULL or <= 0) keep every row."""
     if max_days is None or max_days <= 0:
         return F.lit(True)
-    return when.isNull() | (age_days(when, as_of) <= max_days)
+    return F.coalesce(age_days(when, as_of) <= max_days, F.lit(True))
 
 
 def week_label(when: Column) -> Column:

@@ -4,9 +4,11 @@ import datetime as dt
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from stellwerk.sources import encoded_pages
+from stellwerk.functions import dates as D
+from stellwerk.sources import encoded_pages, feeds
 
 
 def written(folder, lines):
@@ -41,6 +43,30 @@ def test_listing_pages_are_built_of_what_stays(spark, tmp_path):
     assert narrow and not any("payload" in line for line in narrow)
 
 
+def test_feed_dates_are_read_once_by_a_filter(spark):
+    feed = "<rss><channel><item><title>t - c</title><link>http://x/{0}</link><pubDate>{1}</pubDate></item></channel></rss>"
+    dates = ["Mon, 31 May 1999 10:00:00 GMT", "31 May 1999 10:00 +0200", "Mon, 31 May 1999 10:00:00 XYZ", "Mon, 01 Jan 1990 10:00:00 GMT", "no date", ""]
+    rows = spark.createDataFrame([("it", i, feed.format(i, d)) for i, d in enumerate(dates)], "search_key string, page long, payload string")
+    items = feeds.feed_items(rows)
+    as_of = F.lit("2000-01-01 00:00:00").cast("timestamp")
+    kept = items.where(D.is_recent(D.rfc2822_timestamp(F.col("pubDate")), as_of, 365))
+    assert sorted(r.page for r in kept.collect()) == [0, 1, 2, 4, 5]
+    read = D.rfc2822_timestamp(F.col("pubDate"))
+    assert [str(r[0]) for r in items.orderBy("page").select(read).collect()] == ["1999-05-31 10:00:00", "1999-05-31 08:00:00", "1999-05-31 10:00:00", "1990-01-01 10:00:00", "None", "None"]
+    # A filter computes whatever its condition spells out twice twice: the trimming stood there some twenty times.
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1
+
+
+def test_category_feeds_and_their_union(spark, tmp_path):
+    rows = [(1, 1, 1, 1, "R", "F", DAY), (1, 1, 2, 2, "A", "F", DAY), (2, 1, 2, 1, "N", "O", dt.datetime(1990, 1, 1)), (3, 1, 3, 1, "A", "F", DAY)]
+    folder = written(tmp_path, rows)
+    found = [tuple(r) for r in queries()["source_category_feeds"](spark, folder).collect()]
+    assert found == [("red lamp", "R", "https://cat.example/job/1/", "1", "Teil 1 & mehr")]
+    merged = {r.source_name: tuple(r)[2:] for r in queries()["union_of_sources"](spark, folder).collect()}
+    # A feed without employer has no payload; a snippet without one has the default.
+    assert merged == {"service_bund": (2, 2, 1, 2), "jooble": (3, 3, 3, 5)}
+
+
 def test_code_points_written_and_read(spark, tmp_path, monkeypatch):
     texts = ["a", "äß–", "😀 x", "", None, "z" * 5000, "\x00,\n"]
     monkeypatch.setattr(encoded_pages, "PASS_CHARS", 3)

@@ -80,3 +80,15 @@ def test_code_points_written_and_read(spark, tmp_path, monkeypatch):
         ("blue & co – Ü", "https://original.example/2-2-123-21.html", "Kurz"), ("Ünï <b> - x – Ü", "https://www.kimeta.de/iframe/3-1-123-11", "Lang "),
     ]
     assert "ascii(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_page_is_searched_once_for_its_script(spark):
+    begin, end, data = '<script id="__NEXT_DATA__" type="application/json">', "</script>", '{"props":{"pageProps":{"__PPA__":[72,228]}}}'
+    pages = {
+        begin + data + end: "Hä", "a" + end + begin + data + end + "b": "Hä", begin + data + end + begin + end: "Hä", begin + data + "\n" + end: "Hä",
+        "": None, begin: None, begin + end: None, begin + end + begin + data + end: None, begin + " " + end: None, begin + data: None, begin + "{}" + end: None,
+    }
+    rows = spark.createDataFrame([(p,) for p in (*pages, None)], "payload string")
+    found = rows.select("payload", encoded_pages.decode_page(F.col("payload")).alias("text"))
+    assert {r.payload: r.text for r in found.collect()} == {**pages, None: None}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("NEXT_DATA") == 1
